@@ -1,0 +1,6 @@
+"""The queries this repository registers over the test tables."""
+
+from weaklabel.catalog import aggregates, columns, joins, scans, splits
+from weaklabel.catalog.registry import CATALOG
+
+__all__ = ["CATALOG", "aggregates", "columns", "joins", "scans", "splits"]

@@ -10,6 +10,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from weaklabel.functions.ranking import exact_quantiles, hash_rank, running_totals
+from weaklabel.functions.rounding import round_half_even
 
 
 def confusion(df: DataFrame, outcome: str, scores: Sequence[str], thresholds: Sequence[float]) -> DataFrame:
@@ -230,7 +231,7 @@ def box_summary(df: DataFrame, value: str, within: Sequence[str]) -> DataFrame:
 def dot_plot_table(df: DataFrame, prob: str, actual: str, key: str, seed: int = 123) -> DataFrame:
     """(key, predicted, actual, counts): half-even rounded probability and the running number
     of rows with it, lower classes first. A hot probability is ranked in hash buckets."""
-    rows = df.select(key, F.bround(prob, 2).alias("predicted"), F.col(actual).alias("actual"))
+    rows = df.select(key, round_half_even(prob, 2).alias("predicted"), F.col(actual).alias("actual"))
     ranked = hash_rank(rows, key, seed, within=["predicted"], lead=["actual"], rank="counts")
     return ranked.withColumn("counts", F.col("counts") - 1)
 
