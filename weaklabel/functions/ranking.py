@@ -50,21 +50,21 @@ def hash_rank(
     columns must have few values (a class, a rounded score).
     """
     within, lead = list(within), list(lead)
-    rows = df.withColumn("__hash", hash_of(key, seed)).withColumn("__bucket", F.substring("__hash", 1, digits))
-    place = [*within, *lead, "__bucket"]
-    counts = rows.groupBy(*place).agg(F.count(F.lit(1)).alias("__n"))
+    rows = df.withColumn("__hr_hash", hash_of(key, seed)).withColumn("__hr_bucket", F.substring("__hr_hash", 1, digits))
+    place = [*within, *lead, "__hr_bucket"]
+    counts = rows.groupBy(*place).agg(F.count(F.lit(1)).alias("__hr_n"))
     group = Window.partitionBy(*within) if within else Window.partitionBy(F.lit(0))
-    before = group.orderBy(*lead, "__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    before = group.orderBy(*lead, "__hr_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(
         *place,
-        F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__offset"),
-        F.sum("__n").over(group).alias("__total"),
+        F.coalesce(F.sum("__hr_n").over(before), F.lit(0)).alias("__hr_offset"),
+        F.sum("__hr_n").over(group).alias("__hr_total"),
     )
-    local = F.row_number().over(Window.partitionBy(*place).orderBy("__hash", key))
-    ranked = _join_null_safe(rows, offsets, place).withColumn(rank, (F.col("__offset") + local).cast("long"))
+    local = F.row_number().over(Window.partitionBy(*place).orderBy("__hr_hash", key))
+    ranked = _join_null_safe(rows, offsets, place).withColumn(rank, (F.col("__hr_offset") + local).cast("long"))
     if total:
-        ranked = ranked.withColumn(total, F.col("__total"))
-    return ranked.drop("__hash", "__bucket", "__offset", "__total")
+        ranked = ranked.withColumn(total, F.col("__hr_total"))
+    return ranked.drop("__hr_hash", "__hr_bucket", "__hr_offset", "__hr_total")
 
 
 def ntile_of(rank: Column | str, total: Column | str, k: int) -> Column:
