@@ -155,7 +155,7 @@ def roc_curve(df: DataFrame, outcome: str, scores: Sequence[str], drop_collinear
 
 
 def _corners(points: DataFrame) -> DataFrame:
-    """Keep a point if the step to the next point differs from the step that led to it.
+    """Keep the ends and each point where the step onward differs from the step that led to it.
 
     The step that leads to a point is its own counts; the next point's counts come from a
     ranked neighbour join, so no window has to hold a whole model.
@@ -164,8 +164,9 @@ def _corners(points: DataFrame) -> DataFrame:
     here = w_rank.withColumnRenamed("cum_one", "pos").drop("all_one", "one")
     after = here.select("model", (F.col("pos") - 1).alias("pos"), F.col("n_case").alias("__nc"), F.col("n_control").alias("__nk"))
     joined = here.join(after, ["model", "pos"], "left")
-    moved = F.col("__nc").isNull() | (F.col("__nc") != F.col("n_case")) | (F.col("__nk") != F.col("n_control"))
-    return joined.where(moved).drop("__nc", "__nk", "pos")
+    ends = (F.col("pos") == 1) | F.col("__nc").isNull()
+    turns = (F.col("__nc") != F.col("n_case")) | (F.col("__nk") != F.col("n_control"))
+    return joined.where(ends | turns).drop("__nc", "__nk", "pos")
 
 
 def pr_curve(df: DataFrame, outcome: str, scores: Sequence[str]) -> DataFrame:
