@@ -91,16 +91,16 @@ def first_by_hash(df: DataFrame, key: str, n: int, seed: int = 123, in_memory: i
     return hash_rank(df, key, seed, rank="__rank").where(F.col("__rank") <= n).drop("__rank")
 
 
-def cut_points(values: DataFrame, value: str, parts: int = 64) -> Column:
+def cut_points(values: DataFrame, value: str, parts: int = 64, distinct: bool = True) -> Column:
     """About ``parts - 1`` cut points of near equal depth as one scalar subquery.
 
-    The sample is the distinct values with the smallest hashes: bounded, and the
-    same whenever Spark evaluates it again, so bucket numbers never disagree.
+    The sample is the values with the smallest hashes: bounded, and the same whenever
+    Spark evaluates it again, so bucket numbers never disagree. ``distinct=False`` is for
+    values that are known not to repeat.
     """
     step = 4
-    sample = (
-        values.where(F.col(value).isNotNull()).select(value).distinct().orderBy(F.xxhash64(value), value).limit(parts * step)
-    )
+    known = values.where(F.col(value).isNotNull()).select(value)
+    sample = (known.distinct() if distinct else known).orderBy(F.xxhash64(value), value).limit(parts * step)
     ordered = F.array_sort(F.collect_list(value))
     return sample.agg(F.filter(ordered, lambda _x, i: (i + 1) % step == 0).alias("cuts")).scalar()
 
@@ -120,7 +120,7 @@ def running_totals(
     """
     within = list(within)
     below = F.size(F.filter("__cuts", lambda c: c < F.col(value)))
-    rows = counts.withColumn("__cuts", cut_points(counts, value, parts))
+    rows = counts.withColumn("__cuts", cut_points(counts, value, parts, distinct=bool(within)))
     rows = rows.withColumn("__bucket", -below if descending else below).drop("__cuts")
     place = [*within, "__bucket"]
     totals = rows.groupBy(*place).agg(*[F.sum(s).alias(f"__{s}") for s in sums])

@@ -114,22 +114,25 @@ def class_report(table: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     return table.select(*keep, F.inline(F.array(*rows)))
 
 
-def score_counts(df: DataFrame, outcome: str, scores: Sequence[str]) -> DataFrame:
-    """(model, score, n_case, n_control) per distinct score; rows combine before the shuffle."""
-    known = df.where(F.col(outcome).isNotNull()).select(F.col(outcome).alias("__y"), *[F.col(s).cast("double") for s in scores])
-    long = known.unpivot(["__y"], list(scores), "model", "score").where(F.col("score").isNotNull())
-    return long.groupBy("model", "score").agg(
+def score_counts(df: DataFrame, outcome: str, scores: Sequence[str], within: Sequence[str] = ()) -> DataFrame:
+    """(``within``, model, score, n_case, n_control) per distinct score; rows combine before the shuffle."""
+    known = df.where(F.col(outcome).isNotNull()).select(
+        *within, F.col(outcome).alias("__y"), *[F.col(s).cast("double") for s in scores]
+    )
+    long = known.unpivot([*within, "__y"], list(scores), "model", "score").where(F.col("score").isNotNull())
+    return long.groupBy(*within, "model", "score").agg(
         F.count_if(F.col("__y") == 1).alias("n_case"), F.count_if(F.col("__y") == 0).alias("n_control")
     )
 
 
-def auc_of_scores(df: DataFrame, outcome: str, scores: Sequence[str]) -> DataFrame:
-    """Rank AUC per model with ties at one half; NULL when a class is missing."""
-    ranked = running_totals(score_counts(df, outcome, scores), "score", ["n_control"], ["model"])
+def auc_of_scores(df: DataFrame, outcome: str, scores: Sequence[str], within: Sequence[str] = ()) -> DataFrame:
+    """Rank AUC per (``within``, model) with ties at one half; NULL when a class is missing."""
+    groups = [*within, "model"]
+    ranked = running_totals(score_counts(df, outcome, scores, within), "score", ["n_control"], groups)
     below = F.col("cum_n_control") - F.col("n_control")
     wins = F.sum(F.col("n_case") * (below + F.col("n_control") / 2))
     pairs = F.sum("n_case") * F.max("all_n_control")
-    return ranked.groupBy("model").agg(F.try_divide(wins, pairs.cast("double")).alias("auc"))
+    return ranked.groupBy(*groups).agg(F.try_divide(wins, pairs.cast("double")).alias("auc"))
 
 
 def roc_curve(df: DataFrame, outcome: str, scores: Sequence[str], drop_collinear: bool = False) -> DataFrame:

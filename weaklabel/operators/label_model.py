@@ -92,10 +92,13 @@ def solve(
     block = np.arange(size) // 2
     apart = (block[:, None] != block[None, :]).astype(float)
     rate = np.diag(overlaps)
+    # each rule starts out right with probability prec_init in both classes; a start from
+    # rate / prior saturates for a rare class and then hardly moves
+    coverage = np.repeat(rate.reshape(-1, 2).sum(axis=1), 2)
     start = np.empty((size, 2))
     for y in (CONTROL, CASE):
         agrees = np.arange(size) % 2 == y
-        start[:, y] = np.clip(rate * np.where(agrees, prec_init, 1 - prec_init) / p[y], 0, 1)
+        start[:, y] = np.where(rate > 0, coverage * np.where(agrees, prec_init, 1 - prec_init), 0.0)
     if seed is not None:
         start = start * np.random.default_rng(seed).uniform(0.5, 1.0, start.shape)
     mu, moment, bound = start.copy(), np.zeros_like(start), np.zeros_like(start)
@@ -262,7 +265,7 @@ def tune(
         )
     scores = known.agg(*sums).first().asDict()
     wide = [
-        (r["n_epochs"], r["lr"], r["lr_scheduler"], r["seed"], *map(float, r["weights"]), scores[f"a{r['config']}"])
+        (r["n_epochs"], r["lr"], r["lr_scheduler"], r["seed"], *[None if w != w else w for w in r["weights"]], scores[f"a{r['config']}"])
         for r in sorted(fitted, key=lambda r: r["config"])
     ]
     schema = "n_epochs int, lr double, lr_scheduler string, seed int, " + ", ".join(f"`{n}` double" for n in names)

@@ -10,11 +10,13 @@ import json
 import logging
 import sys
 from collections.abc import Callable, Iterable, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark import cloudpickle
+from pyspark import cloudpickle, inheritable_thread_target
 from pyspark.ml import Estimator, Model
 from pyspark.ml.classification import (
     DecisionTreeClassifier,
@@ -27,9 +29,9 @@ from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionE
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import LinearRegression, RandomForestRegressor
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from weaklabel.operators.evaluate import class_of_regression, fold_metrics
+from weaklabel.operators.evaluate import auc_of_scores, class_of_regression, fold_metrics
 from weaklabel.operators.split import kfold
 
 log = logging.getLogger(__name__)
@@ -280,16 +282,12 @@ def nearest_neighbours(
         .cogroup(right.groupBy("tb", "qb"))
         .applyInPandas(best, f"q long, t long, distance2 double, label {label_type}")
     )
-    # at most k rows per block met the query row: bounded by t_blocks * k
-    nearest = F.slice(F.array_sort(F.collect_list(F.struct("distance2", "t", "label"))), 1, k)
-    merged = kept.groupBy("q").agg(nearest.alias("near"))
-    out = merged.select("q", F.posexplode("near"))
-    return out.select(
-        F.col("q").alias(key),
-        F.col("col.t").alias("neighbour"),
-        (F.col("pos") + 1).alias("rank"),
-        F.col("col.distance2").alias("distance2"),
-        F.col("col.label").alias("label"),
+    # a window limit keeps k rows per query row on each side of the shuffle
+    place = F.row_number().over(Window.partitionBy("q").orderBy("distance2", "t"))
+    return (
+        kept.withColumn("rank", place)
+        .where(F.col("rank") <= k)
+        .select(F.col("q").alias(key), F.col("t").alias("neighbour"), "rank", "distance2", "label")
     )
 
 
@@ -300,37 +298,54 @@ def neighbour_vote(neighbours: DataFrame, key: str) -> DataFrame:
     return counts.groupBy(key).agg(best.alias("predicted"), F.max("n").alias("n_votes"))
 
 
+def _in_threads(spark: SparkSession, parallelism: int, jobs: list[Callable]) -> list:
+    """Run independent driver-side steps at the same time, each under its own Spark job group."""
+    if parallelism <= 1 or len(jobs) <= 1:
+        return [job() for job in jobs]
+    with ThreadPoolExecutor(parallelism) as pool:
+        return list(pool.map(lambda job: inheritable_thread_target(spark)(job)(), jobs))
+
+
 def screen(
-    df: DataFrame, models: Mapping[str, Estimator], key: str, k: int = 5, seed: int = SEED, regression: bool = False
+    df: DataFrame,
+    models: Mapping[str, Estimator],
+    key: str,
+    k: int = 5,
+    seed: int = SEED,
+    regression: bool = False,
+    parallelism: int = 4,
 ) -> DataFrame:
     """(model, fold, metric, value) of k-fold cross-validation for several models.
 
-    The fold column is made once and the frame is kept for all fits. All held-out
-    predictions of a model go through one aggregate.
+    The fold column is made once and the frame is kept for all fits, which run side by side.
+    The held-out predictions of all models and folds then go through one aggregate.
     """
-    from weaklabel.operators.evaluate import auc_of_scores
-
     folds = kfold(df, key, k, seed).persist()
-    spark = df.sparkSession
-    rows = []
-    for name, estimator in models.items():
-        for f in range(1, k + 1):
-            model = estimator.fit(folds.where(F.col("fold") != f))
-            held = model.transform(folds.where(F.col("fold") == f))
-            if regression:
-                value = held.agg(F.avg(F.pow(F.col("y") - F.col("prediction"), F.lit(2)))).first()[0]
-                rows.append((name, f, "neg_mse", -value))
-                continue
-            scored = held.select(
-                F.col("y").cast("int").alias("y"),
-                F.col("prediction").cast("int").alias("p"),
-                vector_to_array("probability")[1].alias("prob"),
-            )
-            m = fold_metrics(scored.withColumn("fold", F.lit(f)), ["fold"], "y", "p").first()
-            auc = auc_of_scores(scored, "y", ["prob"]).first()
-            rows += [(name, f, "f1", m["f1"]), (name, f, "neg_mse", -m["mse"]), (name, f, "roc_auc", auc["auc"])]
+    part = lambda f, same: folds.where(F.col("fold") == f if same else F.col("fold") != f)
+    pairs = [(name, f) for name in models for f in range(1, k + 1)]
+    fitted = _in_threads(df.sparkSession, parallelism, [lambda n=n, f=f: models[n].fit(part(f, False)) for n, f in pairs])
+    held = []
+    for (name, f), model in zip(pairs, fitted, strict=True):
+        out = model.transform(part(f, True))
+        columns = [F.lit(name).alias("name"), "fold", F.col("y").cast("double").alias("y"), F.col("prediction").alias("p")]
+        prob = F.lit(None).cast("double") if regression else vector_to_array("probability")[1]
+        held.append(out.select(*columns, prob.alias("prob")))
+    scored = reduce(DataFrame.unionByName, held).persist()
+    error = F.avg(F.pow(F.col("y") - F.col("p"), F.lit(2)))
+    if regression:
+        out = scored.groupBy("name", "fold").agg((-error).alias("neg_mse"))
+        values = ["neg_mse"]
+    else:
+        ranks = auc_of_scores(scored, "y", ["prob"], ["name", "fold"]).select("name", "fold", F.col("auc").alias("roc_auc"))
+        flat = fold_metrics(scored, ["name", "fold"], "y", "p").withColumn("neg_mse", -F.col("mse"))
+        out = flat.select("name", "fold", "f1", "neg_mse").join(ranks, ["name", "fold"], "left")
+        values = ["f1", "neg_mse", "roc_auc"]
+    long = out.unpivot(["name", "fold"], values, "metric", "value").withColumnRenamed("name", "model")
+    # models x folds x metrics numbers: small and final, so the kept frames can go
+    result = df.sparkSession.createDataFrame(long.collect(), "model string, fold int, metric string, value double")
+    scored.unpersist()
     folds.unpersist()
-    return spark.createDataFrame(rows, "model string, fold int, metric string, value double")
+    return result
 
 
 def nested_cv(
