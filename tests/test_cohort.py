@@ -12,7 +12,7 @@ def test_segmented_collapse_equals_plain_collapse(spark):
     rows = [(rng.choice([1, 1, 1, 2, 3]), rng.randint(0, 99), i, rng.choice(["Yes", "No", None])) for i in range(500)]
     df = spark.createDataFrame(rows, "k int, day int, seq int, v string")
     plain = {r["k"]: r["v_list"] for r in cohort.collapse(df, ["k"], {"v": "nan"}, ["day", "seq"]).collect()}
-    cut = cohort.collapse(df.repartition(5), ["k"], {"v": "nan"}, ["day", "seq"], segment=F.floor(F.col("day") / 10))
+    cut = cohort.collapse(df.repartition(5), ["k"], {"v": "nan"}, ["day", "seq"], segment=F.floor(F.col("day") / 10), hot_rows=50)
     assert {r["k"]: r["v_list"] for r in cut.collect()} == plain
     for k in plain:
         mine = sorted([r for r in rows if r[0] == k], key=lambda r: (r[1], r[2]))
@@ -23,7 +23,7 @@ def test_longest_runs_equal_brute_force(spark):
     rng = random.Random(4)
     rows = [(rng.choice([1, 1, 2]), i, rng.random() < 0.7) for i in range(400)]
     df = spark.createDataFrame(rows, "k int, day int, hit boolean")
-    runs = cohort.longest_runs(df, ["k"], {"run": F.col("hit")}, ["day"], segment=F.floor(F.col("day") / 7))
+    runs = cohort.longest_runs(df, ["k"], {"run": F.col("hit")}, ["day"], segment=F.floor(F.col("day") / 7), hot_rows=150)
     for r in runs.collect():
         best = now = 0
         for _, _, hit in sorted(x for x in rows if x[0] == r["k"]):

@@ -136,8 +136,8 @@ FROM orders WHERE o_orderkey NOT IN (SELECT o_orderkey FROM test)
 """,
 )
 def owner_exclusion(spark: SparkSession, folder: str) -> DataFrame:
-    orders = scan(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
-    test = orders.where((F.col("o_orderstatus") == "P") & (F.col("o_totalprice") > 400000))
+    orders = scan(spark, folder, "orders").select("o_orderkey", "o_custkey")
+    test = scan(spark, folder, "orders", where=(F.col("o_orderstatus") == "P") & (F.col("o_totalprice") > 400000))
     rest = difference(orders, test, "o_orderkey")
     kept, removed = exclude_owners(rest, test, "o_custkey")
     columns = ["o_orderkey", "o_custkey"]
@@ -154,7 +154,7 @@ FROM orders
 """,
 )
 def existence_flag(spark: SparkSession, folder: str) -> DataFrame:
-    ids = scan(spark, folder, "lineitem").where(F.col("l_quantity") > 48).select(F.col("l_orderkey").alias("o_orderkey"))
+    ids = scan(spark, folder, "lineitem", where=F.col("l_quantity") > 48).select(F.col("l_orderkey").alias("o_orderkey"))
     flagged = with_membership(scan(spark, folder, "orders").select("o_orderkey"), ids, "o_orderkey", "listed")
     return flagged.withColumn("listed", F.col("listed").cast("int"))
 

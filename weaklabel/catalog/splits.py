@@ -95,8 +95,8 @@ FROM order_units u LEFT JOIN ranked r ON u.unit_id = r.unit_id
 
 @query("H6 H1 H2 C8", _SPLIT_SQL)
 def full_split(spark: SparkSession, folder: str) -> DataFrame:
-    lines = scan(spark, folder, "lineitem")
-    cases = lines.where((F.col("l_quantity") > 49) & (F.col("l_tax") > 0.075)).select(F.col("l_orderkey").alias("unit_id"))
+    lines = scan(spark, folder, "lineitem", where=(F.col("l_quantity") > 49) & (F.col("l_tax") > 0.075))
+    cases = lines.select(F.col("l_orderkey").alias("unit_id"))
     units = views.order_units(spark, folder)
     controls = units.where(F.col("amount") > 499000).select("unit_id")
     return make_splits(units.select("unit_id", "owner_id", "study_group"), "unit_id", "owner_id", "study_group", [cases, controls])

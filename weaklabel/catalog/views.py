@@ -9,7 +9,7 @@ from weaklabel.operators.cohort import collapse, enrich, with_membership
 from weaklabel.operators.label_model import LabelModel
 from weaklabel.operators.rules import CASE, CONTROL, Rule, RuleSet, at_least, ladder, present
 from weaklabel.operators.votes import majority_prob
-from weaklabel.sources.tables import COUNT_COLUMNS, scan
+from weaklabel.sources.tables import COUNT_COLUMNS, scan, spread
 
 import numpy as np
 
@@ -70,7 +70,7 @@ def doc_features(spark: SparkSession, folder: str) -> DataFrame:
     counts = [F.regexp_count("text", F.lit(p)).cast("long").alias(n) for n, p in PATTERNS.items()]
     label = F.when(F.col("quality") == 0, "case").when(F.col("quality") == 1, "control")
     # counts come before the join, so the text itself is never shuffled
-    counted = docs.select("doc_id", "source", "lang", "n_chars", *counts)
+    counted = spread(docs, "doc_id").select("doc_id", "source", "lang", "n_chars", *counts)
     return counted.join(gold, "doc_id", "left").select(
         F.col("doc_id").alias("unit_id"), F.col("source").alias("owner_id"), "lang", "n_chars", *DOC_COUNTS, label.alias("label")
     )
@@ -192,6 +192,10 @@ def line_flags(spark: SparkSession, folder: str) -> DataFrame:
     return scan(spark, folder, "lineitem").select(
         F.col("l_orderkey").alias("unit_id"),
         *LINE_ORDER,
+        "l_quantity",
+        "l_extendedprice",
+        "l_discount",
+        "l_tax",
         F.when(F.col("l_returnflag") == "R", 1).otherwise(0).alias("flag_r"),
         F.when(F.col("l_linestatus") == "O", "Yes").otherwise("No").alias("flag_o"),
     )
@@ -210,15 +214,14 @@ line_lists AS (
 
 
 def line_lists(spark: SparkSession, folder: str) -> DataFrame:
-    """Lists per order, first per (order, ship month): one hot order is many short groups."""
+    """Lists per order; a hot order is joined month by month first."""
     return collapse(
         line_flags(spark, folder),
         ["unit_id"],
         {"flag_r": "nan", "flag_o": "nan"},
         LINE_ORDER,
         segment=F.trunc("l_shipdate", "month"),
-        extra=[F.count(F.lit(1)).alias("__n")],
-        merge_extra={"counts_lines": F.sum("__n")},
+        extra={"counts_lines": (F.count(F.lit(1)), F.sum)},
     )
 
 
@@ -290,15 +293,20 @@ clinical AS (
 
 
 def clinical(spark: SparkSession, folder: str) -> DataFrame:
-    lines = scan(spark, folder, "lineitem")
-    mentions = lines.groupBy(F.col("l_orderkey").alias("unit_id")).agg(
-        *[F.count_if(F.expr(cond)).alias(name) for name, cond in MENTIONS.items()]
+    # lists and counts come from one grouping, so the lines are shuffled once
+    per_visit = collapse(
+        line_flags(spark, folder),
+        ["unit_id"],
+        {"flag_r": "nan", "flag_o": "nan"},
+        LINE_ORDER,
+        segment=F.trunc("l_shipdate", "month"),
+        extra={name: (F.count_if(F.expr(cond)), F.sum) for name, cond in MENTIONS.items()},
     )
     # a partial order has no drug record; it arrives as NaN and leaves as NULL
     prob = F.when(F.col("o_orderstatus") == "P", F.lit(float("nan"))).otherwise(F.round(F.col("amount") / 500000, 4))
     units = nan_to_null(order_units(spark, folder).withColumn("naloxone_admin_prob", prob))
-    joined = enrich(units, line_lists(spark, folder).drop("counts_lines"), mentions, on=["unit_id"], check=False)
-    ids = lines.where(F.expr(CONFOUNDED)).select(F.col("l_orderkey").alias("unit_id"))
+    joined = enrich(units, per_visit, on=["unit_id"], check=False)
+    ids = scan(spark, folder, "lineitem", where=F.expr(CONFOUNDED)).select(F.col("l_orderkey").alias("unit_id"))
     flagged = with_membership(joined, ids, "unit_id", "has_confounder")
     return flagged.select(
         F.col("unit_id").alias("visit_occurrence_id"),

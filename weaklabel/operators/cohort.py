@@ -8,7 +8,7 @@ size is known to be under ``spark.sql.autoBroadcastJoinThreshold`` and shuffles
 from __future__ import annotations
 
 import re
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -103,43 +103,55 @@ def _joined(parts: Column) -> Column:
     return F.array_join(F.transform(F.array_sort(parts), lambda s: s["v"]), SEP)
 
 
+def hot_segment(rows: DataFrame, keys: Sequence[str], segment: Column, hot_rows: int, top: int = 1000) -> DataFrame:
+    """Add ``__seg``: the segment for rows of hot keys, NULL for all others.
+
+    Hot keys are the at most ``top`` largest with over ``hot_rows`` rows: one count that
+    combines before its shuffle, and a short array as scalar subquery, so rows are not
+    moved to find out. Rows of any other key stay one group; results do not depend on it.
+    """
+    key = F.struct(*keys)
+    counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > hot_rows)
+    largest = counts.orderBy(F.col("__n").desc()).limit(top)
+    marked = rows.withColumn("__hot", largest.agg(F.collect_list(key)).scalar())
+    return marked.withColumn("__seg", F.when(F.array_contains("__hot", key), segment)).drop("__hot")
+
+
 def collapse(
     df: DataFrame,
     keys: Sequence[str],
     columns: Mapping[str, str],
     order_by: Sequence[str],
     segment: Column | None = None,
-    extra: Sequence[Column] = (),
-    merge_extra: Mapping[str, Column] | None = None,
+    extra: Mapping[str, tuple[Column, Callable[[Column], Column]]] | None = None,
+    hot_rows: int = 100_000,
 ) -> DataFrame:
     """One row per key with each of ``columns`` joined by ``;;`` in ``order_by`` order.
 
     ``columns`` maps column -> text used for a missing value. Rows with a missing key are
     dropped. ``order_by`` must be total up to equal values. ``segment`` is an expression
-    that never falls along the first order column (a month of a date, say): each
-    (key, segment) is joined first, so one hot key is spread over its segments and only
-    short runs of text meet in the second step. ``extra``/``merge_extra`` are further
-    aggregates and how their partial results merge.
+    that never falls along the first order column (a month of a date, say): the rows of a
+    key with more than ``hot_rows`` rows are joined per segment first, spread over tasks,
+    and only the joined pieces meet. ``extra`` maps a name to a further aggregate and to
+    the function that merges its partial results.
     """
-    keys = list(keys)
+    keys, extra = list(keys), dict(extra or {})
     rows = df.dropna(subset=keys)
     place = F.struct(*[F.col(c) for c in order_by])
-
-    def items(name: str, missing: str) -> Column:
-        return F.struct(place.alias("o"), as_text(name, missing).alias("v"))
-
+    lists = [
+        _joined(F.collect_list(F.struct(place.alias("o"), as_text(c, m).alias("v")))).alias(f"{c}_list") for c, m in columns.items()
+    ]
+    more = [agg.alias(n) for n, (agg, _merge) in extra.items()]
+    # lists do not shrink before a shuffle, so rows are placed once and grouped where they are
     if segment is None:
-        merged = [_joined(F.collect_list(items(c, m))).alias(f"{c}_list") for c, m in columns.items()]
-        return rows.groupBy(*keys).agg(*merged, *extra)
-    rows = rows.withColumn("__seg", segment)
-    partial = rows.groupBy(*keys, "__seg").agg(
-        *[_joined(F.collect_list(items(c, m))).alias(f"{c}_list") for c, m in columns.items()], *extra
-    )
-    seg = F.struct(F.col("__seg").alias("o"))
-    final = [
-        _joined(F.collect_list(F.struct(seg.alias("o"), F.col(f"{c}_list").alias("v")))).alias(f"{c}_list") for c in columns
+        return rows.repartition(*keys).groupBy(*keys).agg(*lists, *more)
+    placed = hot_segment(rows, keys, segment, hot_rows).repartition(*keys, "__seg")
+    partial = placed.groupBy(*keys, "__seg").agg(*lists, *more)
+    pieces = [
+        _joined(F.collect_list(F.struct(F.col("__seg").alias("o"), F.col(f"{c}_list").alias("v")))).alias(f"{c}_list")
+        for c in columns
     ]
-    return partial.groupBy(*keys).agg(*final, *[m.alias(n) for n, m in (merge_extra or {}).items()])
+    return partial.groupBy(*keys).agg(*pieces, *[merge(F.col(n)).alias(n) for n, (_agg, merge) in extra.items()])
 
 
 def _run_summary(flags: Column) -> Column:
@@ -173,15 +185,20 @@ def _merge_runs(parts: Column) -> Column:
 
 
 def longest_runs(
-    df: DataFrame, keys: Sequence[str], matches: Mapping[str, Column], order_by: Sequence[str], segment: Column
+    df: DataFrame,
+    keys: Sequence[str],
+    matches: Mapping[str, Column],
+    order_by: Sequence[str],
+    segment: Column,
+    hot_rows: int = 100_000,
 ) -> DataFrame:
     """Longest run of consecutive matching rows per key, without building the joined text.
 
-    Each (key, segment) becomes four numbers per match column and the numbers merge in
-    segment order, so a key of any size ends as a few numbers.
+    Each key, or each segment of a hot key, becomes four numbers per match column and the
+    numbers merge in segment order, so a key of any size ends as a few numbers.
     """
     keys = list(keys)
-    rows = df.dropna(subset=keys).withColumn("__seg", segment)
+    rows = hot_segment(df.dropna(subset=keys), keys, segment, hot_rows).repartition(*keys, "__seg")
     place = F.struct(*[F.col(c) for c in order_by])
     partial = rows.groupBy(*keys, "__seg").agg(
         *[

@@ -29,28 +29,39 @@ def vote_patterns(votes: DataFrame, names: Sequence[str], extra: Sequence[str] =
     return votes.groupBy(*names, *extra).agg(F.count(F.lit(1)).alias("n_rows"))
 
 
+def _held_pairs(patterns: DataFrame, names: Sequence[str], every_row: bool) -> DataFrame:
+    """Pairs of votes held by the same row; ``every_row`` adds item -1, which all rows hold."""
+    items = [F.when(F.col(n) != ABSTAIN, F.lit(2 * r) + F.col(n).cast("int")) for r, n in enumerate(names)]
+    if every_row:
+        items = [F.lit(-1), *items]
+    held = patterns.select(F.array_compact(F.array(*items)).alias("items"), "n_rows")
+    first = held.select(F.explode("items").alias("i"), "items", "n_rows")
+    later = F.filter("items", lambda x: (x >= F.col("i")) & ((F.col("i") >= 0) | (x < 0)))
+    both = first.select("i", F.explode(later).alias("j"), "n_rows")
+    return both.groupBy("i", "j").agg(F.sum("n_rows").alias("n_rows"))
+
+
 def vote_pairs(patterns: DataFrame, names: Sequence[str]) -> DataFrame:
     """(i, j, n_rows): how many rows hold both vote i and vote j, i <= j.
 
     Vote ``2 * r + y`` is rule r voting y. Pairs are of rules within a row, never of rows.
     """
-    items = F.array(*[F.when(F.col(n) != ABSTAIN, F.lit(2 * r) + F.col(n).cast("int")) for r, n in enumerate(names)])
-    held = patterns.select(F.array_compact(items).alias("items"), "n_rows")
-    first = held.select(F.explode("items").alias("i"), "items", "n_rows")
-    both = first.select("i", F.explode(F.filter("items", lambda x: x >= F.col("i"))).alias("j"), "n_rows")
-    return both.groupBy("i", "j").agg(F.sum("n_rows").alias("n_rows"))
+    return _held_pairs(patterns, names, every_row=False)
 
 
 def overlap_matrix(votes: DataFrame, names: Sequence[str], compress: bool = True) -> tuple[np.ndarray, int]:
-    """(O, rows): share of rows holding both votes, as a small symmetric matrix."""
+    """(O, rows): share of rows holding both votes, as a small symmetric matrix.
+
+    ``compress`` counts distinct vote vectors first, which pays off for sparse rules.
+    """
     counted = vote_patterns(votes, names) if compress else votes.select(*names, F.lit(1).cast("bigint").alias("n_rows"))
-    size = F.lit(-1).alias("i"), F.lit(-1).alias("j"), F.coalesce(F.sum("n_rows"), F.lit(0)).alias("n_rows")
-    found = vote_pairs(counted, names).unionByName(counted.agg(size[2]).select(size[0], size[1], "n_rows")).collect()
-    total = next(r["n_rows"] for r in found if r["i"] < 0)
+    found = {(r["i"], r["j"]): r["n_rows"] for r in _held_pairs(counted, names, every_row=True).collect()}
+    total = found.pop((-1, -1), 0)
+    if not total:
+        raise ValueError("no rows to learn from")
     matrix = np.zeros((2 * len(names), 2 * len(names)))
-    for r in found:
-        if r["i"] >= 0:
-            matrix[r["i"], r["j"]] = matrix[r["j"], r["i"]] = r["n_rows"] / total
+    for (i, j), n in found.items():
+        matrix[i, j] = matrix[j, i] = n / total
     return matrix, int(total)
 
 

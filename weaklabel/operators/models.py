@@ -98,6 +98,7 @@ def forest_classifier(
         numTrees=trees,
         maxDepth=tree_depth(depth),
         featureSubsetStrategy=forest_features(features),
+        maxMemoryInMB=1024,
         seed=seed,
     )
     return model.setWeightCol(weight) if weight else model
@@ -112,6 +113,7 @@ def forest_regressor(
         numTrees=trees,
         maxDepth=tree_depth(depth),
         featureSubsetStrategy=forest_features(features),
+        maxMemoryInMB=1024,
         seed=seed,
     )
     return model.setWeightCol(weight) if weight else model

@@ -6,7 +6,7 @@ from collections.abc import Iterable, Mapping
 
 from pyspark.errors import AnalysisException
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import (
     DoubleType,
     IntegerType,
@@ -110,9 +110,26 @@ def write_delimited(df: DataFrame, path: str, sep: str = ",", mode: str = "error
     return path
 
 
-def scan(spark: SparkSession, folder: str, table: str) -> DataFrame:
-    """A parquet table with NaN already turned into NULL."""
-    return nan_to_null(spark.read.parquet(f"{folder}/{table}.parquet"))
+def scan(spark: SparkSession, folder: str, table: str, where: Column | None = None) -> DataFrame:
+    """A parquet table with NaN already turned into NULL.
+
+    ``where`` (comparisons joined by and/or) is applied to the raw columns, so that it is
+    pushed into the scan, and again after NaN became NULL: NaN passes some raw comparisons
+    that NULL does not.
+    """
+    raw = spark.read.parquet(f"{folder}/{table}.parquet")
+    return nan_to_null(raw) if where is None else nan_to_null(raw.where(where)).where(where)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Give a small scan one partition per core before costly per-row work.
+
+    Only when the input has fewer splits than the cluster has cores, which bounds what is
+    moved to about a split per core; a larger input stays where it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    splits = df._jdf.queryExecution().toRdd().getNumPartitions()
+    return df.repartition(cores, *keys) if splits < cores else df
 
 
 class RoundStore:
