@@ -35,9 +35,11 @@ def _held_pairs(patterns: DataFrame, names: Sequence[str], every_row: bool) -> D
     if every_row:
         items = [F.lit(-1), *items]
     held = patterns.select(F.array_compact(F.array(*items)).alias("items"), "n_rows")
-    first = held.select(F.explode("items").alias("i"), "items", "n_rows")
+    # a plain explode makes Spark test the array for emptiness below the grouping, which would
+    # work out every vote a second time
+    first = held.select(F.explode_outer("items").alias("i"), "items", "n_rows")
     later = F.filter("items", lambda x: (x >= F.col("i")) & ((F.col("i") >= 0) | (x < 0)))
-    both = first.select("i", F.explode(later).alias("j"), "n_rows")
+    both = first.select("i", F.explode_outer(later).alias("j"), "n_rows").where(F.col("j").isNotNull())
     return both.groupBy("i", "j").agg(F.sum("n_rows").alias("n_rows"))
 
 
