@@ -160,11 +160,11 @@ s AS (SELECT count(*) FILTER (label = 'case') AS n1, count(*) FILTER (label = 'c
              var_pop(b) FILTER (label = 'case') AS vb1, var_pop(b) FILTER (label = 'control') AS vb0,
              greatest(var_pop(a), var_pop(b)) * 1e-9 AS eps
       FROM t WHERE label IS NOT NULL)
-SELECT unit_id, round(ln(n1 / n0)
+SELECT unit_id, round(least(greatest(ln(n1 / n0)
   - 0.5 * ln(2 * pi() * (va1 + eps)) - (a - a1) * (a - a1) / (2 * (va1 + eps))
   + 0.5 * ln(2 * pi() * (va0 + eps)) + (a - a0) * (a - a0) / (2 * (va0 + eps))
   - 0.5 * ln(2 * pi() * (vb1 + eps)) - (b - b1) * (b - b1) / (2 * (vb1 + eps))
-  + 0.5 * ln(2 * pi() * (vb0 + eps)) + (b - b0) * (b - b0) / (2 * (vb0 + eps)), 4) AS log_odds
+  + 0.5 * ln(2 * pi() * (vb0 + eps)) + (b - b0) * (b - b0) / (2 * (vb0 + eps)), -50), 50), 4) AS log_odds
 FROM t, s
 """
 )
@@ -179,7 +179,9 @@ def gaussian_bayes(spark: SparkSession, folder: str) -> DataFrame:
         F.col("counts_emph").cast("double").alias("b"),
     )
     out = gaussian_bayes_scores(rows.where(F.col("y").isNotNull()), rows, ["a", "b"])
-    return out.select("unit_id", F.round("log_odds", 4).alias("log_odds"))
+    # a class without spread gives odds of any size; beyond 50 only the sign says something
+    odds = F.least(F.greatest("log_odds", F.lit(-50.0)), F.lit(50.0))
+    return out.select("unit_id", F.round(odds, 4).alias("log_odds"))
 
 
 @query("M6 M16")

@@ -21,7 +21,7 @@ def hash_of(key: str | Sequence[str], seed: int) -> Column:
     return F.md5(F.concat_ws(":", *parts, F.lit(str(seed))))
 
 
-def _join_null_safe(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
+def join_null_safe(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
     """Left join on columns that may be NULL; the right copies of the keys go away."""
     if not on:
         raise ValueError("no join columns")
@@ -61,7 +61,7 @@ def hash_rank(
         F.sum("__hr_n").over(group).alias("__hr_total"),
     )
     local = F.row_number().over(Window.partitionBy(*place).orderBy("__hr_hash", key))
-    ranked = _join_null_safe(rows, offsets, place).withColumn(rank, (F.col("__hr_offset") + local).cast("long"))
+    ranked = join_null_safe(rows, offsets, place).withColumn(rank, (F.col("__hr_offset") + local).cast("long"))
     if total:
         ranked = ranked.withColumn(total, F.col("__hr_total"))
     return ranked.drop("__hr_hash", "__hr_bucket", "__hr_offset", "__hr_total")
@@ -133,7 +133,7 @@ def running_totals(
     )
     order = F.col(value).desc() if descending else F.col(value).asc()
     inside = Window.partitionBy(*place).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    joined = _join_null_safe(rows, offsets, place)
+    joined = join_null_safe(rows, offsets, place)
     return joined.withColumns({f"cum_{s}": F.col(f"__off_{s}") + F.sum(s).over(inside) for s in sums}).drop(
         "__bucket", *[f"__off_{s}" for s in sums]
     )

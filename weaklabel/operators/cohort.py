@@ -13,7 +13,6 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from weaklabel.functions.nulls import as_text
 from weaklabel.operators.quality import expect_unique
 
 SEP = ";;"
@@ -50,16 +49,19 @@ def outer_join(many: DataFrame, one: DataFrame, on: Sequence[str], null_safe: bo
     each other. Other columns must have different names on both sides.
     """
     on = list(on)
+    # the many side's keys are thinned before they move: a hot key becomes one row per task
+    seen = many.select(*on).distinct()
     extra_left = [c for c in many.columns if c not in on]
     extra_right = [c for c in one.columns if c not in on]
     if not null_safe:
         matched = many.join(one, on, "left")
-        rest = one.join(many.select(*on), on, "left_anti")
+        rest = one.join(seen, on, "left_anti")
     else:
         right = one.withColumnsRenamed({c: f"__r_{c}" for c in on})
         same = reduce(lambda a, b: a & b, [many[c].eqNullSafe(right[f"__r_{c}"]) for c in on])
         matched = many.join(right, same, "left").drop(*[f"__r_{c}" for c in on])
-        rest = right.join(many.select(*on), same, "left_anti").withColumnsRenamed({f"__r_{c}": c for c in on})
+        unseen = reduce(lambda a, b: a & b, [seen[c].eqNullSafe(right[f"__r_{c}"]) for c in on])
+        rest = right.join(seen, unseen, "left_anti").withColumnsRenamed({f"__r_{c}": c for c in on})
     columns = [*on, *extra_left, *extra_right]
     return matched.select(*columns).unionByName(rest.select(*on, *extra_right), allowMissingColumns=True)
 
@@ -83,7 +85,7 @@ def refresh_features(df: DataFrame, families: Mapping[str, DataFrame], on: Seque
 
 def semi_join_any(df: DataFrame, key: str, *id_sets: DataFrame) -> DataFrame:
     """Rows whose key is in at least one id set."""
-    ids = reduce(DataFrame.unionByName, [s.select(key) for s in id_sets])
+    ids = reduce(DataFrame.unionByName, [s.select(key) for s in id_sets]).distinct()
     return df.join(ids, key, "left_semi")
 
 
@@ -99,8 +101,11 @@ def exclude_owners(df: DataFrame, held_out: DataFrame, owner: str) -> tuple[Data
     return df.join(owners, owner, "left_anti"), df.join(owners, owner, "left_semi")
 
 
-def _joined(parts: Column) -> Column:
-    return F.array_join(F.transform(F.array_sort(parts), lambda s: s["v"]), SEP)
+def _joined(column: str, missing: str, order_by: Sequence[str]) -> Column:
+    """Ordered ``;;`` join of one column as an aggregate."""
+    order = ", ".join(f"`{c}`" for c in order_by)
+    text = f"coalesce(cast(`{column}` AS string), '{missing}')"
+    return F.expr(f"listagg({text}, '{SEP}') WITHIN GROUP (ORDER BY {order})")
 
 
 def hot_segment(rows: DataFrame, keys: Sequence[str], segment: Column, hot_rows: int, top: int = 1000) -> DataFrame:
@@ -137,20 +142,14 @@ def collapse(
     """
     keys, extra = list(keys), dict(extra or {})
     rows = df.dropna(subset=keys)
-    place = F.struct(*[F.col(c) for c in order_by])
-    lists = [
-        _joined(F.collect_list(F.struct(place.alias("o"), as_text(c, m).alias("v")))).alias(f"{c}_list") for c, m in columns.items()
-    ]
+    lists = [_joined(c, m, order_by).alias(f"{c}_list") for c, m in columns.items()]
     more = [agg.alias(n) for n, (agg, _merge) in extra.items()]
     # lists do not shrink before a shuffle, so rows are placed once and grouped where they are
     if segment is None:
         return rows.repartition(*keys).groupBy(*keys).agg(*lists, *more)
     placed = hot_segment(rows, keys, segment, hot_rows).repartition(*keys, "__seg")
     partial = placed.groupBy(*keys, "__seg").agg(*lists, *more)
-    pieces = [
-        _joined(F.collect_list(F.struct(F.col("__seg").alias("o"), F.col(f"{c}_list").alias("v")))).alias(f"{c}_list")
-        for c in columns
-    ]
+    pieces = [_joined(f"{c}_list", "", ["__seg"]).alias(f"{c}_list") for c in columns]
     return partial.groupBy(*keys).agg(*pieces, *[merge(F.col(n)).alias(n) for n, (_agg, merge) in extra.items()])
 
 

@@ -9,7 +9,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from weaklabel.functions.ranking import exact_quantiles, hash_rank, running_totals
+from weaklabel.functions.ranking import exact_quantiles, hash_rank, join_null_safe, running_totals
 from weaklabel.functions.rounding import round_half_even
 
 
@@ -221,7 +221,7 @@ def box_summary(df: DataFrame, value: str, within: Sequence[str]) -> DataFrame:
     rows = df.where(F.col(value).isNotNull())
     quartiles = exact_quantiles(rows, value, {"q1": 0.25, "median": 0.5, "q3": 0.75}, within)
     counts = rows.groupBy(*within, value).agg(F.count(F.lit(1)).alias("__n"))
-    joined = counts.join(quartiles.drop("n"), within)
+    joined = join_null_safe(counts, quartiles.drop("n"), within)
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     inside = (F.col(value) >= F.col("q1") - reach) & (F.col(value) <= F.col("q3") + reach)
     return joined.groupBy(*within, "q1", "median", "q3").agg(

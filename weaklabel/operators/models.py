@@ -33,6 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from weaklabel.operators.evaluate import auc_of_scores, class_of_regression, fold_metrics
 from weaklabel.operators.split import kfold
+from weaklabel.session import cut_lineage
 
 log = logging.getLogger(__name__)
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -319,10 +320,11 @@ def screen(
 ) -> DataFrame:
     """(model, fold, metric, value) of k-fold cross-validation for several models.
 
-    The fold column is made once and the frame is kept for all fits, which run side by side.
+    The frame with its fold column is written once to the shared folder, so that a lost
+    executor costs no recomputation, and kept for all fits, which run side by side.
     The held-out predictions of all models and folds then go through one aggregate.
     """
-    folds = kfold(df, key, k, seed).persist()
+    folds = cut_lineage(kfold(df, key, k, seed)).persist()
     part = lambda f, same: folds.where(F.col("fold") == f if same else F.col("fold") != f)
     pairs = [(name, f) for name in models for f in range(1, k + 1)]
     fitted = _in_threads(df.sparkSession, parallelism, [lambda n=n, f=f: models[n].fit(part(f, False)) for n, f in pairs])
@@ -376,7 +378,7 @@ def nested_cv(
     if fits > max_fits:
         raise ValueError(f"{fits} fits are more than max_fits={max_fits}; shrink the grid or raise the limit")
     spark = df.sparkSession
-    outer = kfold(df, key, k_outer, seed, fold="outer").persist()
+    outer = cut_lineage(kfold(df, key, k_outer, seed, fold="outer")).persist()
     builder = ParamGridBuilder()
     for param, values in grid.items():
         builder = builder.addGrid(estimator.getParam(param), list(values))
