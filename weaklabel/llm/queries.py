@@ -101,7 +101,35 @@ def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.score(docs, grammar, ["doc_id"]).select("doc_id", toxicity.held_out("doc_id").alias("held_out"), "score", "predicted")
 
 
-@register()
+@register(
+    r"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+w AS (SELECT *, [5.0, 2.0, 1.0][(row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 + 1]::DOUBLE AS weight FROM s),
+r AS (SELECT *, 3 * source_size::DOUBLE AS most, 3 * source_size::DOUBLE / weight AS reach FROM w),
+l AS (SELECT *, row_number() OVER o AS turn,
+  (sum(source_size) OVER ()::DOUBLE - coalesce(sum(most) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+  / sum(weight) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM r WINDOW o AS (ORDER BY reach, source IS NULL, source)),
+t AS (SELECT source, source_size, least(most, (SELECT arg_min(level, turn) FROM l WHERE level <= reach) * weight) AS target FROM l),
+n AS (SELECT round(sum(source_size) / 16)::BIGINT AS blocks FROM t),
+q AS (SELECT source, row_number() OVER (ORDER BY target / (2 * i + 1) DESC, source IS NULL, source) AS place
+  FROM (SELECT source, target, unnest(range(0, (SELECT blocks FROM n))) AS i FROM t WHERE target > 0)),
+a AS (SELECT source, count(*) FILTER (place <= (SELECT blocks FROM n)) AS seats FROM q GROUP BY source),
+p AS (SELECT d.*, t.source_size, t.target, coalesce(a.seats, 0) AS seats,
+  ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '-') || ':'), 1, 8))::BIGINT % greatest(ceil(t.source_size / 4000000), 1)::BIGINT AS shard
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source LEFT JOIN a ON d.source IS NOT DISTINCT FROM a.source),
+h AS (SELECT source, shard, seats, sum(size)::BIGINT AS words FROM p GROUP BY ALL),
+k AS (SELECT source, shard, words, seats, row_number() OVER (PARTITION BY source ORDER BY words / (2 * i + 1) DESC, shard) AS place
+  FROM (SELECT *, unnest(range(0, seats)) AS i FROM h WHERE words > 0)),
+z AS (SELECT source, shard, words, least(16 * count(*) FILTER (place <= seats), 3 * words) AS quota FROM k GROUP BY source, shard, words, seats),
+x AS (SELECT p.*, coalesce(z.words, 0) AS words, coalesce(z.quota, 0) AS quota,
+  sum(size) OVER (PARTITION BY p.source, p.shard ORDER BY md5(coalesce(doc_id::VARCHAR, '-') || ':11'), doc_id, size ROWS UNBOUNDED PRECEDING) - size AS start
+  FROM p LEFT JOIN z ON p.source IS NOT DISTINCT FROM z.source AND p.shard = z.shard)
+SELECT doc_id, size, source_size, target,
+  (CASE WHEN words > 0 THEN quota // words ELSE 0 END * size
+   + greatest(0, least(size, quota - CASE WHEN words > 0 THEN quota // words ELSE 0 END * words - start)))::BIGINT AS taken FROM x
+"""
+)
 def op9_source_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(table(spark, folder, "documents"), ["doc_id"])
 
