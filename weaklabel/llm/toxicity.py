@@ -12,10 +12,11 @@ a clause from left to right:
 A clause scores the weighted sum of its matches, a text the sum over its clauses and a bias, as a logistic probability. What
 counts is where and how a word is used, not that it occurs.
 
-The insult lexicon and the weights are learned from labelled rows: words and word beginnings that are met in toxic texts
-and hardly elsewhere, picked greedily until toxic texts are covered several times over; then the weights of the kinds of
-matches by regularised logistic regression on the other half of the rows. Learning takes at most ``SAMPLE`` labelled rows,
-the first by hash of the id; this bounds what the driver holds. Scoring reads every text where it lies; nothing but the
+The insult lexicon and the weights are learned from labelled rows. Candidates are words and word beginnings that are met in
+toxic texts more often than chance explains: by the Chernoff bound, fewer than ``FALSE_TERMS`` of all terms are expected to
+pass without reason. They are picked greedily until toxic texts are covered several times over. The weights of the kinds
+of matches come from regularised logistic regression, each half of the rows read with the lexicon of the other half.
+Learning takes at most ``SAMPLE`` labelled rows, the first by hash of the id; this bounds what the driver holds. Scoring reads every text where it lies; nothing but the
 lexicon travels. Labels, language, source and id are no inputs of a score.
 
 Defined cases: a null or empty text has no clauses and scores by the bias; a null id has no label; rows with one id in
@@ -33,17 +34,19 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weaklabel.llm.common import slices, whole
+from weaklabel.llm.common import slices, whole, written
 
 SLICE_BYTES = 4 << 20
 SAMPLE = 20_000
 REACH = 3
 BEGINNINGS = (4, 5, 6)
-LEAST_ROWS = 5
-LEAST_ODDS = 12.0
+FALSE_TERMS = 0.05
+LEAST_ODDS = 8.0
+LEAST_GAIN = 2
 COVERED = 3
 KEPT_WORDS = 300_000
 
@@ -56,7 +59,8 @@ THREATS = "kill hurt destroy beat stab shoot burn töten umbringen schlagen ersc
 _TOKEN = re.compile(r"[^\W\d_]+|[.!?;:,\n]")
 _OTHER, _BREAK, _TARGET, _NEGATION, _REPORT, _THREAT = "", ".", "t", "n", "r", "x"
 KINDS = ("insult", "insult_targeted", "insult_negated", "insult_reported", "threat", "threat_targeted", "threat_negated", "threat_reported")
-#: Weights before any label is seen, as shares of a plain insult.
+#: The weight of a plain insult of weight 1 before any label is seen, and the other kinds as shares of it.
+SURE = 8.0
 PRIOR = np.array([1.0, 1.2, 0.3, 0.4, 0.0, 0.6, 0.0, 0.1])
 
 
@@ -66,7 +70,7 @@ class Grammar:
 
     words: dict[str, float] = field(default_factory=dict)
     beginnings: dict[str, float] = field(default_factory=dict)
-    weights: np.ndarray = field(default_factory=lambda: PRIOR * 4)
+    weights: np.ndarray = field(default_factory=lambda: PRIOR * SURE)
     bias: float = -4.0
 
     def __post_init__(self) -> None:
@@ -149,15 +153,28 @@ def terms_of(text: str) -> set[str]:
     return words | {f"{w[:n]}*" for w in words for n in BEGINNINGS if len(w) >= n}
 
 
+def _signature(text: str) -> int:
+    """The smallest hash of three words in a row: texts that share most of their words mostly share it."""
+    words = text.encode().lower().split()
+    digest = xxhash.xxh64_intdigest
+    return min((digest(b" ".join(t)) for t in zip(words, words[1:], words[2:])), default=digest(b" ".join(words))) >> 1
+
+
+def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for part in slices(batches, "text", SLICE_BYTES):
+        marks = [_signature(t) for t in part.column("text").to_pylist()]
+        yield pa.record_batch([part.column("text"), part.column("toxic"), pa.array(marks, pa.int64())], names=["text", "toxic", "mark"])
+
+
 def _sample(docs: DataFrame, labels: DataFrame, id_column: str, text_column: str, label_column: str, most: int) -> DataFrame:
-    """At most ``most`` labelled rows of docs: text, toxic, half."""
+    """At most ``most`` labelled rows of docs: text, toxic, half. Of near copies with one label mostly one stays."""
     known = labels.where(F.col(id_column).isNotNull() & F.col(label_column).isNotNull())
     known = known.groupBy(F.col(id_column).cast("long").alias("__id")).agg(F.max(F.col(label_column).cast("int")).alias("toxic"))
     known = known.orderBy(F.xxhash64("__id"), "__id").limit(most)
     # bounded by `most` rows of two numbers
-    return docs.join(F.broadcast(known), F.col(id_column).cast("long") == F.col("__id")).select(
-        whole(text_column).alias("text"), "toxic", F.pmod(F.xxhash64("__id", F.lit(1)), F.lit(2)).alias("half")
-    )
+    known = docs.join(F.broadcast(known), F.col(id_column).cast("long") == F.col("__id")).select(whole(text_column).alias("text"), "toxic")
+    different = known.mapInArrow(_signed, "text string, toxic int, mark long").groupBy("mark", "toxic").agg(F.min("text").alias("text"))
+    return different.select("text", "toxic", F.pmod(F.xxhash64("mark"), F.lit(2)).alias("half"))
 
 
 def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,78 +192,102 @@ def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _pick(candidates: dict[str, float], holds: list[list[str]]) -> list[str]:
-    """Terms that between them cover each list ``COVERED`` times as far as it goes, the most useful first."""
+    """Terms that between them cover each list ``COVERED`` times as far as it goes, the most useful first.
+
+    Of terms that begin alike, a word and its beginnings, only one is picked.
+    """
     lists = defaultdict(list)
     for i, terms in enumerate(holds):
         for t in terms:
             lists[t].append(i)
-    left, picked, taken = [COVERED] * len(holds), [], set()
-    while True:
-        gains = {t: sum(left[i] > 0 for i in own) for t, own in lists.items() if t not in taken}
+    left, picked = [COVERED] * len(holds), []
+    while lists:
+        gains = {t: sum(left[i] > 0 for i in own) for t, own in lists.items()}
         # equal gains: a whole word before a beginning, a longer beginning before a shorter
-        best = max(gains, key=lambda t: (gains[t] * candidates[t], not t.endswith("*"), len(t), t), default=None)
-        if best is None or gains[best] < LEAST_ROWS:
-            return picked
+        best = max(gains, key=lambda t: (gains[t] * candidates[t], not t.endswith("*"), len(t), t))
+        if gains[best] < LEAST_GAIN:
+            break
         picked.append(best)
-        taken.add(best)
         for i in lists[best]:
             left[i] -= 1
+        stem = best.rstrip("*")
+        lists = {t: own for t, own in lists.items() if not (t.startswith(stem) or stem.startswith(t.rstrip("*")))}
+    return picked
 
 
-def _fit(x: np.ndarray, y: np.ndarray, prior: np.ndarray, strength: float = 1.0, steps: int = 50) -> np.ndarray:
-    """Logistic weights (the bias first) by Newton steps, held to ``prior`` like ``strength`` pseudo-observations."""
+def _fit(x: np.ndarray, y: np.ndarray, prior: np.ndarray, strength: float = 0.1, steps: int = 100) -> np.ndarray:
+    """Logistic weights (the bias first), held to ``prior``, by Newton steps that are halved until they help."""
     x = np.column_stack([np.ones(len(x)), x])
-    w = prior.copy()
-    hold = np.full(len(w), strength)
-    hold[0] = 1e-3
+    hold = np.full(x.shape[1], strength)
+
+    def loss(w: np.ndarray) -> float:
+        z = x @ w
+        return float(np.logaddexp(0, z).sum() - (y * z).sum() + 0.5 * (hold * (w - prior) ** 2).sum())
+
+    w, now = prior.copy(), loss(prior)
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -40, 40)))
         gradient = x.T @ (p - y) + hold * (w - prior)
-        hessian = (x * (p * (1 - p))[:, None]).T @ x + np.diag(hold)
-        move = np.linalg.solve(hessian, gradient)
-        w -= move
-        if np.abs(move).max() < 1e-8:
+        move = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(hold), gradient)
+        size = 1.0
+        while size > 1e-6 and loss(w - size * move) > now:
+            size /= 2
+        if size <= 1e-6 or now - (after := loss(w - size * move)) < 1e-9:
             break
+        w, now = w - size * move, after
     return w
 
 
-def learn(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", label_column: str = "toxic", most: int = SAMPLE) -> Grammar:
-    """A grammar from labelled rows: ``labels`` holds only those that may be learned from."""
-    sample = _sample(docs, labels, id_column, text_column, label_column, most)
-    first = sample.where("half = 0")
-    counted = first.mapInArrow(_count_terms, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    sizes = {r["toxic"]: r["n"] for r in first.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+def _lexicon(sample: DataFrame) -> Grammar:
+    """A grammar with the insults that the labelled rows show, and no learned weights."""
+    counted = sample.mapInArrow(_count_terms, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    sizes = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n_toxic, n_clean = sizes.get(1, 0), sizes.get(0, 0)
+    if not n_toxic:
+        return Grammar()
+    rate = (n_toxic + 1) / (n_toxic + n_clean + 2)
+    n = F.col("toxic") + F.col("clean")
+    share = F.col("toxic") / n
+    # n times the relative entropy of the share to the rate: minus the log of the chance of such a share, at most
+    surprise = n * (share * F.log(share / rate) + F.when(F.col("clean") > 0, (1 - share) * F.log((1 - share) / (1 - rate))).otherwise(0.0))
     odds = ((F.col("toxic") + 0.5) / (n_toxic + 1)) / ((F.col("clean") + 0.5) / (n_clean + 1))
-    # at least LEAST_ROWS of at most `most` rows each: as many terms at most as a fixed number of texts has
-    pure = counted.where((F.col("toxic") >= LEAST_ROWS) & (odds >= LEAST_ODDS)).select("term", F.log(odds).alias("weight"))
-    candidates = {r["term"]: r["weight"] for r in pure.collect()}
+    shown = counted.where("toxic > 0").select("term", surprise.alias("surprise"), odds.alias("odds"))
+    tried = shown.where(F.col("surprise") >= -np.log(rate) * 3)  # rarer terms can't pass
+    limit = np.log(max(tried.count(), 1) / FALSE_TERMS)
+    pure = tried.where((F.col("surprise") >= float(limit)) & (F.col("odds") >= LEAST_ODDS)).select("term", (F.log("odds") / 10).alias("weight"))
+    candidates = {r["term"]: r["weight"] for r in pure.collect()}  # no more than the terms of a bounded sample
+    if not candidates:
+        return Grammar()
 
     def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text", SLICE_BYTES):
             found = [sorted(terms_of(t) & candidates.keys()) for t in part.column("text").to_pylist()]
             yield pa.record_batch([pa.array(found, pa.list_(pa.string()))], names=["terms"])
 
-    holds = [r["terms"] for r in first.where("toxic = 1").select("text").mapInArrow(held, "terms array<string>").collect()] if candidates else []
+    holds = [r["terms"] for r in sample.where("toxic = 1").select("text").mapInArrow(held, "terms array<string>").collect()]
     picked = _pick(candidates, holds)
-    grammar = Grammar(
-        {t: candidates[t] for t in picked if not t.endswith("*")},
-        {t[:-1]: candidates[t] for t in picked if t.endswith("*")},
-    )
+    return Grammar({t: candidates[t] for t in picked if not t.endswith("*")}, {t[:-1]: candidates[t] for t in picked if t.endswith("*")})
+
+
+def learn(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", label_column: str = "toxic", most: int = SAMPLE) -> Grammar:
+    """A grammar from labelled rows: ``labels`` holds only those that may be learned from."""
+    sample = written(_sample(docs, labels, id_column, text_column, label_column, most), "toxicity-sample")
+    halves = [_lexicon(sample.where(F.col("half") == h)) for h in (0, 1)]
+    full = _lexicon(sample)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text", SLICE_BYTES):
-            sums = [grammar.matches(t).tolist() for t in part.column("text").to_pylist()]
+            sums = [halves[1 - h].matches(t).tolist() for t, h in zip(part.column("text").to_pylist(), part.column("half").to_pylist())]
             yield pa.record_batch([part.column("toxic"), pa.array(sums, pa.list_(pa.float64()))], names=["toxic", "sums"])
 
-    rows = sample.where("half = 1").select("text", "toxic").mapInArrow(features, "toxic int, sums array<double>").collect()
+    rows = sample.mapInArrow(features, "toxic int, sums array<double>").collect()  # at most `most` rows of a few numbers
     y = np.array([r["toxic"] for r in rows], dtype=np.float64)
     x = np.array([r["sums"] for r in rows], dtype=np.float64).reshape(len(rows), len(KINDS))
     rate = (y.sum() + 0.5) / (len(y) + 1) if len(y) else 0.01
-    prior = np.concatenate([[np.log(rate / (1 - rate))], PRIOR])
+    prior = np.concatenate([[np.log(rate / (1 - rate))], PRIOR * SURE])
     fitted = _fit(x, y, prior)
-    grammar.bias, grammar.weights = float(fitted[0]), fitted[1:]
-    return grammar
+    full.bias, full.weights = float(fitted[0]), fitted[1:]
+    return full
 
 
 def score(docs: DataFrame, grammar: Grammar, keep: list[str], text_column: str = "text", threshold: float = 0.7) -> DataFrame:
