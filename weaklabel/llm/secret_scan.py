@@ -25,7 +25,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weaklabel.llm.common import slices, whole
+from weaklabel.llm.common import slices, whole, written
 
 SLICE_BYTES = 4 << 20
 
@@ -143,7 +143,8 @@ def findings(versions: DataFrame, ledger: DataFrame, keep: list[str], rule_sets:
     by_set = [F.flatten(F.collect_list(F.when((F.col("rule_set") == r.name) & (F.col("rule_version") == r.version), F.col("spans")))).alias(f"spans_{r.name}") for r in rule_sets]
     found = ledger.groupBy("blob").agg(*by_set)
     found = found.where(F.lit(False) if not rule_sets else F.greatest(*[F.size(f"spans_{r.name}") for r in rule_sets], F.lit(0)) > 0)
-    joined = own.join(found, "blob", "left")
+    # a written table, so that Spark can split the versions of a blob that very many paths hold
+    joined = own.join(written(found, "secret-findings"), "blob", "left")
     for r in rule_sets:
         column = f"spans_{r.name}"
         joined = joined.withColumn(column, F.coalesce(column, F.array().cast(found.schema[column].dataType)))
