@@ -171,3 +171,9 @@ def test_review_helpers(spark):
     assert E.base_rate_accuracy(final, "outcome").first()[0] == pytest.approx(1 / 3)
     pivot = {r["outcome"]: (r["n_g1"], r["n_g2"]) for r in E.group_outcome_counts(final, "grid", "outcome", ["g1", "g2"]).collect()}
     assert pivot == {1.0: (2, 0), 0.0: (0, 1)}
+
+
+def test_auc_of_billions(spark):
+    rows = [("m", 0.2, 0, 4_000_000_000), ("m", 0.7, 4_000_000_000, 0), ("t", 0.5, 3_000_000_000, 5_000_000_000)]
+    counts = spark.createDataFrame(rows, "model string, score double, n_case long, n_control long")
+    assert {r["model"]: r["auc"] for r in E.auc_of_counts(counts, ["model"]).collect()} == {"m": 1.0, "t": 0.5}

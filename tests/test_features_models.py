@@ -1,3 +1,5 @@
+import json
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -120,8 +122,31 @@ def test_nested_cv_resumes(points, spark, tmp_path):
     assert again.count() == 8, "finished folds are not run twice"
     wanted = spark.createDataFrame([("CART", first.first()["params"]), ("RF", "x")], "model string, params string")
     assert [r["model"] for r in store.pending(wanted).collect()] == ["RF"]
-    with pytest.raises(ValueError):
-        M.nested_cv(df, tree, {"maxDepth": [2, 4]}, key="id", name="x", max_fits=3)
+    other = M.nested_cv(df, tree, {"maxDepth": [1, 3]}, **args)
+    assert other.count() == 8 and {json.loads(r["params"])["maxDepth"] for r in other.collect()} <= {1, 3}
+
+
+def test_a_weight_that_the_learner_cannot_use_is_refused(points):
+    df, _ = points
+    with pytest.raises(ValueError, match="weights"):
+        M.nested_cv(df, M.perceptron([2, 3, 2]), {}, key="id", name="NN", weight="w", k_outer=2, k_inner=2)
+
+
+def test_a_regressor_scores_its_own_scale(spark):
+    df = spark.createDataFrame([(float(x), 2.0 * x) for x in range(1, 20)], "x double, y double")
+    ready = X.assemble(df, ["x"])
+    model = M.regressors()["LR"].fit(ready)
+    three = ready.where("x = 3")
+    assert M.score(model, three).first()["prob"] == pytest.approx(6)
+    assert M.score(model, three, log_scale=True).first()["prob"] == pytest.approx(np.exp(6))
+
+
+def test_screening_takes_every_learner(points):
+    df, _ = points
+    chosen = M.classifiers(2, trees=5, depth=5, key="id")
+    out = M.screen(df, {n: chosen[n] for n in ("LDA", "KNN", "LR")}, "id", k=2).collect()
+    assert {r["model"] for r in out} == {"LDA", "KNN", "LR"}
+    assert all(0.5 < r["value"] <= 1 for r in out if r["metric"] == "roc_auc")
 
 
 def test_exactly_half_is_class_zero(points):

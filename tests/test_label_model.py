@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from weaklabel.operators.evaluate import auc_of_scores
-from weaklabel.operators.label_model import LabelModel, accuracy, overlap_matrix, solve, tune, vote_pairs, vote_patterns, weights_of
+from weaklabel.operators.label_model import LabelModel, accuracy, class_balance_of, overlap_matrix, solve, tune, vote_pairs, vote_patterns, weights_of
 from weaklabel.operators.votes import with_majority
 
 
@@ -121,3 +121,10 @@ def test_tuning_grid_shape(spark):
     assert grid.columns == ["n_epochs", "lr", "lr_scheduler", "seed", *names, "accuracy"]
     rows = grid.collect()
     assert len(rows) == 8 and all(0.5 < r["accuracy"] <= 1 for r in rows)
+
+
+def test_class_balance_of_rows_without_a_case(spark):
+    none = spark.createDataFrame([(0,)] * 9 + [(None,)], "y int")
+    assert class_balance_of(none, "y") == pytest.approx((0.95, 0.05))
+    with pytest.raises(ValueError, match="class balance"):
+        class_balance_of(none.where("y IS NULL"), "y")

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from weaklabel.functions.ranking import exact_quantiles, first_by_hash, hash_rank, running_totals
+from weaklabel.functions.ranking import cut_points, exact_quantiles, first_by_hash, hash_rank, highest, running_totals
 from weaklabel.operators.split import kfold
 
 
@@ -30,11 +30,30 @@ def test_lead_columns_come_first(spark):
     assert [got[i] for i in want] == list(range(1, 201))
 
 
-@pytest.mark.parametrize("in_memory", [1, 1000])
-def test_first_by_hash_takes_exactly_n(spark, in_memory):
-    df = spark.range(300)
-    got = {r["id"] for r in first_by_hash(df, "id", 41, 9, in_memory=in_memory).collect()}
-    assert got == set(sorted(range(300), key=lambda i: (digest(i, 9), i))[:41])
+@pytest.mark.parametrize("n", [0, 1, 41, 300, 1000])
+def test_first_by_hash_takes_exactly_n(spark, n):
+    got = {r["id"] for r in first_by_hash(spark.range(300), "id", n, 9).collect()}
+    assert got == set(sorted(range(300), key=lambda i: (digest(i, 9), i))[:n])
+
+
+@pytest.mark.parametrize("k", [1, 7, 50, 199, 400])
+def test_highest_with_ties_and_missing_scores(spark, k):
+    rng = random.Random(1)
+    rows = [(i, rng.choice([None, 0.5, 0.5, round(rng.random(), 2)])) for i in range(200)]
+    got = {r["id"] for r in highest(spark.createDataFrame(rows, "id long, s double"), "s", "id", k).collect()}
+    want = sorted(rows, key=lambda r: (-(r[1] if r[1] is not None else float("-inf")), r[0]))[:k]
+    assert got == {i for i, _ in want}
+
+
+def test_a_narrow_group_has_buckets_of_its_own(spark):
+    rng = random.Random(2)
+    rows = [(g, rng.random() * (1e-6 if g == 0 else 1.0)) for g in range(5) for _ in range(3000)]
+    df = spark.createDataFrame(rows, "g int, v double")
+    cuts = {r["g"]: r["__cuts"] for r in cut_points(df, "v", ["g"]).collect()}
+    for g, own in cuts.items():
+        values = sorted(v for x, v in rows if x == g)
+        depth = np.diff([0, *np.searchsorted(values, own), len(values)])
+        assert len(own) > 40 and depth.max() < 6 * len(values) / len(own)
 
 
 @pytest.mark.parametrize("n, k", [(103, 10), (9, 10), (40, 5), (7, 3)])

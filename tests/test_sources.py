@@ -59,3 +59,20 @@ def test_bundle(spark, tmp_path):
     path = T.save_bundle(str(tmp_path / "b"), {"rows": df}, {"m": model})
     back = T.load_model(path, "m").transform(T.load_table(spark, path, "rows")).first()
     assert list(back["f"]) == [1.0, 2.0] and list(assemble(df, ["a", "b"]).first()["features"]) == [1.0, 2.0]
+
+
+def test_a_rerun_replaces_a_whole_round(spark, tmp_path):
+    store = T.RoundStore(spark, str(tmp_path / "rounds"))
+    rows = spark.createDataFrame([(1, "train"), (2, "excluded")], "id int, split string")
+    store.write(rows, 1)
+    store.write(rows, 2)
+    store.write(rows.where("split = 'train'"), 1)
+    assert sorted((r["id"], r["round"]) for r in spark.read.parquet(store.path).collect()) == [(1, 1), (1, 2), (2, 2)]
+
+
+def test_only_a_missing_result_table_is_empty(spark, tmp_path):
+    assert T.ResultStore(spark, str(tmp_path / "none")).load().count() == 0
+    (tmp_path / "bad").mkdir()
+    (tmp_path / "bad" / "part.parquet").write_text("no parquet")
+    with pytest.raises(Exception):
+        T.ResultStore(spark, str(tmp_path / "bad")).load().collect()

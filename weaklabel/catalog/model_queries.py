@@ -137,14 +137,14 @@ def decision_tree(spark: SparkSession, folder: str) -> DataFrame:
 @query("M5 M15 M16")
 def random_forest_weighted(spark: SparkSession, folder: str) -> DataFrame:
     rows = with_class_weight(training_rows(spark, folder), {0: 0.99, 1: 0.01}, "weight", "w").persist()
-    model = forest_classifier(trees=20, depth=50, features=None, weight="w").fit(rows)
+    model = forest_classifier(trees=250, depth=50, features=None, weight="w").fit(rows)
     return score(model, rows).select("unit_id", "y", "prob", "predicted")
 
 
 @query("M5")
 def random_forest_balanced(spark: SparkSession, folder: str) -> DataFrame:
     rows = with_class_weight(training_rows(spark, folder), "balanced", None, "w").persist()
-    model = forest_classifier(trees=20, depth=10, features="sqrt", weight="w").fit(rows)
+    model = forest_classifier(trees=250, depth=10, features="sqrt", weight="w").fit(rows)
     return score(model, rows).select("unit_id", "y", "prob", "predicted")
 
 
@@ -160,11 +160,11 @@ s AS (SELECT count(*) FILTER (label = 'case') AS n1, count(*) FILTER (label = 'c
              var_pop(b) FILTER (label = 'case') AS vb1, var_pop(b) FILTER (label = 'control') AS vb0,
              greatest(var_pop(a), var_pop(b)) * 1e-9 AS eps
       FROM t WHERE label IS NOT NULL)
-SELECT unit_id, round(least(greatest(ln(n1 / n0)
+SELECT unit_id, round(1 / (1 + exp(-(ln(n1 / n0)
   - 0.5 * ln(2 * pi() * (va1 + eps)) - (a - a1) * (a - a1) / (2 * (va1 + eps))
   + 0.5 * ln(2 * pi() * (va0 + eps)) + (a - a0) * (a - a0) / (2 * (va0 + eps))
   - 0.5 * ln(2 * pi() * (vb1 + eps)) - (b - b1) * (b - b1) / (2 * (vb1 + eps))
-  + 0.5 * ln(2 * pi() * (vb0 + eps)) + (b - b0) * (b - b0) / (2 * (vb0 + eps)), -50), 50), 4) AS log_odds
+  + 0.5 * ln(2 * pi() * (vb0 + eps)) + (b - b0) * (b - b0) / (2 * (vb0 + eps))))), 6) AS prob
 FROM t, s
 """
 )
@@ -179,9 +179,7 @@ def gaussian_bayes(spark: SparkSession, folder: str) -> DataFrame:
         F.col("counts_emph").cast("double").alias("b"),
     )
     out = gaussian_bayes_scores(rows.where(F.col("y").isNotNull()), rows, ["a", "b"])
-    # a class without spread gives odds of any size; beyond 50 only the sign says something
-    odds = F.least(F.greatest("log_odds", F.lit(-50.0)), F.lit(50.0))
-    return out.select("unit_id", F.round(odds, 4).alias("log_odds"))
+    return out.select("unit_id", F.round(1 / (1 + F.exp(-F.col("log_odds"))), 6).alias("prob"))
 
 
 @query("M6 M16")
@@ -208,27 +206,26 @@ def linear_regressor(spark: SparkSession, folder: str) -> DataFrame:
     rows = scan(spark, folder, "events").select("event_id", (F.col("value") / 100).alias("x"), F.ln("value").alias("y"))
     ready = assemble(rows, ["x"])
     model = regressors()["LR"].fit(ready)
-    return score(model, ready).select("event_id", F.round("prob", 4).alias("prob"))
+    return score(model, ready, log_scale=True).select("event_id", F.round("prob", 4).alias("prob"))
 
 
 @query("M9 L9")
 def forest_regression(spark: SparkSession, folder: str) -> DataFrame:
     rows = training_rows(spark, folder).withColumn("y", F.ln("outcome")).persist()
     model = forest_regressor(trees=20, depth=10, weight="weight").fit(rows)
-    return score(model, rows).select("unit_id", "outcome", "prob")
+    return score(model, rows, log_scale=True).select("unit_id", "outcome", "prob")
 
 
 @query("M10 M14 D5 H4")
 def classifier_screening(spark: SparkSession, folder: str) -> DataFrame:
     rows = training_rows(spark, folder)
-    chosen = classifiers(len(FEATURES), trees=10)
-    return fold_summary(screen(rows, {n: chosen[n] for n in ("LR", "CART")}, "unit_id", k=3))
+    return fold_summary(screen(rows, classifiers(len(FEATURES), key="unit_id"), "unit_id"))
 
 
 @query("M10 L9")
 def regressor_screening(spark: SparkSession, folder: str) -> DataFrame:
     rows = training_rows(spark, folder).withColumn("y", F.ln("outcome"))
-    return fold_summary(screen(rows, {"LR": regressors()["LR"]}, "unit_id", k=3, regression=True))
+    return fold_summary(screen(rows, regressors(), "unit_id", regression=True))
 
 
 @query("M11 M13 A8")
@@ -236,14 +233,14 @@ def nested_cross_validation(spark: SparkSession, folder: str) -> DataFrame:
     rows = training_rows(spark, folder)
     store = ResultStore(spark, shared_path(spark, "cv"))
     tree = classifiers(len(FEATURES))["CART"]
-    return nested_cv(rows, tree, {"maxDepth": [3, 6]}, "unit_id", "CART", weight="weight", k_outer=2, k_inner=2, store=store)
+    return nested_cv(rows, tree, {"maxDepth": [3, 6]}, "unit_id", "CART", weight="weight", store=store)
 
 
 @query("M12 M11 L9")
 def nested_regression(spark: SparkSession, folder: str) -> DataFrame:
     rows = training_rows(spark, folder).withColumn("y", F.ln("outcome"))
     line = regressors()["LR"]
-    return nested_cv(rows, line, {"regParam": [0.0, 0.1]}, "unit_id", "LR", task="log_regression", k_outer=2, k_inner=2)
+    return nested_cv(rows, line, {"regParam": [0.0, 0.1]}, "unit_id", "LR", task="log_regression")
 
 
 @query("M17 L3 L4")
@@ -279,7 +276,7 @@ def labelling_rounds(spark: SparkSession, folder: str) -> DataFrame:
     frame = stratified_split(visits, "visit_occurrence_id", "study_group", {"case": 33, "control": 17})
     store = RoundStore(spark, shared_path(spark, "labelling"))
     rules: dict[int, RuleSet] = respiratory_rounds()
-    label_rounds(frame, store, rules, "visit_occurrence_id", class_balance=(0.985, 0.015), n_epochs=500)
+    label_rounds(frame, store, rules, "visit_occurrence_id", class_balance=(0.985, 0.015))
     return spark.read.parquet(store.path).groupBy("round", "split").agg(F.count(F.lit(1)).alias("n_units"))
 
 

@@ -7,11 +7,13 @@ on its own, and the bucket totals (a small table) give the offsets.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-HEX = "0123456789abcdef"
+#: Rows that one bucket is meant to hold; the number of buckets follows from the counted rows.
+BUCKET_ROWS = 1_000_000
 
 
 def hash_of(key: str | Sequence[str], seed: int) -> Column:
@@ -41,15 +43,19 @@ def hash_rank(
     lead: Sequence[str] = (),
     rank: str = "rank",
     total: str | None = None,
-    digits: int = 3,
+    digits: int | None = None,
 ) -> DataFrame:
     """1-based row number in (``lead``, hash, key) order inside each ``within`` group.
 
-    The first ``digits`` hex digits of the hash are the bucket, so a group with a
-    third of all rows is spread over ``16 ** digits`` buckets of equal size. ``lead``
-    columns must have few values (a class, a rounded score).
+    The first ``digits`` hex digits of the hash are the bucket, so a group with a third of
+    all rows is spread over ``16 ** digits`` buckets of equal size; by default there are as
+    many as the counted rows need. ``lead`` columns must have few values (a class, a rounded
+    score).
     """
     within, lead = list(within), list(lead)
+    if digits is None:
+        n = df.select(F.count(F.lit(1))).first()[0]
+        digits = max(2, math.ceil(math.log(max(n / BUCKET_ROWS, 1), 16)))
     rows = df.withColumn("__hr_hash", hash_of(key, seed)).withColumn("__hr_bucket", F.substring("__hr_hash", 1, digits))
     place = [*within, *lead, "__hr_bucket"]
     counts = rows.groupBy(*place).agg(F.count(F.lit(1)).alias("__hr_n"))
@@ -81,28 +87,48 @@ def ntile_of(rank: Column | str, total: Column | str, k: int) -> Column:
     )
 
 
-def first_by_hash(df: DataFrame, key: str, n: int, seed: int = 123, in_memory: int = 100_000) -> DataFrame:
-    """Exactly ``n`` rows (or all, if fewer) chosen by hash order.
-
-    A small ``n`` is a bounded top-n; a large one goes through the distributed rank.
-    """
-    if n <= in_memory:
-        return df.orderBy(hash_of(key, seed), key).limit(n)
+def first_by_hash(df: DataFrame, key: str, n: int, seed: int = 123) -> DataFrame:
+    """Exactly ``n`` rows (or all, if fewer) chosen by hash order, for any ``n``."""
     return hash_rank(df, key, seed, rank="__rank").where(F.col("__rank") <= n).drop("__rank")
 
 
-def cut_points(values: DataFrame, value: str, parts: int = 64, distinct: bool = True) -> Column:
-    """About ``parts - 1`` cut points of near equal depth as one scalar subquery.
+def highest(df: DataFrame, score: str, key: str, k: int) -> DataFrame:
+    """The ``k`` rows with the highest score, for any ``k``; ties go to the smaller key, a missing score comes last.
 
-    The sample is the values with the smallest hashes: bounded, and the same whenever
-    Spark evaluates it again, so bucket numbers never disagree. ``distinct=False`` is for
-    values that are known not to repeat.
+    Counts per score give the score at which ``k`` is reached; only rows at that score are ranked by key.
+    """
+    value = F.coalesce(F.col(score).cast("double"), F.lit(float("-inf")))
+    rows = df.withColumn("__value", value)
+    counts = rows.groupBy("__value").agg(F.count(F.lit(1)).alias("__n"))
+    totals = running_totals(counts, "__value", ["__n"], descending=True)
+    edge = totals.where((F.col("cum___n") >= k) & (F.col("cum___n") - F.col("__n") < k))
+    edge = edge.select(F.struct(F.col("__value").alias("v"), (F.lit(k) - F.col("cum___n") + F.col("__n")).alias("open")).alias("e"))
+    marked = rows.withColumn("__edge", edge.scalar())
+    above = marked.where(F.col("__edge").isNull() | (F.col("__value") > F.col("__edge.v")))
+    ties = marked.where(F.col("__value") == F.col("__edge.v"))
+    by_key = running_totals(ties.groupBy(key).agg(F.count(F.lit(1)).alias("__m")), key, ["__m"]).select(F.col(key).alias("__key"), "cum___m")
+    chosen = ties.join(by_key, F.col(key) == F.col("__key")).where(F.col("cum___m") <= F.col("__edge.open"))
+    return above.select(*df.columns).unionByName(chosen.select(*df.columns))
+
+
+def cut_points(values: DataFrame, value: str, within: Sequence[str] = (), parts: int = 64) -> DataFrame:
+    """Per group, some ``parts`` cut points of near equal depth: (``within``, __cuts), one row a group.
+
+    ``values`` has one row per (``within``, ``value``). The sample of a group is the values
+    whose hash falls under a share set by the group's size, so it is bounded, and the same
+    whenever Spark evaluates it again: bucket numbers never disagree.
     """
-    step = 4
-    known = values.where(F.col(value).isNotNull()).select(value)
-    sample = (known.distinct() if distinct else known).orderBy(F.xxhash64(value), value).limit(parts * step)
+    within, step, steps = list(within), 4, 1 << 30
+    known = values.where(F.col(value).isNotNull()).select(*within, value)
+    if within:
+        sizes = known.groupBy(*within).agg(F.count(F.lit(1)).alias("__size"))
+        known = join_null_safe(known, sizes, within)
+    else:
+        known = known.withColumn("__size", known.select(F.count(F.lit(1))).scalar())
+    share = F.lit(float(parts * step)) / F.col("__size")
+    sample = known.where(F.pmod(F.xxhash64(F.lit(31), value), F.lit(steps)) < share * steps)
     ordered = F.array_sort(F.collect_list(value))
-    return sample.agg(F.filter(ordered, lambda _x, i: (i + 1) % step == 0).alias("cuts")).scalar()
+    return sample.groupBy(*within).agg(F.filter(ordered, lambda _x, i: (i + 1) % step == 0).alias("__cuts"))
 
 
 def running_totals(
@@ -115,12 +141,15 @@ def running_totals(
 ) -> DataFrame:
     """Add ``cum_<s>`` (inclusive) and ``all_<s>`` for each of ``sums``, in ``value`` order.
 
-    ``counts`` has one row per (``within``, ``value``), so a hot value is one row and
-    equal-depth buckets stay small.
+    ``counts`` has one row per (``within``, ``value``), so a hot value is one row. Each group
+    has cut points of its own, so its buckets are of near equal depth however narrow its
+    values are; ``parts`` buckets a group, more where the caller has more than ``parts`` million
+    distinct values.
     """
     within = list(within)
-    below = F.size(F.filter("__cuts", lambda c: c < F.col(value)))
-    rows = counts.withColumn("__cuts", cut_points(counts, value, parts, distinct=bool(within)))
+    below = F.coalesce(F.size(F.filter("__cuts", lambda c: c < F.col(value))), F.lit(0))
+    cuts = cut_points(counts, value, within, parts)
+    rows = join_null_safe(counts, cuts, within) if within else counts.withColumn("__cuts", cuts.select("__cuts").scalar())
     rows = rows.withColumn("__bucket", -below if descending else below).drop("__cuts")
     place = [*within, "__bucket"]
     totals = rows.groupBy(*place).agg(*[F.sum(s).alias(f"__{s}") for s in sums])

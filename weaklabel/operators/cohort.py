@@ -11,7 +11,7 @@ import re
 from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from weaklabel.operators.quality import expect_unique
 
@@ -108,18 +108,18 @@ def _joined(column: str, missing: str, order_by: Sequence[str]) -> Column:
     return F.expr(f"listagg({text}, '{SEP}') WITHIN GROUP (ORDER BY {order})")
 
 
-def hot_segment(rows: DataFrame, keys: Sequence[str], segment: Column, hot_rows: int, top: int = 1000) -> DataFrame:
-    """Add ``__seg``: the segment for rows of hot keys, NULL for all others.
+def hot_keys(rows: DataFrame, keys: Sequence[str], hot_rows: int | None = None) -> DataFrame:
+    """The keys that hold more rows than an average shuffle partition, or than ``hot_rows``.
 
-    Hot keys are the at most ``top`` largest with over ``hot_rows`` rows: one count that
-    combines before its shuffle, and a short array as scalar subquery, so rows are not
-    moved to find out. Rows of any other key stay one group; results do not depend on it.
+    By default there are fewer of them than shuffle partitions, whatever the input, so they may be
+    broadcast. The count combines before its shuffle; results do not depend on what counts as hot.
     """
-    key = F.struct(*keys)
-    counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > hot_rows)
-    largest = counts.orderBy(F.col("__n").desc()).limit(top)
-    marked = rows.withColumn("__hot", largest.agg(F.collect_list(key)).scalar())
-    return marked.withColumn("__seg", F.when(F.array_contains("__hot", key), segment)).drop("__hot")
+    counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+    if hot_rows is not None:
+        return counts.where(F.col("__n") > hot_rows).select(*keys)
+    partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    fair = rows.agg((F.count(F.lit(1)) / partitions).alias("fair")).scalar()
+    return F.broadcast(counts.where(F.col("__n") > fair).select(*keys))
 
 
 def collapse(
@@ -129,43 +129,33 @@ def collapse(
     order_by: Sequence[str],
     segment: Column | None = None,
     extra: Mapping[str, tuple[Column, Callable[[Column], Column]]] | None = None,
-    hot_rows: int = 100_000,
+    hot_rows: int | None = None,
 ) -> DataFrame:
     """One row per key with each of ``columns`` joined by ``;;`` in ``order_by`` order.
 
     ``columns`` maps column -> text used for a missing value. Rows with a missing key are
     dropped. ``order_by`` must be total up to equal values. ``segment`` is an expression
     that never falls along the first order column (a month of a date, say): the rows of a
-    key with more than ``hot_rows`` rows are joined per segment first, spread over tasks,
-    and only the joined pieces meet. ``extra`` maps a name to a further aggregate and to
-    the function that merges its partial results.
+    hot key (see ``hot_keys``) are joined per segment first, spread over tasks, and only the
+    joined pieces meet. All other rows are moved once. ``extra`` maps a name to a further
+    aggregate and to the function that merges its partial results.
     """
     keys, extra = list(keys), dict(extra or {})
     rows = df.dropna(subset=keys)
     lists = [_joined(c, m, order_by).alias(f"{c}_list") for c, m in columns.items()]
     more = [agg.alias(n) for n, (agg, _merge) in extra.items()]
-    # lists do not shrink before a shuffle, so rows are placed once and grouped where they are
-    if segment is None:
-        return rows.repartition(*keys).groupBy(*keys).agg(*lists, *more)
-    placed = hot_segment(rows, keys, segment, hot_rows).repartition(*keys, "__seg")
-    partial = placed.groupBy(*keys, "__seg").agg(*lists, *more)
-    pieces = [_joined(f"{c}_list", "", ["__seg"]).alias(f"{c}_list") for c in columns]
-    return partial.groupBy(*keys).agg(*pieces, *[merge(F.col(n)).alias(n) for n, (_agg, merge) in extra.items()])
-
-
-def _run_summary(flags: Column) -> Column:
-    """(length, head, tail, best) of a boolean array: enough to join neighbouring arrays."""
-    zero = F.lit(0).cast("long")
-    start = F.struct(zero.alias("n"), zero.alias("head"), zero.alias("tail"), zero.alias("best"))
 
-    def step(acc: Column, hit: Column) -> Column:
-        tail = F.when(hit, acc["tail"] + 1).otherwise(zero)
-        head = F.when(hit & (acc["head"] == acc["n"]), acc["head"] + 1).otherwise(acc["head"])
-        return F.struct(
-            (acc["n"] + 1).alias("n"), head.alias("head"), tail.alias("tail"), F.greatest(acc["best"], tail).alias("best")
-        )
+    def grouped(part: DataFrame, by: list[str]) -> DataFrame:
+        # lists do not shrink before a shuffle, so rows are placed once and grouped where they are
+        return part.repartition(*by).groupBy(*by).agg(*lists, *more)
 
-    return F.aggregate(flags, start, step)
+    if segment is None:
+        return grouped(rows, keys)
+    hot = hot_keys(rows, keys, hot_rows)
+    partial = grouped(rows.join(hot, keys, "left_semi").withColumn("__seg", segment), [*keys, "__seg"])
+    pieces = [_joined(f"{c}_list", "", ["__seg"]).alias(f"{c}_list") for c in columns]
+    merged = partial.groupBy(*keys).agg(*pieces, *[merge(F.col(n)).alias(n) for n, (_agg, merge) in extra.items()])
+    return grouped(rows.join(hot, keys, "left_anti"), keys).unionByName(merged)
 
 
 def _merge_runs(parts: Column) -> Column:
@@ -189,23 +179,41 @@ def longest_runs(
     matches: Mapping[str, Column],
     order_by: Sequence[str],
     segment: Column,
-    hot_rows: int = 100_000,
+    hot_rows: int | None = None,
 ) -> DataFrame:
     """Longest run of consecutive matching rows per key, without building the joined text.
 
-    Each key, or each segment of a hot key, becomes four numbers per match column and the
-    numbers merge in segment order, so a key of any size ends as a few numbers.
+    Within a key, or a segment of a hot key, a row of a run has as many misses before it as
+    every other row of that run: runs are counted by sorted windows that spill, no list of
+    rows is built. A segment of a hot key ends as four numbers per match column, and these
+    merge in segment order, so a key of any size ends as a few numbers.
     """
     keys = list(keys)
-    rows = hot_segment(df.dropna(subset=keys), keys, segment, hot_rows).repartition(*keys, "__seg")
-    place = F.struct(*[F.col(c) for c in order_by])
-    partial = rows.groupBy(*keys, "__seg").agg(
+    rows = df.dropna(subset=keys).select(*keys, *[c for c in order_by if c not in keys], segment.alias("__seg"), *[F.coalesce(m, F.lit(False)).alias(f"__m_{n}") for n, m in matches.items()])
+    hot = hot_keys(rows, keys, hot_rows)
+    parts = rows.join(hot, keys, "left_anti").withColumn("__seg", F.lit(None).cast(rows.schema["__seg"].dataType))
+    parts = parts.unionByName(rows.join(hot, keys, "left_semi")).repartition(*keys, "__seg")
+    place = [*keys, "__seg"]
+    upward = Window.partitionBy(*place).orderBy(*order_by).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    numbered = parts.withColumn("__at", F.count(F.lit(1)).over(upward))
+    numbered = numbered.withColumns({f"__b_{n}": F.sum(F.when(F.col(f"__m_{n}"), 0).otherwise(1)).over(upward) for n in matches})
+    # the row's place in its run: rows since the last miss
+    lengths = {}
+    for n in matches:
+        miss = F.max(F.when(~F.col(f"__m_{n}"), F.col("__at"))).over(upward)
+        lengths[f"__r_{n}"] = F.when(F.col(f"__m_{n}"), F.col("__at") - F.coalesce(miss, F.lit(0))).otherwise(0)
+    numbered = numbered.withColumns(lengths)
+    partial = numbered.groupBy(*place).agg(
         *[
-            F.array_sort(F.collect_list(F.struct(place.alias("o"), F.coalesce(m, F.lit(False)).alias("v")))).alias(n)
-            for n, m in matches.items()
+            F.struct(
+                F.count(F.lit(1)).alias("n"),
+                F.max(F.when(F.col(f"__b_{n}") == 0, F.col(f"__r_{n}")).otherwise(0)).alias("head"),
+                F.max_by(f"__r_{n}", "__at").alias("tail"),
+                F.max(f"__r_{n}").alias("best"),
+            ).alias(n)
+            for n in matches
         ]
     )
-    partial = partial.withColumns({n: _run_summary(F.transform(n, lambda s: s["v"])) for n in matches})
     merged = partial.groupBy(*keys).agg(
         *[F.array_sort(F.collect_list(F.struct(F.col("__seg").alias("o"), F.col(n).alias("v")))).alias(n) for n in matches]
     )

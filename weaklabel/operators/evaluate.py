@@ -127,12 +127,18 @@ def score_counts(df: DataFrame, outcome: str, scores: Sequence[str], within: Seq
 
 def auc_of_scores(df: DataFrame, outcome: str, scores: Sequence[str], within: Sequence[str] = ()) -> DataFrame:
     """Rank AUC per (``within``, model) with ties at one half; NULL when a class is missing."""
-    groups = [*within, "model"]
-    ranked = running_totals(score_counts(df, outcome, scores, within), "score", ["n_control"], groups)
+    return auc_of_counts(score_counts(df, outcome, scores, within), [*within, "model"])
+
+
+def auc_of_counts(counts: DataFrame, groups: Sequence[str]) -> DataFrame:
+    """Rank AUC per group from (``groups``, score, n_case, n_control), one row per score."""
+    ranked = running_totals(counts, "score", ["n_control"], groups)
     below = F.col("cum_n_control") - F.col("n_control")
-    wins = F.sum(F.col("n_case") * (below + F.col("n_control") / 2))
-    pairs = F.sum("n_case") * F.max("all_n_control")
-    return ranked.groupBy(*groups).agg(F.try_divide(wins, pairs.cast("double")).alias("auc"))
+    # doubles before any product: billions of cases times billions of controls overflow a long
+    n_case = F.col("n_case").cast("double")
+    wins = F.sum(n_case * (below + F.col("n_control") / 2))
+    pairs = F.sum(n_case) * F.max("all_n_control")
+    return ranked.groupBy(*groups).agg(F.try_divide(wins, pairs).alias("auc"))
 
 
 def roc_curve(df: DataFrame, outcome: str, scores: Sequence[str], drop_collinear: bool = False) -> DataFrame:

@@ -67,9 +67,17 @@ def overlap_matrix(votes: DataFrame, names: Sequence[str], compress: bool = True
     return matrix, int(total)
 
 
-def class_balance_of(df: DataFrame, gold: str) -> tuple[float, float]:
-    """(control, case) shares of a 0/1 gold column."""
-    p = df.agg(F.avg(F.col(gold).cast("double"))).first()[0]
+def class_balance_of(df: DataFrame, gold: str, smoothing: float = 0.5) -> tuple[float, float]:
+    """(control, case) shares of a 0/1 gold column, with ``smoothing`` pseudo-rows of each class.
+
+    A small review set may hold no case at all, and no share may be 0.
+    """
+    y = F.col(gold).cast("double")
+    n, n_case = df.agg(F.count(y), F.coalesce(F.sum(y), F.lit(0.0))).first()
+    if not n:
+        raise ValueError(f"no row has a value in {gold}: the class balance can't be learned from it")
+    smooth = smoothing if n_case in (0, n) else 0.0
+    p = (n_case + smooth) / (n + 2 * smooth)
     return 1 - p, p
 
 

@@ -26,9 +26,9 @@ from pyspark.ml.classification import (
     RandomForestClassifier,
 )
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import LinearRegression, RandomForestRegressor
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+from pyspark.ml.tuning import ParamGridBuilder
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from weaklabel.operators.evaluate import auc_of_scores, class_of_regression, fold_metrics
@@ -69,24 +69,79 @@ def with_class_weight(df: DataFrame, class_weight: str | Mapping[int, float] | N
     return df.withColumn(out, base * F.when(F.col("y") == 1, float(class_weight[1])).otherwise(float(class_weight[0])))
 
 
-def classifiers(n_features: int, seed: int = SEED, trees: int = 100) -> dict[str, Estimator]:
-    """Off-the-shelf classifiers of the screening step (the discriminant and the neighbours,
-    which Spark ML lacks, are ``Discriminant`` and ``nearest_neighbours``)."""
+@dataclass
+class Fitted:
+    """A fitted learner of this package: ``transform`` adds prediction and probability columns as Spark models do."""
+
+    add: Callable[[DataFrame], DataFrame]
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        return self.add(df)
+
+
+def _with_probability(df: DataFrame, p: Column) -> DataFrame:
+    both = array_to_vector(F.array(1 - p, p))
+    return df.withColumn("probability", both).withColumn("prediction", (p > 0.5).cast("double"))
+
+
+@dataclass
+class DiscriminantLearner:
+    """Linear discriminant over a feature vector, with the fit and transform of Spark estimators."""
+
+    n_features: int
+
+    def fit(self, df: DataFrame) -> Fitted:
+        names = [f"__f{i}" for i in range(self.n_features)]
+
+        def wide(frame: DataFrame) -> DataFrame:
+            return frame.withColumn("__x", vector_to_array("features")).withColumns({n: F.col("__x")[i] for i, n in enumerate(names)})
+
+        fitted = Discriminant.fit(wide(df), names)
+        return Fitted(lambda frame: _with_probability(wide(frame), fitted.prob_case()).drop("__x", *names))
+
+
+@dataclass
+class NeighbourLearner:
+    """The share of cases among the k nearest training rows, with the fit and transform of Spark estimators."""
+
+    key: str
+    k: int = 5
+
+    def fit(self, df: DataFrame) -> Fitted:
+        as_array = vector_to_array("features").alias("v")
+        train = df.select(self.key, as_array, F.col("y").cast("int").alias("label"))
+
+        def add(frame: DataFrame) -> DataFrame:
+            found = nearest_neighbours(train, frame.select(self.key, as_array), self.key, "v", "label", self.k)
+            shares = found.groupBy(self.key).agg(F.avg("label").alias("__p"))
+            return _with_probability(frame.join(shares, self.key, "left"), F.col("__p")).drop("__p")
+
+        return Fitted(add)
+
+
+def classifiers(
+    n_features: int, seed: int = SEED, trees: int = 100, depth: int | None = None, hidden: Sequence[int] = (100,), key: str | None = None
+) -> dict:
+    """Off-the-shelf classifiers of the screening step. ``depth=None`` lets trees grow as deep as Spark can.
+
+    With ``key`` the two learners that Spark ML lacks, discriminant and neighbours, come along.
+    """
     columns = {"featuresCol": "features", "labelCol": "y"}
-    return {
+    found = {
         "LR": LogisticRegression(regParam=0.01, **columns),
-        "CART": DecisionTreeClassifier(maxDepth=10, seed=seed, **columns),
-        "RF": RandomForestClassifier(numTrees=trees, maxDepth=10, seed=seed, **columns),
+        "CART": DecisionTreeClassifier(maxDepth=tree_depth(depth), seed=seed, **columns),
+        "RF": RandomForestClassifier(numTrees=trees, maxDepth=tree_depth(depth), seed=seed, **columns),
         "NB": NaiveBayes(modelType="gaussian", **columns),
-        "NN": MultilayerPerceptronClassifier(layers=[n_features, 20, 2], maxIter=100, seed=seed, **columns),
+        "NN": MultilayerPerceptronClassifier(layers=[n_features, *hidden, 2], maxIter=200, seed=seed, **columns),
     }
+    return found | ({"LDA": DiscriminantLearner(n_features), "KNN": NeighbourLearner(key)} if key else {})
 
 
-def regressors(seed: int = SEED, trees: int = 100) -> dict[str, Estimator]:
+def regressors(seed: int = SEED, trees: int = 100, depth: int | None = None) -> dict[str, Estimator]:
     columns = {"featuresCol": "features", "labelCol": "y"}
     return {
         "LR": LinearRegression(regParam=0.0, **columns),
-        "RF": RandomForestRegressor(numTrees=trees, maxDepth=10, seed=seed, **columns),
+        "RF": RandomForestRegressor(numTrees=trees, maxDepth=tree_depth(depth), seed=seed, **columns),
     }
 
 
@@ -126,14 +181,20 @@ def perceptron(layers: Sequence[int], max_iter: int = 250, seed: int = SEED) ->
     )
 
 
-def score(model: Model, df: DataFrame, prob: str = "prob", predicted: str = "predicted") -> DataFrame:
-    """Add the probability of case and the argmax class (exactly 0.5 is class 0)."""
+def score(
+    model: Model, df: DataFrame, prob: str = "prob", predicted: str = "predicted", log_scale: bool = False
+) -> DataFrame:
+    """Add the probability of case and the argmax class (exactly 0.5 is class 0).
+
+    A regressor gives its prediction, or with ``log_scale`` its exponential, for a target that was
+    a logarithm.
+    """
     out = model.transform(df)
     drop = [c for c in ("rawPrediction", "probability", "prediction") if c in out.columns]
     if "probability" in out.columns:
         p = vector_to_array("probability")[1]
         return out.withColumns({prob: p, predicted: (p > 0.5).cast("int")}).drop(*drop)
-    return out.withColumn(prob, F.exp("prediction")).drop(*drop)
+    return out.withColumn(prob, F.exp("prediction") if log_scale else F.col("prediction")).drop(*drop)
 
 
 def feature_importance(model, names: Sequence[str], top: int = 10) -> DataFrame:
@@ -245,9 +306,10 @@ def nearest_neighbours(
     """(key, neighbour, rank, distance2, label): exact k nearest train rows per query row.
 
     Both sides are cut into hash blocks of about ``block_rows`` rows. A task compares one
-    train block with one query block as a matrix product and keeps k rows per query row, so
-    no pair of rows is ever written out and a task's memory is two blocks; the kept rows are
-    then merged. The work is rows x rows / block size tasks, which exact search needs.
+    train block with one query block by a matrix product, |a|^2 + |b|^2 - 2ab, works out anew
+    the distances that may be among the k smallest, and keeps k rows per query row, so no pair
+    of rows is ever written out and a task's memory is two blocks; the kept rows are then
+    merged. The work is rows x rows / block size tasks, which exact search needs.
     Ties in the squared distance (rounded to ``digits``) go to the smaller neighbour key.
     """
     n_train = train.agg(F.count(F.lit(1))).first()[0]
@@ -268,16 +330,26 @@ def nearest_neighbours(
         if len(qs) and len(ts):
             a, b = np.stack(qs["v"].to_numpy()), np.stack(ts["v"].to_numpy())
             ids, labels, names = ts["t"].to_numpy(), ts["label"].to_numpy(), qs["q"].to_numpy()
-            for i in range(len(a)):
-                d = np.round(((b - a[i]) ** 2).sum(axis=1), digits)
+            aa, bb = (a * a).sum(axis=1), (b * b).sum(axis=1)
+            for at in range(0, len(a), 512):
+                part = slice(at, at + 512)
+                rough = aa[part, None] + bb[None, :] - 2 * (a[part] @ b.T)
                 if skip_self:
-                    d = np.where(ids == names[i], np.inf, d)
-                near = np.lexsort((ids, d))[:k]
-                near = near[np.isfinite(d[near])]
-                out["q"].extend([names[i]] * len(near))
-                out["t"].extend(ids[near])
+                    rough[names[part, None] == ids[None, :]] = np.inf
+                # the product form is exact to a few units of its terms; ties of the rounded distance stay in
+                slack = 1e-9 * (aa[part] + bb.max()) + 2 * 10.0**-digits
+                kept = min(k, len(b))
+                limit = np.partition(rough, kept - 1, axis=1)[:, kept - 1] + slack
+                i, j = np.nonzero((rough <= limit[:, None]) & np.isfinite(rough))
+                i += at
+                d = np.round(((b[j] - a[i]) ** 2).sum(axis=1), digits)
+                order = np.lexsort((ids[j], d, i))
+                i, j, d = i[order], j[order], d[order]
+                near = np.arange(len(i)) - np.searchsorted(i, i) < k
+                out["q"].extend(names[i[near]])
+                out["t"].extend(ids[j[near]])
                 out["distance2"].extend(d[near])
-                out["label"].extend(labels[near])
+                out["label"].extend(labels[j[near]])
         return pd.DataFrame(out)
 
     kept = (
@@ -311,14 +383,15 @@ def _in_threads(spark: SparkSession, parallelism: int, jobs: list[Callable]) ->
 
 def screen(
     df: DataFrame,
-    models: Mapping[str, Estimator],
+    models: Mapping,
     key: str,
     k: int = 5,
     seed: int = SEED,
     regression: bool = False,
     parallelism: int = 4,
 ) -> DataFrame:
-    """(model, fold, metric, value) of k-fold cross-validation for several models.
+    """(model, fold, metric, value) of k-fold cross-validation for several models: Spark
+    estimators or anything else whose ``fit`` gives a ``transform`` that adds their columns.
 
     The frame with its fold column is written once to the shared folder, so that a lost
     executor costs no recomputation, and kept for all fits, which run side by side.
@@ -364,7 +437,6 @@ def nested_cv(
     k_inner: int = 3,
     seed: int = SEED,
     parallelism: int = 4,
-    max_fits: int = 2000,
     class_weights: Sequence = (None,),
     store=None,
 ) -> DataFrame:
@@ -372,11 +444,15 @@ def nested_cv(
 
     Inner folds pick the setting (F1 for classes, squared error for ``regression`` and
     ``log_regression``), the pick is refitted on the outer training part and judged on the
-    outer test part. ``store`` (a ResultStore) skips outer folds that are already there.
+    outer test part. Class weights are those of the rows that a fit sees. ``store`` (a
+    ResultStore) skips outer folds that a run of the same grid, folds, seed and task has left.
     """
-    fits = k_outer * (k_inner * int(np.prod([len(v) for v in grid.values()] or [1])) * len(class_weights) + 1)
-    if fits > max_fits:
-        raise ValueError(f"{fits} fits are more than max_fits={max_fits}; shrink the grid or raise the limit")
+    weighs = weight is not None or any(cw is not None for cw in class_weights)
+    if weighs and not estimator.hasParam("weightCol"):
+        raise ValueError(f"{type(estimator).__name__} takes no row weights")
+    settings = int(np.prod([len(v) for v in grid.values()] or [1])) * len(class_weights)
+    log.info("%s: %s fits", name, k_outer * (k_inner * settings + 1))
+    run = json.dumps([{k: list(v) for k, v in grid.items()}, k_outer, k_inner, seed, task, weight, [str(c) for c in class_weights]], sort_keys=True)
     spark = df.sparkSession
     outer = cut_lineage(kfold(df, key, k_outer, seed, fold="outer")).persist()
     builder = ParamGridBuilder()
@@ -390,55 +466,49 @@ def nested_cv(
         evaluator = MulticlassClassificationEvaluator(labelCol="y", metricName="fMeasureByLabel", metricLabel=1.0)
     done = set()
     if store is not None:
-        done = {r["fold"] for r in store.load().where(F.col("model") == name).select("fold").distinct().collect()}
+        done = {r["fold"] for r in store.load().where((F.col("model") == name) & (F.col("run") == run)).select("fold").distinct().collect()}
     produced = []
     for f in range(1, k_outer + 1):
         if f in done:
             continue
         train = kfold(outer.where(F.col("outer") != f), key, k_inner, seed, fold="__inner")
-        # CrossValidator numbers its folds from 0
-        train = train.withColumn("inner", F.col("__inner") - 1).drop("__inner")
-        best = None
-        for cw in class_weights:
-            weighted = with_class_weight(train, cw, weight, "w").persist()
-            stage = estimator.copy()
-            if stage.hasParam("weightCol") and (cw is not None or weight):
+        train = train.persist()
+
+        def fit(rows: DataFrame, setting, cw):
+            stage = estimator.copy(setting)
+            if weighs:
                 stage.set(stage.getParam("weightCol"), "w")
-            cv = CrossValidator(
-                estimator=stage,
-                estimatorParamMaps=maps,
-                evaluator=evaluator,
-                numFolds=k_inner,
-                foldCol="inner",
-                parallelism=parallelism,
-                seed=seed,
-            ).fit(weighted)
-            weighted.unpersist()
-            pick = min if regression else max
-            value = pick(cv.avgMetrics)
-            better = best is None or (value < best[0] if regression else value > best[0])
-            if better:
-                chosen = {p.name: v for p, v in maps[cv.avgMetrics.index(value)].items()}
-                best = (value, cv.bestModel, chosen | {"class_weight": str(cw)})
-        held = best[1].transform(outer.where(F.col("outer") == f))
+            return stage.fit(with_class_weight(rows, cw, weight, "w"))
+
+        tried = [(m, cw) for cw in class_weights for m in maps]
+
+        def judged(setting, cw, g: int) -> float:
+            model = fit(train.where(F.col("__inner") != g), setting, cw)
+            return evaluator.evaluate(model.transform(train.where(F.col("__inner") == g)))
+
+        jobs = [(i, g) for i in range(len(tried)) for g in range(1, k_inner + 1)]
+        values = _in_threads(spark, parallelism, [lambda i=i, g=g: judged(*tried[i], g) for i, g in jobs])  # noqa: B023
+        means = [float(np.mean([v for (i, _), v in zip(jobs, values, strict=True) if i == n])) for n in range(len(tried))]
+        setting, cw = tried[int(np.argmin(means) if regression else np.argmax(means))]
+        model = fit(train, setting, cw)
+        train.unpersist()
+        chosen = {p.name: v for p, v in setting.items()} | {"class_weight": str(cw)}
+        held = model.transform(outer.where(F.col("outer") == f))
         if regression:
             p, y = class_of_regression("prediction", "y", task == "log_regression")
         else:
             p, y = F.col("prediction").cast("int"), F.col("y").cast("int")
         m = fold_metrics(held.select(F.lit(f).alias("fold"), y.alias("yy"), p.alias("pp")), ["fold"], "yy", "pp").first()
-        text = json.dumps(best[2], sort_keys=True)
-        rows = [(name, text, f, metric, m[metric]) for metric in ("acc", "f1", "mse", "auc")]
-        part = spark.createDataFrame(rows, "model string, params string, fold int, metric string, value double")
+        text = json.dumps(chosen, sort_keys=True)
+        rows = [(name, text, f, metric, m[metric], run) for metric in ("acc", "f1", "mse", "auc")]
+        part = spark.createDataFrame(rows, "model string, params string, fold int, metric string, value double, run string")
         if store is not None:
             store.append(part)
         produced.append(part)
     outer.unpersist()
     if store is not None:
-        return store.load().where(F.col("model") == name)
-    out = produced[0]
-    for part in produced[1:]:
-        out = out.unionByName(part)
-    return out
+        return store.load().where((F.col("model") == name) & (F.col("run") == run)).drop("run")
+    return reduce(DataFrame.unionByName, produced).drop("run")
 
 
 def sensitivity_variants(
@@ -457,8 +527,7 @@ def sensitivity_variants(
         for label, column in (("weighted", weight), ("unweighted", None)):
             model = make(column).fit(rows)
             out = score(model, out, f"{name}_{label}_prob", f"__{name}_{label}")
-    keep = [f"{n}_{w}_prob" for n in targets for w in ("weighted", "unweighted")]
-    return out.select(key, *keep)
+    return out.select(key, *sensitivity_names(targets))
 
 
 def sensitivity_names(targets: Iterable[str]) -> list[str]:

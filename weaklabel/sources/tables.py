@@ -121,17 +121,6 @@ def scan(spark: SparkSession, folder: str, table: str, where: Column | None = No
     return nan_to_null(raw) if where is None else nan_to_null(raw.where(where)).where(where)
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Give a small scan one partition per core before costly per-row work.
-
-    Only when the input has fewer splits than the cluster has cores, which bounds what is
-    moved to about a split per core; a larger input stays where it is.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    splits = df._jdf.queryExecution().toRdd().getNumPartitions()
-    return df.repartition(cores, *keys) if splits < cores else df
-
-
 class RoundStore:
     """All rounds and splits in one table partitioned by both, so a round is a pruned read."""
 
@@ -139,11 +128,8 @@ class RoundStore:
         self.spark, self.path = spark, path
 
     def write(self, frame: DataFrame, round: int) -> None:
-        """Write one labelled frame (with a ``split`` column) as a round; a rerun replaces it."""
-        rows = frame.withColumn("round", F.lit(round))
-        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("round", "split").parquet(
-            self.path
-        )
+        """Write one labelled frame (with a ``split`` column) as a round; a rerun replaces it as a whole."""
+        frame.write.mode("overwrite").partitionBy("split").parquet(f"{self.path}/round={round}")
 
     def load(self, round: int, split: str | None = None) -> DataFrame:
         rows = self.spark.read.parquet(self.path).where(F.col("round") == round)
@@ -174,7 +160,7 @@ def load_model(path: str, name: str) -> PipelineModel:
 class ResultStore:
     """Cross-validation results in long form: finished work is skipped after a restart."""
 
-    schema = "model string, params string, fold int, metric string, value double"
+    schema = "model string, params string, fold int, metric string, value double, run string"
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
@@ -182,7 +168,9 @@ class ResultStore:
     def load(self) -> DataFrame:
         try:
             return self.spark.read.schema(self.schema).parquet(self.path)
-        except AnalysisException:
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
             return self.spark.createDataFrame([], self.schema)
 
     def append(self, rows: DataFrame) -> None:
