@@ -174,6 +174,9 @@ class ResultStore:
             return self.spark.createDataFrame([], self.schema)
 
     def append(self, rows: DataFrame) -> None:
+        """Add finished work; ``run`` names the settings it belongs to and may be left out."""
+        if "run" not in rows.columns:
+            rows = rows.withColumn("run", F.lit(None).cast("string"))
         rows.select(*[f.split()[0] for f in self.schema.split(", ")]).write.mode("append").parquet(self.path)
 
     def pending(self, wanted: DataFrame, keys: Iterable[str] = ("model", "params")) -> DataFrame:
