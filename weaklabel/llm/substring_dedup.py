@@ -186,7 +186,7 @@ def _frequent(length: int):
 
 def _pack(window: int, length: int, hot: np.ndarray, buckets: int):
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        squeeze = zstandard.ZstdCompressor(level=1)
+        squeeze = zstandard.ZstdCompressor(level=3)
         for part in slices(batches, "text", SLICE_BYTES):
             ids = np.asarray(part.column("id"))
             marks = np.asarray(part.column("mark"))
@@ -320,7 +320,7 @@ def _compare(window: int):
     return compare
 
 
-def repeated_spans(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", window: int = 20, minimiser: int = 4, bucket_bytes: int = 8 << 20) -> DataFrame:
+def repeated_spans(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", window: int = 20, minimiser: int = 2, bucket_bytes: int = 8 << 20) -> DataFrame:
     """Spans of words to remove: id, mark (hash of the text), begin, stop (word numbers); spans of a document may overlap.
 
     ``bucket_bytes`` bounds what one step of the comparing tasks holds, about tenfold in memory.
@@ -363,7 +363,7 @@ def _keep(columns: list[str]):
     return keep
 
 
-def remove_repeated(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", window: int = 20, minimiser: int = 4, with_text: bool = True) -> DataFrame:
+def remove_repeated(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", window: int = 20, minimiser: int = 2, with_text: bool = True) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_words, n_removed, kept_sha256 and, if asked for, kept_text."""
     spans = repeated_spans(docs, id_column, text_column, window, minimiser)
     spans = spans.groupBy("id", "mark").agg(F.collect_list(F.struct("begin", "stop")).alias("spans"))
