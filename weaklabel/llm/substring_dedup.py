@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from weaklabel.llm.common import NULL_ID, SPACES, id_key, raw_texts, slices, whole
 
 SLICE_BYTES = 2 << 20
+HASHED_WORDS = 1 << 16
 HOT_SHARE = 10_000
 _IS_SPACE = np.zeros(256, dtype=bool)
 _IS_SPACE[list(SPACES)] = True
@@ -45,7 +46,7 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     if not _powers or len(_powers[0]) < n:
         made = []
         for base in (_STEP, _BACK):
-            x = np.full(max(n, SLICE_BYTES + (64 << 10)), base, dtype=np.uint64)
+            x = np.full(max(n, 1 << 20), base, dtype=np.uint64)
             x[0] = 1
             made.append(np.multiply.accumulate(x))
         _powers[:] = made
@@ -79,19 +80,24 @@ class Words:
         self.counts = counts
         self.first_word = np.cumsum(counts) - counts
         self.size = len(first)
-        self._sums: np.ndarray | None = None
 
     def hashes(self, length: int) -> np.ndarray:
-        """A hash of each run of ``length`` words, by its first word; runs may cross documents."""
+        """A hash of each run of ``length`` words, by its first word; runs may cross documents.
+
+        The bytes of a run times powers of a number, summed; taken over some thousand words at a time, as only the run
+        itself counts, wherever it stands.
+        """
         n = self.size - length + 1
-        if n <= 0:
-            return np.zeros(0, dtype=np.uint64)
-        up, down = _power_tables(len(self.bytes) + 1)
-        if self._sums is None:
-            self._sums = np.zeros(len(self.bytes) + 1, dtype=np.uint64)
-            np.cumsum(_BYTE_CODES[self.bytes] * up[: len(self.bytes)], out=self._sums[1:])
-        a, b = self.start[:n], self.end[length - 1 :]
-        return _mixed((self._sums[b] - self._sums[a]) * down[a])
+        out = np.zeros(max(n, 0), dtype=np.uint64)
+        for a in range(0, n, HASHED_WORDS):
+            b = min(a + HASHED_WORDS, n)
+            low, high = int(self.start[a]), int(self.end[b + length - 2])
+            up, down = _power_tables(high - low + 1)
+            sums = np.zeros(high - low + 1, dtype=np.uint64)
+            np.cumsum(_BYTE_CODES[self.bytes[low:high]] * up[: high - low], out=sums[1:])
+            first, last = self.start[a:b] - low, self.end[a + length - 1 : b + length - 1] - low
+            out[a:b] = _mixed((sums[last] - sums[first]) * down[first])
+        return out
 
     def inside(self, length: int) -> np.ndarray:
         """Whether the run of ``length`` words from each word lies in one document."""
