@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weaklabel.llm.common import id_key, whole
+from weaklabel.llm.common import id_key, whole, written
 
 MIN_CHARS = 30
 
@@ -85,6 +85,8 @@ def later_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     runs = _windows(_keyed(docs.where(F.col(text_column).isNotNull()), id_column, text_column), min_chars)
     where = F.struct("id", "mark", "place")
     firsts = runs.groupBy("name").agg(F.min(where).alias("first"), F.count("*").alias("n")).where("n > 1").select("name", "first")
+    # a written table, so that Spark can split the places of a line that very many documents hold
+    firsts = written(firsts, "line-firsts")
     return runs.join(firsts, "name").where(where > F.col("first")).select("id", "mark", "place", "n_lines")
 
 
