@@ -143,6 +143,8 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, spread: float = 3
     number = F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block")
     packed = queries.groupBy("d", number).agg(F.collect_list(F.struct("id", "vector")).alias("queries"))
     met = index.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))).join(packed, ["d", "block"])
-    found = met.mapInArrow(_search(k, spread, seed), "query_id long, vec_id long, score double")
+    # a row is much work for few bytes: as many parts as shuffles have, not as few as the bytes would fill
+    parts = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = met.repartition(parts).mapInArrow(_search(k, spread, seed), "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
