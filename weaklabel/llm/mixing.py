@@ -29,7 +29,7 @@ from weaklabel.llm.common import n_words, whole
 WEIGHTS = (5, 2, 1)
 MOST_TIMES = 3
 BLOCK = 16
-SHARD_WORDS = 4_000_000
+SHARD_WORDS = 250_000
 SEED = 11
 
 

@@ -116,7 +116,7 @@ q AS (SELECT source, row_number() OVER (ORDER BY target / (2 * i + 1) DESC, sour
   FROM (SELECT source, target, unnest(range(0, (SELECT blocks FROM n))) AS i FROM t WHERE target > 0)),
 a AS (SELECT source, count(*) FILTER (place <= (SELECT blocks FROM n)) AS seats FROM q GROUP BY source),
 p AS (SELECT d.*, t.source_size, t.target, coalesce(a.seats, 0) AS seats,
-  ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '-') || ':'), 1, 8))::BIGINT % greatest(ceil(t.source_size / 4000000), 1)::BIGINT AS shard
+  ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '-') || ':'), 1, 8))::BIGINT % greatest(ceil(t.source_size / 250000), 1)::BIGINT AS shard
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source LEFT JOIN a ON d.source IS NOT DISTINCT FROM a.source),
 h AS (SELECT source, shard, seats, sum(size)::BIGINT AS words FROM p GROUP BY ALL),
 k AS (SELECT source, shard, words, seats, row_number() OVER (PARTITION BY source ORDER BY words / (2 * i + 1) DESC, shard) AS place
