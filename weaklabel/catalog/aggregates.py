@@ -9,7 +9,7 @@ from weaklabel.catalog.registry import query
 from weaklabel.catalog.views import r6
 from weaklabel.operators.cohort import longest_runs
 from weaklabel.operators.evaluate import box_summary, fold_summary, group_outcome_counts, histogram
-from weaklabel.operators.quality import duplicate_keys, null_audit, overlap
+from weaklabel.operators.quality import duplicate_keys, expect_rows, null_audit, overlap
 from weaklabel.sources.tables import scan
 
 
@@ -237,6 +237,9 @@ UNION ALL SELECT 'repeated keys', (SELECT count(*) FROM (SELECT user_id FROM eve
 )
 def expectation_report(spark: SparkSession, folder: str) -> DataFrame:
     docs, events, labels = (scan(spark, folder, t) for t in ("documents", "events", "labels"))
+    # the guard itself: parts of a table must add up to it
+    long, short = docs.where(F.col("n_chars") > 1000), docs.where(~F.coalesce(F.col("n_chars") > 1000, F.lit(False)))
+    expect_rows(docs, [long, short])
 
     def row(name: str, df: DataFrame) -> DataFrame:
         return df.agg(F.count(F.lit(1)).alias("found")).select(F.lit(name).alias("expectation"), "found")

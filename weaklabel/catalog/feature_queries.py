@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from weaklabel.catalog import views
 from weaklabel.catalog.registry import query
 from weaklabel.catalog.views import r6
+from weaklabel.operators.quality import expect_positive
 from weaklabel.operators.features import (
     assemble,
     binary_features,
@@ -179,5 +180,6 @@ def assembled_vectors(spark: SparkSession, folder: str) -> DataFrame:
     + "SELECT unit_id, round(ln(p_model), 6) AS log_p, round(exp(ln(p_model)), 6) AS p FROM doc_scored",
 )
 def log_targets(spark: SparkSession, folder: str) -> DataFrame:
-    rows = views.doc_scored(spark, folder).select("unit_id", log_target("p_model").alias("log_p"))
+    scored = expect_positive(views.doc_scored(spark, folder), "p_model")
+    rows = scored.select("unit_id", log_target("p_model").alias("log_p"))
     return rows.select("unit_id", r6("log_p").alias("log_p"), r6(F.exp("log_p")).alias("p"))

@@ -15,7 +15,7 @@ from weaklabel.operators.cohort import (
     semi_join_any,
     with_membership,
 )
-from weaklabel.operators.evaluate import adjudicated_set
+from weaklabel.operators.quality import expect_unique
 from weaklabel.operators.split import holdout
 from weaklabel.sources.tables import scan
 
@@ -30,11 +30,11 @@ FROM events e FULL OUTER JOIN customer c ON e.user_id = c.c_custkey
 def outer_join_events(spark: SparkSession, folder: str) -> DataFrame:
     events = scan(spark, folder, "events").select("user_id", F.col("event_id").cast("double").alias("event_id"), "value")
     customer = scan(spark, folder, "customer").select(F.col("c_custkey").alias("user_id"), "c_acctbal", "c_mktsegment")
-    return outer_join(events, customer, ["user_id"])
+    return outer_join(events, expect_unique(customer, "user_id"), ["user_id"])
 
 
 @query(
-    "C2 O1",
+    "C2",
     "WITH "
     + views.CLINICAL_SQL
     + """
@@ -73,14 +73,13 @@ SELECT a.doc_id, a.source, a.n_chars, b.outcome, b.n_chars::DOUBLE AS n_chars_sc
 LEFT JOIN (SELECT d.doc_id, d.source, d.n_chars * 2 AS n_chars, l.quality::DOUBLE AS outcome
            FROM documents d JOIN labels l ON d.doc_id = l.doc_id) b
 ON a.doc_id = b.doc_id AND a.source = b.source
-WHERE b.outcome IS NOT NULL
 """,
 )
 def composite_left_join(spark: SparkSession, folder: str) -> DataFrame:
     docs = scan(spark, folder, "documents").select("doc_id", "source", "n_chars")
     gold = scan(spark, folder, "labels").select("doc_id", F.col("quality").cast("double").alias("outcome"))
-    other = docs.join(gold, "doc_id").withColumn("n_chars", (F.col("n_chars") * 2).cast("double"))
-    return adjudicated_set(docs, other, ["doc_id", "source"])
+    other = docs.join(gold, "doc_id").select("doc_id", "source", "outcome", (F.col("n_chars") * 2).cast("double").alias("n_chars_scored"))
+    return enrich(docs, other, on=["doc_id", "source"])
 
 
 _HALVES_SQL = (

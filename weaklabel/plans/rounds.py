@@ -148,7 +148,8 @@ def label_rounds(
         if refresh:
             current = refresh(current, n)
         moved, models[n] = label_round(current, rule_sets[n], key, class_balance, gold, **options)
-        store.write(moved.select(*frame.columns), n + 1)
+        # the score goes to the reviewers with the rows
+        store.write(moved.select(*[c for c in frame.columns if c != "prob_case"], "prob_case"), n + 1)
     return models
 
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -37,7 +39,8 @@ def local_session(cores: str | int = "*", app: str = "weaklabel", **conf: str) -
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach, named by ``spark.checkpoint.dir``.
 
-    Only a local master may leave it unset: there one machine is the cluster.
+    Only a local master may leave it unset: there one machine is the cluster, and the folder
+    that is made for it goes when the program ends.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
@@ -48,6 +51,7 @@ def shared_folder(spark: SparkSession) -> str:
     app = spark.sparkContext.applicationId
     if app not in _fallback:
         _fallback[app] = tempfile.mkdtemp(prefix="weaklabel-")
+        atexit.register(shutil.rmtree, _fallback[app], ignore_errors=True)
     return _fallback[app]
 
 

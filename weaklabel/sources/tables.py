@@ -132,7 +132,8 @@ class RoundStore:
         frame.write.mode("overwrite").partitionBy("split").parquet(f"{self.path}/round={round}")
 
     def load(self, round: int, split: str | None = None) -> DataFrame:
-        rows = self.spark.read.parquet(self.path).where(F.col("round") == round)
+        # later rounds hold the score that the first one lacks
+        rows = self.spark.read.option("mergeSchema", True).parquet(self.path).where(F.col("round") == round)
         return rows.where(F.col("split") == split) if split else rows
 
     def splits(self, round: int) -> dict[str, DataFrame]:
