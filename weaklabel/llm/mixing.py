@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weaklabel.llm.common import n_words, whole
+from weaklabel.llm.common import n_words, whole, written
 
 WEIGHTS = (5, 2, 1)
 MOST_TIMES = 3
@@ -105,12 +105,14 @@ def mix(
     total = F.sum(F.col("source_size").cast("double")).over(Window.partitionBy())
     dealt = seats(aimed.withColumn("__blocks", F.round(total / block)), "target", F.col("__blocks"), [], [F.col("__source")])
     dealt = dealt.select("__source", "source_size", "target", F.col("seats").alias("__seats"), F.greatest(F.ceil(F.col("source_size") / shard_words), F.lit(1)).cast("long").alias("__shards"))
-    placed = rows.join(dealt, "__source").withColumn("__shard", _shard(F.col("__shards")))
+    # a row a source: from a written table Spark knows whether it is small enough to be broadcast
+    placed = rows.join(written(dealt, "source-seats"), "__source").withColumn("__shard", _shard(F.col("__shards")))
     shards = placed.groupBy("__source", "__shard", "__seats").agg(F.sum("size").alias("__words"))
     quotas = seats(shards, "__words", F.col("__seats"), ["__source"], [F.col("__shard")])
     quotas = quotas.select("__source", "__shard", F.least(F.col("seats") * block, F.col("__words") * most_times).alias("__quota"), "__words")
     drawn = Window.partitionBy("__source", "__shard").orderBy(F.md5(_name(str(seed))), "__id", "size")
-    laid = placed.join(quotas, ["__source", "__shard"])
+    # dealt by shard, so that no task gets a source as a whole
+    laid = placed.repartition("__source", "__shard").join(quotas, ["__source", "__shard"])
     start = F.sum("size").over(drawn.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("size")
     rounds = F.when(F.col("__words") > 0, F.floor(F.col("__quota") / F.col("__words"))).otherwise(0)
     rest = F.col("__quota") - rounds * F.col("__words")
