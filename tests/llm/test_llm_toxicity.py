@@ -70,6 +70,19 @@ def test_labels_held_out_are_never_used(spark):
     assert all(r.predicted == r.doc_id % 2 for r in got)
 
 
+def test_repeats_count_only_where_different_texts_show_nothing(spark):
+    names = [a + b for a in "bcdfghkl" for b in "aeiou"]
+    bad, good = [f"zzbad {n} here" for n in names], [f"plain {n} here" for n in names]
+    copies = ["grumble words here"] * 60
+    texts = [(t, 1) for t in bad + copies] + [(t, 0) for t in good]
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, (_, y) in enumerate(texts)], "doc_id long, toxic int")
+    both = learn(docs, labels)
+    assert set(both.words) == {"zzbad"} and not both.beginnings
+    alone = learn(docs.where("text not like 'zzbad%'"), labels)
+    assert "grumble" in alone.words and not any(w.startswith(("plain", "here")) for w in [*alone.words, *alone.beginnings])
+
+
 def test_defined_cases(spark):
     docs = spark.createDataFrame([(1, None, 3.0), (None, "", 3.0), (2, "a " * 100_000, 3.0), (2, "b", 3.0)], "doc_id long, text string, score double")
     none = spark.createDataFrame([], "doc_id long, toxic int")

@@ -16,8 +16,10 @@ The insult lexicon and the weights are learned from labelled rows. Candidates ar
 toxic texts more often than chance explains: by the Chernoff bound, fewer than ``FALSE_TERMS`` of all terms are expected to
 pass without reason. They are picked greedily until toxic texts are covered several times over. The weights of the kinds
 of matches come from regularised logistic regression, each half of the rows read with the lexicon of the other half.
-Learning takes at most ``SAMPLE`` labelled rows, the first by hash of the id; this bounds what the driver holds. Scoring reads every text where it lies; nothing but the
-lexicon travels. Labels, language, source and id are no inputs of a score.
+Learning takes at most ``SAMPLE`` labelled rows, the first by hash of the id; this bounds what the driver holds. Near copies
+with one label count as one text, as they say little about which of their words matter; only if the different texts show no
+insult at all do repeats count. Scoring reads every text where it lies; nothing but the lexicon travels. Labels, language,
+source and id are no inputs of a score.
 
 Defined cases: a null or empty text has no clauses and scores by the bias; a null id has no label; rows with one id in
 the labels more than once count as toxic if any says so; without toxic labelled rows the lexicon is empty and scores are
@@ -166,15 +168,17 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([part.column("text"), part.column("toxic"), pa.array(marks, pa.int64())], names=["text", "toxic", "mark"])
 
 
-def _sample(docs: DataFrame, labels: DataFrame, id_column: str, text_column: str, label_column: str, most: int) -> DataFrame:
-    """At most ``most`` labelled rows of docs: text, toxic, half. Of near copies with one label mostly one stays."""
+def _sample(docs: DataFrame, labels: DataFrame, id_column: str, text_column: str, label_column: str, most: int, repeats: bool = False) -> DataFrame:
+    """At most ``most`` labelled rows of docs: text, toxic, half. Of near copies with one label mostly one stays, but with ``repeats`` all."""
     known = labels.where(F.col(id_column).isNotNull() & F.col(label_column).isNotNull())
     known = known.groupBy(F.col(id_column).cast("long").alias("__id")).agg(F.max(F.col(label_column).cast("int")).alias("toxic"))
     known = known.orderBy(F.xxhash64("__id"), "__id").limit(most)
     # bounded by `most` rows of two numbers
     known = docs.join(F.broadcast(known), F.col(id_column).cast("long") == F.col("__id")).select(whole(text_column).alias("text"), "toxic")
-    different = known.mapInArrow(_signed, "text string, toxic int, mark long").groupBy("mark", "toxic").agg(F.min("text").alias("text"))
-    return different.select("text", "toxic", F.pmod(F.xxhash64("mark"), F.lit(2)).alias("half"))
+    rows = known.mapInArrow(_signed, "text string, toxic int, mark long")
+    if not repeats:
+        rows = rows.groupBy("mark", "toxic").agg(F.min("text").alias("text"))
+    return rows.select("text", "toxic", F.pmod(F.xxhash64("mark"), F.lit(2)).alias("half"))
 
 
 def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -272,8 +276,11 @@ def _lexicon(sample: DataFrame) -> Grammar:
 def learn(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", label_column: str = "toxic", most: int = SAMPLE) -> Grammar:
     """A grammar from labelled rows: ``labels`` holds only those that may be learned from."""
     sample = written(_sample(docs, labels, id_column, text_column, label_column, most), "toxicity-sample")
-    halves = [_lexicon(sample.where(F.col("half") == h)) for h in (0, 1)]
     full = _lexicon(sample)
+    if not full.words and not full.beginnings:
+        sample = written(_sample(docs, labels, id_column, text_column, label_column, most, repeats=True), "toxicity-sample")
+        full = _lexicon(sample)
+    halves = [_lexicon(sample.where(F.col("half") == h)) for h in (0, 1)]
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text", SLICE_BYTES):
