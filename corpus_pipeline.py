@@ -31,9 +31,8 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, folder: str) -> Da
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """One document, that of the smallest id, of each group of near copies."""
-    groups = simhash.groups(docs).where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(groups, F.col("doc_id") == F.col("__kept"), "left_semi").select(*COLUMNS)
+    """One document, that of the smallest id, of each group of near copies; a null id is the smallest."""
+    return simhash.survivors(docs.select(*COLUMNS))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:

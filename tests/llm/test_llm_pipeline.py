@@ -61,6 +61,24 @@ def test_simhash_stage(stages):
     assert rows_of(out[3]) == sorted((tuple(r) for r in out[2].collect() if groups[r.doc_id][1] == r.doc_id), key=str)
 
 
+def test_simhash_stage_keeps_one_row_of_each_group_whatever_its_id(spark):
+    one, two, three, four = ("".join(f"{w}{k} " for k in range(40)) for w in ("ash", "birch", "cedar", "dogwood"))
+    rows = [
+        (None, one), (4, one), (5, one),  # the null id is the smallest
+        (7, two), (7, two), (8, two),  # repeated rows
+        (7, three), (9, three),  # an id that is also another group's head
+        (None, four),
+        (None, ""), (1, "  "), (2, None), (3, ""),  # no words
+    ]
+    docs = spark.createDataFrame([(i, t, "en", "web", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.drop_near_copies(spark, docs, "")
+    assert got.columns == corpus_pipeline.COLUMNS
+    assert rows_of(got.select("doc_id", "text")) == sorted([(None, one), (7, two), (7, three), (None, four), (None, "")], key=str)
+    # two texts of one id within one group: one stays
+    twice = spark.createDataFrame([(1, one, "en", "web", 1), (1, one.upper(), "en", "web", 1), (2, one, "en", "web", 1)], docs.schema)
+    assert [r.doc_id for r in corpus_pipeline.drop_near_copies(spark, twice, "").collect()] == [1]
+
+
 def test_mixing_stage(stages):
     _, out = stages
     times = Counter()

@@ -22,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weaklabel.llm.common import NULL_ID, id_key, raw_texts, slices, smallest_reachable, whole, written
@@ -53,16 +53,21 @@ def _bits_of(words: list[bytes], width: int, seed: int) -> int:
     return int(np.packbits(ones * 2 > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = 3, seed: int = 42) -> DataFrame:
-    """id and the fingerprint (a long) of each row."""
+def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = 3, seed: int = 42, mark: Column | None = None) -> DataFrame:
+    """id and the fingerprint (a long) of each row, and its mark (a string) where one is given."""
+    marked = mark is not None
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text", SLICE_BYTES):
             # bytes.lower and bytes.split go by A-Z and the six ASCII spaces only
             found = [_bits_of(bytes(t).lower().split(), width, seed) for t in raw_texts(part.column("text"))]
-            yield pa.record_batch([part.column("id"), pa.array(np.array(found, dtype=np.uint64).astype(np.int64))], names=["id", "fingerprint"])
+            own = {"id": part.column("id"), "fingerprint": pa.array(np.array(found, dtype=np.uint64).astype(np.int64))}
+            if marked:
+                own["mark"] = part.column("mark")
+            yield pa.record_batch(list(own.values()), names=list(own))
 
-    return docs.select(id_key(id_column).alias("id"), whole(text_column).alias("text")).mapInArrow(work, "id long, fingerprint long")
+    rows = docs.select(id_key(id_column).alias("id"), whole(text_column).alias("text"), *([mark.alias("mark")] if marked else []))
+    return rows.mapInArrow(work, "id long, fingerprint long" + (", mark string" if marked else ""))
 
 
 def _forest(a: np.ndarray, b: np.ndarray, nodes: int) -> np.ndarray:
@@ -142,15 +147,34 @@ def links(different: DataFrame, radius: int = 3, tile: int = TILE) -> DataFrame:
     return pairs.mapInArrow(_compare(radius), "a long, b long")
 
 
+def _placed(marks: DataFrame, first: Column, radius: int) -> DataFrame:
+    """Each different fingerprint with the root of its group and the smallest ``first`` of its rows."""
+    different = marks.groupBy("fingerprint").agg(F.min(first).alias("first"))
+    roots = smallest_reachable(links(different.select("fingerprint"), radius))
+    return different.join(roots, different.fingerprint == roots.node, "left").select("fingerprint", "first", F.coalesce("root", "fingerprint").alias("root"))
+
+
 def groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = 3, radius: int = 3, seed: int = 42) -> DataFrame:
     """One row per row of ``docs``: doc_id, fingerprint (16 hex digits) and component_id, the smallest doc_id reachable."""
     marks = written(fingerprints(docs, id_column, text_column, width, seed), "simhash-fingerprints")
-    different = marks.groupBy("fingerprint").agg(F.min("id").alias("first"))
-    roots = smallest_reachable(links(different.select("fingerprint"), radius))
-    placed = different.join(roots, different.fingerprint == roots.node, "left").select("fingerprint", "first", F.coalesce("root", "fingerprint").alias("root"))
+    placed = _placed(marks, F.col("id"), radius)
     smallest = placed.groupBy("root").agg(F.min("first").alias("component"))
     named = placed.join(smallest, "root").select("fingerprint", "component")
     null = lambda c: F.nullif(F.col(c), F.lit(NULL_ID))
     return marks.join(named, "fingerprint").select(
         null("id").alias("doc_id"), F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), null("component").alias("component_id")
     )
+
+
+def survivors(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = 3, radius: int = 3, seed: int = 42) -> DataFrame:
+    """The one row of each group that stays: of the smallest id, null first, and of rows of that id the smallest by hash.
+
+    Rows are told apart by a hash of all their columns, so neither a null id nor one that several rows share loses a group
+    or keeps two rows of one; wholly repeated rows stay once.
+    """
+    cells = [F.md5(F.col(c).cast("string")).alias(f"c{k}") for k, c in enumerate(docs.columns)]
+    mark = F.md5(F.to_json(F.struct(*cells)))  # a null cell has no field
+    marks = written(fingerprints(docs, id_column, text_column, width, seed, mark), "simhash-marks")
+    placed = _placed(marks, F.struct("id", "mark"), radius)
+    chosen = placed.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.mark").alias("__mark"))
+    return docs.withColumn("__mark", mark).join(chosen, "__mark", "left_semi").dropDuplicates(["__mark"]).select(*docs.columns)
