@@ -52,7 +52,8 @@ def test_sql_reads_whole_tables():
 
 def test_code_has_no_forbidden_calls():
     root = Path(__file__).resolve().parents[1] / "weaklabel"
-    for path in root.rglob("*.py"):
+    # the optional part has the like test of its own
+    for path in (p for p in root.rglob("*.py") if "llm" not in p.parts):
         text = path.read_text()
         for word in ("localCheckpoint", "crossJoin(", "broadcast(", "collect_set(", ".rdd", "toPandas("):
             assert word not in text, (path.name, word)

@@ -76,3 +76,27 @@ def test_only_a_missing_result_table_is_empty(spark, tmp_path):
     (tmp_path / "bad" / "part.parquet").write_text("no parquet")
     with pytest.raises(Exception):
         T.ResultStore(spark, str(tmp_path / "bad")).load().collect()
+
+
+def test_repeated_and_half_written_results_are_read_once(spark, tmp_path):
+    store = T.ResultStore(spark, str(tmp_path / "cv"))
+    rows = spark.createDataFrame([("m", "p", f, "f1", 0.5) for f in (1, 2)], "model string, params string, fold int, metric string, value double")
+    store.append(rows.where("fold = 1"))
+    store.append(rows.where("fold = 1"))
+    store.append(rows.where("fold = 2"), part="second")
+    assert sorted(r["fold"] for r in store.load().collect()) == [1, 2]
+    # rows without their commit, as a writer that died leaves them
+    lost = rows.where("fold = 2").selectExpr("model", "'q' AS params", "fold", "metric", "value", "cast(null as string) AS run", "'lost' AS attempt", "'rows' AS kind")
+    lost.write.mode("append").partitionBy("kind").parquet(str(tmp_path / "cv"))
+    assert store.load().where("params = 'q'").count() == 0
+    assert [r["params"] for r in store.pending(lost.select("model", "params")).collect()] == ["q"]
+
+
+def test_a_round_is_read_from_its_own_folder(spark, tmp_path):
+    store = T.RoundStore(spark, str(tmp_path / "rounds"))
+    frame = spark.range(6).select("id", F.when(F.col("id") < 4, "train").otherwise("dev").alias("split"))
+    store.write(frame, 1)
+    store.write(frame.withColumn("more", F.lit(1)), 2)
+    assert "more" not in store.load(1).columns
+    assert {f.rsplit("/rounds/")[1].split("/")[0] for f in store.load(2).inputFiles()} == {"round=2"}
+    assert store.load(2, "dev").count() == 2 and store.load(2).first()["round"] == 2

@@ -105,7 +105,7 @@ def outer_join_null_safe(spark: SparkSession, folder: str) -> DataFrame:
     rows = views.clinical(spark, folder).withColumnsRenamed(dict(zip(names, keys, strict=True)))
     left = rows.where(F.col("amount") < 260000).select(*keys, F.col("amount").alias("left_amount"))
     right = rows.where(F.col("amount") > 240000).select(*keys, F.col("eligible_vent").alias("right_vent"))
-    return outer_join(left, right, keys, null_safe=True)
+    return outer_join(left, right, keys, null_safe=True, write_first=True)
 
 
 @query(

@@ -13,7 +13,9 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from weaklabel.functions.ranking import highest
 from weaklabel.operators.quality import expect_unique
+from weaklabel.session import written
 
 SEP = ";;"
 
@@ -41,14 +43,18 @@ def override_cells(df: DataFrame, overrides: DataFrame, key: str) -> DataFrame:
     return joined.withColumns({c: F.coalesce(f"__new_{c}", c) for c in columns}).select(*df.columns)
 
 
-def outer_join(many: DataFrame, one: DataFrame, on: Sequence[str], null_safe: bool = False) -> DataFrame:
+def outer_join(many: DataFrame, one: DataFrame, on: Sequence[str], null_safe: bool = False, write_first: bool = False) -> DataFrame:
     """Full outer equi join written as left join + unmatched right rows.
 
     Spark cannot split a skewed key in a full outer join but can in a left join, so a
     hot key on the ``many`` side stays spread. ``null_safe`` lets missing keys match
-    each other. Other columns must have different names on both sides.
+    each other. Other columns must have different names on both sides. The ``many`` side is read
+    twice, its keys alone the second time; ``write_first`` writes it once before, for a side that
+    costs more to work out than to write.
     """
     on = list(on)
+    if write_first:
+        many = written(many, "outer-join")
     # the many side's keys are thinned before they move: a hot key becomes one row per task
     seen = many.select(*on).distinct()
     extra_left = [c for c in many.columns if c not in on]
@@ -111,15 +117,16 @@ def _joined(column: str, missing: str, order_by: Sequence[str]) -> Column:
 def hot_keys(rows: DataFrame, keys: Sequence[str], hot_rows: int | None = None) -> DataFrame:
     """The keys that hold more rows than an average shuffle partition, or than ``hot_rows``.
 
-    By default there are fewer of them than shuffle partitions, whatever the input, so they may be
-    broadcast. The count combines before its shuffle; results do not depend on what counts as hot.
+    By default there are fewer of them than shuffle partitions, whatever the input. They are written once, so
+    that all reads agree and Spark, which then knows their size, can send them to all tasks by itself. The count
+    combines before its shuffle; results do not depend on what counts as hot.
     """
     counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
     if hot_rows is not None:
-        return counts.where(F.col("__n") > hot_rows).select(*keys)
+        return written(counts.where(F.col("__n") > hot_rows).select(*keys), "hot-keys")
     partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     fair = rows.agg((F.count(F.lit(1)) / partitions).alias("fair")).scalar()
-    return F.broadcast(counts.where(F.col("__n") > fair).select(*keys))
+    return written(counts.where(F.col("__n") > fair).select(*keys), "hot-keys")
 
 
 def collapse(
@@ -244,4 +251,4 @@ def rows_at_max(df: DataFrame, column: str) -> DataFrame:
 
 def top_k(df: DataFrame, score: str, key: str, k: int = 20) -> DataFrame:
     """The ``k`` rows with the highest score; ties go to the smaller key."""
-    return df.orderBy(F.col(score).desc_nulls_last(), F.col(key)).limit(k)
+    return highest(df, score, key, k)

@@ -503,7 +503,7 @@ def nested_cv(
         rows = [(name, text, f, metric, m[metric], run) for metric in ("acc", "f1", "mse", "auc")]
         part = spark.createDataFrame(rows, "model string, params string, fold int, metric string, value double, run string")
         if store is not None:
-            store.append(part)
+            store.append(part, f"{name}|{run}|{f}")
         produced.append(part)
     outer.unpersist()
     if store is not None:

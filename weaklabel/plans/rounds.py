@@ -37,6 +37,8 @@ from weaklabel.sources import tables
 from weaklabel.sources.tables import RoundStore, read_delimited
 
 VISIT = "visit_occurrence_id"
+#: The score of a round in the stored table; final scores come under their own name.
+ROUND_SCORE = "round_prob_case"
 LIST_COLUMNS = {
     "respiratory_failure_any": "nan",
     "eligible_vent": "nan",
@@ -114,7 +116,7 @@ def label_round(
 
     Without a class balance the dev split's gold labels give it.
     """
-    keep = [c for c in frame.columns if c not in rules.names and c != "prob_case"]
+    keep = [c for c in frame.columns if c not in rules.names and c not in ("prob_case", ROUND_SCORE)]
     votes = rules.apply(frame.select(*keep), keep)
     dev = None
     if class_balance is None:
@@ -149,7 +151,8 @@ def label_rounds(
             current = refresh(current, n)
         moved, models[n] = label_round(current, rule_sets[n], key, class_balance, gold, **options)
         # the score goes to the reviewers with the rows
-        store.write(moved.select(*[c for c in frame.columns if c != "prob_case"], "prob_case"), n + 1)
+        own = [c for c in frame.columns if c not in ("prob_case", ROUND_SCORE)]
+        store.write(moved.select(*own, F.col("prob_case").alias(ROUND_SCORE)), n + 1)
     return models
 
 

@@ -55,9 +55,35 @@ def shared_folder(spark: SparkSession) -> str:
     return _fallback[app]
 
 
+def run_folder(spark: SparkSession) -> str:
+    """The part of the shared folder that holds what this application has written."""
+    return f"{shared_folder(spark)}/weaklabel/{spark.sparkContext.applicationId}"
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that nobody has used yet."""
-    return f"{shared_folder(spark)}/weaklabel/{name}-{uuid.uuid4().hex}"
+    """A path in this application's part of the shared folder that nobody has used yet.
+
+    What is written there stays until ``forget`` or whoever runs the cluster deletes the application's part: lazy
+    results may read it at any time while the application runs.
+    """
+    return f"{run_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def forget(spark: SparkSession) -> bool:
+    """Delete all that this application has written to the shared folder; results not yet read are lost."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(run_folder(spark))
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder and go on from that table.
+
+    The table survives lost executors, is worked out once however often it is read, and Spark knows its size.
+    """
+    spark = df.sparkSession
+    path = shared_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable, Mapping
 
 from pyspark.errors import AnalysisException
@@ -132,8 +133,9 @@ class RoundStore:
         frame.write.mode("overwrite").partitionBy("split").parquet(f"{self.path}/round={round}")
 
     def load(self, round: int, split: str | None = None) -> DataFrame:
-        # later rounds hold the score that the first one lacks
-        rows = self.spark.read.option("mergeSchema", True).parquet(self.path).where(F.col("round") == round)
+        """One round, or one split of it: only that folder is listed and read."""
+        folder = f"{self.path}/round={round}"
+        rows = self.spark.read.option("basePath", self.path).parquet(folder).where(F.col("round") == round)
         return rows.where(F.col("split") == split) if split else rows
 
     def splits(self, round: int) -> dict[str, DataFrame]:
@@ -159,26 +161,47 @@ def load_model(path: str, name: str) -> PipelineModel:
 
 
 class ResultStore:
-    """Cross-validation results in long form: finished work is skipped after a restart."""
+    """Cross-validation results in long form: finished work is skipped after a restart.
+
+    One table, partitioned by kind. Rows carry the number of their append; once they are all written, a commit row
+    names the part of the work that they are, and that number. Only committed numbers are read, and of a part that was
+    appended more than once only the first by number: neither a half-written nor a repeated append shows.
+    """
 
     schema = "model string, params string, fold int, metric string, value double, run string"
+    _stored = f"{schema}, attempt string, part string, kind string"
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
 
-    def load(self) -> DataFrame:
+    def _read(self, kind: str) -> DataFrame:
         try:
-            return self.spark.read.schema(self.schema).parquet(self.path)
+            return self.spark.read.schema(self._stored).parquet(self.path).where(F.col("kind") == kind)
         except AnalysisException as e:
             if e.getCondition() != "PATH_NOT_FOUND":
                 raise
-            return self.spark.createDataFrame([], self.schema)
+            return self.spark.createDataFrame([], self._stored)
+
+    def load(self) -> DataFrame:
+        chosen = self._read("commit").groupBy("part").agg(F.min("attempt").alias("attempt")).select("attempt")
+        return self._read("rows").join(chosen, "attempt", "left_semi").drop("attempt", "part", "kind")
+
+    def append(self, rows: DataFrame, part: str | None = None) -> None:
+        """Add finished work; ``run`` names the settings it belongs to and may be left out.
 
-    def append(self, rows: DataFrame) -> None:
-        """Add finished work; ``run`` names the settings it belongs to and may be left out."""
+        ``part`` names the piece of work; without it the models, params, folds and runs of the rows name it.
+        """
         if "run" not in rows.columns:
             rows = rows.withColumn("run", F.lit(None).cast("string"))
-        rows.select(*[f.split()[0] for f in self.schema.split(", ")]).write.mode("append").parquet(self.path)
+        attempt = uuid.uuid4().hex
+        own = rows.select(*[f.split()[0] for f in self.schema.split(", ")], F.lit(attempt).alias("attempt"))
+        own.withColumn("kind", F.lit("rows")).write.mode("append").partitionBy("kind").parquet(self.path)
+        if part is None:
+            mine = self._read("rows").where(F.col("attempt") == attempt)
+            keys = mine.select(F.xxhash64("model", "params", "fold", "run").cast("decimal(38,0)").alias("h")).distinct()
+            part = str(keys.agg(F.struct(F.count("h"), F.sum("h"))).first()[0])
+        commit = self.spark.createDataFrame([(attempt, part, "commit")], "attempt string, part string, kind string")
+        commit.coalesce(1).write.mode("append").partitionBy("kind").parquet(self.path)
 
     def pending(self, wanted: DataFrame, keys: Iterable[str] = ("model", "params")) -> DataFrame:
         keys = list(keys)
