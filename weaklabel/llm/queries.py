@@ -7,7 +7,21 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from weaklabel.llm import ann, bpe, chat, edit_fingerprint, line_dedup, mixing, secret_scan, simhash, substring_dedup, toxicity
+from weaklabel.llm import (
+    ann,
+    bpe,
+    chat,
+    cross_polytope,
+    edit_fingerprint,
+    lexical_search,
+    line_dedup,
+    mixing,
+    pivot_clustering,
+    secret_scan,
+    simhash,
+    substring_dedup,
+    toxicity,
+)
 from weaklabel.llm.common import table
 from weaklabel.session import shared_path
 
@@ -137,3 +151,77 @@ def op9_source_mix(spark: SparkSession, folder: str) -> DataFrame:
 @register()
 def op10_edit_fingerprint(spark: SparkSession, folder: str) -> DataFrame:
     return edit_fingerprint.with_next(table(spark, folder, "documents"))
+
+
+_USABLE = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+
+
+@register(
+    f"""
+WITH RECURSIVE g AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings WHERE {_USABLE} AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM g a JOIN g b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v) WHERE list_cosine_similarity(a.v, b.v) >= 0.9),
+r AS (SELECT vec_id AS a, vec_id AS b FROM g UNION SELECT r.a, p.b FROM r JOIN p ON p.a = r.b),
+n AS (SELECT a, count(*) AS n FROM p GROUP BY a),
+c AS (SELECT a, min(b) AS component FROM r GROUP BY a)
+SELECT e.vec_id, coalesce(n.n, 0)::BIGINT AS n_links, coalesce(c.component, e.vec_id) AS component_id, e.vec_id = coalesce(c.component, e.vec_id) AS kept
+FROM embeddings e LEFT JOIN n ON n.a = e.vec_id LEFT JOIN c ON c.a = e.vec_id
+"""
+)
+def op11_cross_polytope(spark: SparkSession, folder: str) -> DataFrame:
+    return cross_polytope.near_copies(table(spark, folder, "embeddings"), least=0.9)
+
+
+_TERMS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+
+@register(
+    f"""
+WITH q AS (SELECT item_id, term, count(*) AS times FROM (SELECT item_id, unnest({_TERMS}) AS term FROM (SELECT DISTINCT item_id, text FROM benchmark)) GROUP BY ALL),
+d AS (SELECT doc_id, {_TERMS} AS terms FROM documents),
+s AS (SELECT count(*) FILTER (len(terms) > 0) AS total, sum(len(terms))::BIGINT AS words FROM d),
+t AS (SELECT doc_id, len(terms) AS n, unnest(terms) AS term FROM d),
+f AS (SELECT doc_id, term, any_value(n)::BIGINT AS n, count(*)::BIGINT AS tf FROM t GROUP BY doc_id, term),
+w AS (SELECT term, floor(1000 * ln((2 * any_value(total) + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM f, s GROUP BY term),
+x AS (SELECT item_id, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + (75 * n * total) // words))))::BIGINT AS score
+  FROM q JOIN f USING (term) JOIN w USING (term), s GROUP BY item_id, doc_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank FROM x WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 10
+"""
+)
+def op12_ranked_search(spark: SparkSession, folder: str) -> DataFrame:
+    return lexical_search.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"), k=10)
+
+
+def _clustering_sql(rounds: int) -> str:
+    """The rounds of op13 unrolled."""
+    steps = [
+        f"""
+WITH k AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v FROM embeddings WHERE {_USABLE} AND len(embedding) = 64),
+c0 AS MATERIALIZED (SELECT (row_number() OVER (ORDER BY sha256('1:' || vec_id)) - 1)::INT AS cluster, v FROM k QUALIFY cluster < 16)"""
+    ]
+    for r in range(rounds + 1):
+        steps.append(
+            f"""
+a{r} AS MATERIALIZED (SELECT vec_id, arg_min(cluster, (distance, cluster)) AS cluster, min(distance) AS distance FROM (
+  SELECT vec_id, cluster, list_sum(list_transform(list_zip(k.v, c{r}.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS distance FROM k, c{r}) GROUP BY vec_id)"""
+        )
+        if r < rounds:
+            steps.append(
+                f"""
+m{r} AS (SELECT cluster, i, sum(x)::BIGINT AS s, count(*) AS n FROM (
+  SELECT cluster, unnest(v) AS x, unnest(range(1, 65)) AS i FROM a{r} JOIN k USING (vec_id)) GROUP BY cluster, i),
+c{r + 1} AS MATERIALIZED (SELECT cluster, coalesce(n.v, c{r}.v) AS v FROM c{r} LEFT JOIN (
+  SELECT cluster, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY i) AS v FROM m{r} GROUP BY cluster) n USING (cluster))"""
+            )
+    return (
+        ",".join(steps)
+        + f"""
+SELECT vec_id, cluster, distance, (sum(distance) OVER (PARTITION BY cluster))::BIGINT AS cluster_inertia, (sum(distance) OVER ())::BIGINT AS inertia,
+  sha256(array_to_string(c{rounds}.v, ',')) AS centroid_sha256 FROM a{rounds} JOIN c{rounds} USING (cluster)
+"""
+    )
+
+
+@register(_clustering_sql(3))
+def op13_pivot_clusters(spark: SparkSession, folder: str) -> DataFrame:
+    return pivot_clustering.cluster(table(spark, folder, "embeddings"), k=16, rounds=3).drop("n_exact")
