@@ -159,3 +159,95 @@ def test_exactly_half_is_class_zero(points):
             return d.withColumn("probability", array_to_vector(F.array(F.lit(0.5), F.lit(0.5))))
 
     assert M.score(Half(), df).agg(F.max("predicted")).first()[0] == 0
+
+
+def test_newton_steps_equal_a_plain_solve(points):
+    df, local = points
+    x = np.c_[np.ones(300), local[["a", "b"]].to_numpy()]
+    y, held = local["y"].to_numpy(), np.array([0, 1, 1]) / 0.5
+    beta = np.zeros(3)
+    for _ in range(30):
+        p = 1 / (1 + np.exp(-x @ beta))
+        beta -= np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(held), x.T @ (p - y) + held * beta)
+    got = M.NewtonLogistic(["a", "b"], c=0.5)
+    np.testing.assert_allclose(got.coefficients(df), beta, atol=1e-8)
+    again = M.score(M.VectorLogistic(2, c=0.5).fit(df), df).agg(F.sum("prob")).first()[0]
+    assert again == pytest.approx((1 / (1 + np.exp(-x @ beta))).sum())
+
+
+def test_newton_steps_of_classes_far_apart_end(spark):
+    df = spark.createDataFrame([(float(x), int(x > 0)) for x in range(-50, 51) if x], "a double, y int")
+    beta = M.NewtonLogistic(["a"], c=1e6).coefficients(df)
+    assert np.isfinite(beta).all() and beta[1] > 0.5
+
+
+def test_inner_folds_of_one_table_are_even(points):
+    df, _ = points
+    folds = M.nested_folds(df, "id", 5, 3).persist()
+    assert folds.count() == 300
+    for f in range(1, 6):
+        sizes = [r["count"] for r in folds.where(F.col("outer") != f).groupBy("inner").count().collect()]
+        assert len(sizes) == 3 and max(sizes) - min(sizes) <= 4
+
+
+def test_nested_cv_of_own_learners(points, spark, tmp_path):
+    from weaklabel.operators.forest import ForestLearner
+
+    df, _ = points
+    store = ResultStore(spark, str(tmp_path / "cv"))
+    args = dict(key="id", name="RF", weight="w", k_outer=2, k_inner=2, store=store)
+    grid = {"depth": [0, 3], "class_weight": ["balanced_subsample"]}
+    out = M.nested_cv(df, ForestLearner(trees=5, key="id"), grid, **args).collect()
+    assert len(out) == 8 and {json.loads(r["params"])["depth"] for r in out} == {3}
+    inner = store.load().where("run LIKE '%|inner'")
+    assert inner.count() == 2 * 2 * 2, "two folds, settings and inner folds"
+
+
+def test_a_restart_takes_inner_scores_from_the_store(points, spark, tmp_path):
+    from weaklabel.operators.network import NetworkLearner
+
+    df, _ = points
+    calls = []
+
+    class Counted(NetworkLearner):
+        def fit(self, rows):
+            calls.append(self.hidden)
+            return super().fit(rows)
+
+    learner = Counted(hidden=(2,), max_iter=3)
+    store = ResultStore(spark, str(tmp_path / "cv"))
+    args = dict(key="id", name="NN", k_outer=2, k_inner=2, store=store)
+    M.nested_cv(df, learner, {"hidden": [(2,), (3,)]}, **args)
+    assert len(calls) == 2 * (2 * 2 + 1)
+    # the outer scores are lost, the inner ones are not: only the refits run again
+    kept = store.load().where("run LIKE '%|inner'")
+    other = ResultStore(spark, str(tmp_path / "other"))
+    other.append(kept)
+    calls.clear()
+    again = M.nested_cv(df, learner, {"hidden": [(2,), (3,)]}, **args | {"store": other})
+    assert again.count() == 8 and len(calls) == 2
+
+
+def test_far_blocks_never_meet(spark):
+    rng = np.random.default_rng(3)
+    centres = 100 * rng.normal(size=(8, 4))
+    v = centres[np.arange(800) % 8] + rng.normal(size=(800, 4))
+    df = spark.createDataFrame([(i, v[i].tolist(), int(i % 3)) for i in range(800)], "id long, v array<double>, label int")
+    report = {}
+    got = M.nearest_neighbours(df, df.where("id < 200"), "id", "v", "label", k=4, block_rows=25, skip_self=True, report=report).collect()
+    assert report["compared"] < 0.5 * report["all"], report
+    found = {i: [r["neighbour"] for r in sorted(got, key=lambda r: r["rank"]) if r["id"] == i] for i in range(200)}
+    for i in range(200):
+        d = np.round(((v - v[i]) ** 2).sum(1), 6)
+        assert found[i] == sorted([j for j in range(800) if j != i], key=lambda j: (d[j], j))[:4]
+
+
+def test_neighbours_of_few_or_equal_rows(spark):
+    kind = "id long, v array<double>, label int"
+    same = spark.createDataFrame([(i, [1.0, 1.0], i) for i in range(30)], kind)
+    got = M.nearest_neighbours(same, same, "id", "v", "label", k=3, block_rows=4, skip_self=True).collect()
+    assert {i: sorted(r["neighbour"] for r in got if r["id"] == i) for i in (0, 7)} == {0: [1, 2, 3], 7: [0, 1, 2]}
+    two = same.where("id < 2")
+    assert M.nearest_neighbours(two, same, "id", "v", "label", k=3).count() == 60
+    assert M.nearest_neighbours(two.where("id < 0"), same, "id", "v", "label").count() == 0
+    assert M.nearest_neighbours(two, same.where("id < 0"), "id", "v", "label").count() == 0

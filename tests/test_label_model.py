@@ -128,3 +128,28 @@ def test_class_balance_of_rows_without_a_case(spark):
     assert class_balance_of(none, "y") == pytest.approx((0.95, 0.05))
     with pytest.raises(ValueError, match="class balance"):
         class_balance_of(none.where("y IS NULL"), "y")
+
+
+def test_triples_give_planted_accuracies(spark):
+    import numpy as np
+
+    from weaklabel.operators.label_model import LabelModel, accuracies_by_triples, vote_pairs, vote_patterns
+
+    rng = np.random.default_rng(8)
+    names, planted = ["r1", "r2", "r3", "r4"], [0.9, 0.8, 0.7, 0.85]
+    y = rng.integers(0, 2, 20_000)
+    votes = {n: np.where(rng.random(20_000) < 0.7, np.where(rng.random(20_000) < a, y, 1 - y), -1) for n, a in zip(names, planted)}
+    df = spark.createDataFrame([tuple(int(votes[n][i]) for n in names) for i in range(20_000)], ", ".join(f"{n} int" for n in names))
+    found = {r["rule"]: (r["n_triples"], r["learned_weight"]) for r in accuracies_by_triples(vote_pairs(vote_patterns(df, names), names), names).collect()}
+    fitted = LabelModel.fit(df, names).weights()
+    for n, a in zip(names, planted):
+        assert found[n][0] == 3 and found[n][1] == pytest.approx(a, abs=0.03) and found[n][1] == pytest.approx(fitted[n], abs=0.05)
+
+
+def test_a_rule_without_triples_has_no_weight(spark):
+    from weaklabel.operators.label_model import accuracies_by_triples, vote_pairs, vote_patterns
+
+    names = ["a", "b", "c"]
+    df = spark.createDataFrame([(1, 1, -1), (0, 1, -1), (-1, -1, 1)], "a int, b int, c int")
+    found = {r["rule"]: r["learned_weight"] for r in accuracies_by_triples(vote_pairs(vote_patterns(df, names), names), names).collect()}
+    assert found == {"a": None, "b": None, "c": None}

@@ -87,7 +87,7 @@ def test_repeated_and_half_written_results_are_read_once(spark, tmp_path):
     assert sorted(r["fold"] for r in store.load().collect()) == [1, 2]
     # rows without their commit, as a writer that died leaves them
     lost = rows.where("fold = 2").selectExpr("model", "'q' AS params", "fold", "metric", "value", "cast(null as string) AS run", "'lost' AS attempt", "'rows' AS kind")
-    lost.write.mode("append").partitionBy("kind").parquet(str(tmp_path / "cv"))
+    lost.write.mode("append").partitionBy("kind", "attempt").parquet(str(tmp_path / "cv"))
     assert store.load().where("params = 'q'").count() == 0
     assert [r["params"] for r in store.pending(lost.select("model", "params")).collect()] == ["q"]
 

@@ -17,27 +17,27 @@ from weaklabel.operators.features import (
     scaling,
     standardize,
 )
+from weaklabel.operators.forest import ForestLearner
 from weaklabel.operators.models import (
     Discriminant,
     classifiers,
     feature_importance,
     forest_classifier,
-    forest_regressor,
     gaussian_bayes_scores,
     nearest_neighbours,
     neighbour_vote,
     nested_cv,
-    perceptron,
     regressors,
     score,
     screen,
     sensitivity_variants,
     with_class_weight,
 )
+from weaklabel.operators.network import NetworkLearner
 from weaklabel.operators.rules import RuleSet
 from weaklabel.operators.split import stratified_split
 from weaklabel.plans.rounds import label_rounds, respiratory_rounds, train_final
-from weaklabel.session import shared_path
+from weaklabel.session import shared_path, written
 from weaklabel.sources.tables import ResultStore, RoundStore, scan
 
 FEATURES = ["n_chars", *views.DOC_COUNTS]
@@ -56,10 +56,14 @@ def training_rows(spark: SparkSession, folder: str) -> DataFrame:
     return assemble(standardize(matrix, FEATURES, scaling(matrix, FEATURES)), FEATURES).select(*keep, "features")
 
 
+def _scored(learner, rows: DataFrame) -> DataFrame:
+    """Scores of the rows that the learner is fitted on, which are written once for all its passes."""
+    rows = written(rows, "training-rows")
+    return score(learner.fit(rows), rows).select("unit_id", "y", "prob", "predicted")
+
+
 def _fit_and_score(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    rows = training_rows(spark, folder).persist()
-    model = classifiers(len(FEATURES), trees=20)[name].fit(rows)
-    return score(model, rows).select("unit_id", "y", "prob", "predicted")
+    return _scored(classifiers(len(FEATURES))[name], training_rows(spark, folder))
 
 
 @query("M1 M16")
@@ -136,16 +140,21 @@ def decision_tree(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("M5 M15 M16")
 def random_forest_weighted(spark: SparkSession, folder: str) -> DataFrame:
-    rows = with_class_weight(training_rows(spark, folder), {0: 0.99, 1: 0.01}, "weight", "w").persist()
-    model = forest_classifier(trees=250, depth=50, features=None, weight="w").fit(rows)
-    return score(model, rows).select("unit_id", "y", "prob", "predicted")
+    forest = ForestLearner(trees=250, depth=50, features=None, class_weight={0: 0.99, 1: 0.01}, weight="weight", key="unit_id")
+    return _scored(forest, training_rows(spark, folder))
 
 
 @query("M5")
 def random_forest_balanced(spark: SparkSession, folder: str) -> DataFrame:
-    rows = with_class_weight(training_rows(spark, folder), "balanced", None, "w").persist()
-    model = forest_classifier(trees=250, depth=10, features="sqrt", weight="w").fit(rows)
-    return score(model, rows).select("unit_id", "y", "prob", "predicted")
+    rows = with_class_weight(training_rows(spark, folder), "balanced", None, "w")
+    return _scored(forest_classifier(trees=250, depth=10, features="sqrt", weight="w"), rows)
+
+
+@query("M5")
+def random_forest_subsample(spark: SparkSession, folder: str) -> DataFrame:
+    """Class weights of each tree's own draw, a few features a node, any depth."""
+    forest = ForestLearner(trees=250, depth=None, features="sqrt", class_weight="balanced_subsample", key="unit_id")
+    return _scored(forest, training_rows(spark, folder))
 
 
 _NB_SQL = (
@@ -189,9 +198,15 @@ def gaussian_bayes_model(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("M7 M16")
 def neural_net(spark: SparkSession, folder: str) -> DataFrame:
-    rows = training_rows(spark, folder).persist()
-    model = perceptron([len(FEATURES), 10, 30, 10, 2], max_iter=60).fit(rows)
-    return score(model, rows).select("unit_id", "y", "prob", "predicted")
+    network = NetworkLearner(hidden=(10, 30, 10), activation="tanh", alpha=1e-4, max_iter=250, seed=123)
+    return _scored(network, training_rows(spark, folder))
+
+
+@query("M7 M10 L9")
+def neural_net_regression(spark: SparkSession, folder: str) -> DataFrame:
+    rows = written(training_rows(spark, folder).withColumn("y", F.ln("outcome")), "training-rows")
+    network = NetworkLearner(hidden=(10, 30, 30, 30, 10), activation="tanh", alpha=0.05, max_iter=300, seed=987, regression=True)
+    return score(network.fit(rows), rows, log_scale=True).select("unit_id", "outcome", "prob")
 
 
 @query(
@@ -211,9 +226,9 @@ def linear_regressor(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("M9 L9")
 def forest_regression(spark: SparkSession, folder: str) -> DataFrame:
-    rows = training_rows(spark, folder).withColumn("y", F.ln("outcome")).persist()
-    model = forest_regressor(trees=20, depth=10, weight="weight").fit(rows)
-    return score(model, rows, log_scale=True).select("unit_id", "outcome", "prob")
+    rows = written(training_rows(spark, folder).withColumn("y", F.ln("outcome")), "training-rows")
+    forest = ForestLearner(trees=1000, depth=10, weight="weight", regression=True, key="unit_id")
+    return score(forest.fit(rows), rows, log_scale=True).select("unit_id", "outcome", "prob")
 
 
 @query("M10 M14 D5 H4")
@@ -236,6 +251,14 @@ def nested_cross_validation(spark: SparkSession, folder: str) -> DataFrame:
     return nested_cv(rows, tree, {"maxDepth": [3, 6]}, "unit_id", "CART", weight="weight", store=store)
 
 
+@query("M11 M13 M5")
+def nested_forest(spark: SparkSession, folder: str) -> DataFrame:
+    """Ten outer and three inner folds over a part of the forest's grid; README has the time of the whole one."""
+    grid = {"class_weight": ["balanced_subsample", {0: 0.01, 1: 0.99}], "depth": [5], "features": ["sqrt"]}
+    forest = ForestLearner(trees=20, key="unit_id")
+    return nested_cv(training_rows(spark, folder), forest, grid, "unit_id", "RF", weight="weight", parallelism=8)
+
+
 @query("M12 M11 L9")
 def nested_regression(spark: SparkSession, folder: str) -> DataFrame:
     rows = training_rows(spark, folder).withColumn("y", F.ln("outcome"))
@@ -245,15 +268,15 @@ def nested_regression(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("M17 L3 L4")
 def sensitivity_scores(spark: SparkSession, folder: str) -> DataFrame:
-    rows = training_rows(spark, folder).persist()
-    make = lambda w: forest_classifier(trees=10, depth=5, weight=w)
+    rows = written(training_rows(spark, folder), "training-rows")
+    make = lambda w: ForestLearner(trees=1000, depth=50, weight=w, key="unit_id")
     return sensitivity_variants(rows, rows, make, {"blended": "y", "generative": "hard_model"}, "weight", "unit_id")
 
 
 @query("M18 F4")
 def top_features(spark: SparkSession, folder: str) -> DataFrame:
     rows = training_rows(spark, folder)
-    model = forest_classifier(trees=20, depth=8).fit(rows)
+    model = ForestLearner(trees=1000, depth=50, key="unit_id").fit(rows)
     return feature_importance(model, FEATURES, top=10)
 
 
@@ -290,5 +313,5 @@ def final_model_scores(spark: SparkSession, folder: str) -> DataFrame:
     named = features.withColumn("split", split.otherwise("test"))
     votes = views.doc_rules().apply(named, named.columns)
     frame = votes.withColumn("prob_case", views.fixed_model().prob_case())
-    _trained, scored = train_final(frame, "unit_id", first=["n_chars"], trees=20, depth=10, class_weight={0: 0.9, 1: 0.1})
+    _trained, scored = train_final(frame, "unit_id", first=["n_chars"], trees=1000, depth=50, class_weight={0: 0.99, 1: 0.01}, exact=True)
     return scored.select("unit_id", "split", r6("outcome").alias("outcome"), "y", "model_prob", "model_class")

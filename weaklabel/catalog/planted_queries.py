@@ -12,8 +12,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from weaklabel.catalog.registry import query
 from weaklabel.operators.evaluate import fold_summary
 from weaklabel.operators.features import assemble
+from weaklabel.operators.forest import ForestLearner
 from weaklabel.operators.models import (
     DiscriminantLearner,
+    NewtonLogistic,
     classifiers,
     feature_importance,
     forest_classifier,
@@ -25,6 +27,7 @@ from weaklabel.operators.models import (
     sensitivity_variants,
     with_class_weight,
 )
+from weaklabel.operators.network import NetworkLearner
 from weaklabel.sources.tables import scan
 
 _PLANTED_SQL = """
@@ -117,6 +120,72 @@ def network_groups(spark: SparkSession, folder: str) -> DataFrame:
     return scored.groupBy("y", "predicted").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _newton_sql(steps: int) -> str:
+    """Newton steps for an intercept and one slope with the penalty on the slope, unrolled."""
+    parts = [_PLANTED_SQL.strip() + ",\nu AS (SELECT a::DOUBLE AS x, (a + b > 5)::INT AS y FROM t),\nb0 AS (SELECT 0.0::DOUBLE AS b0, 0.0::DOUBLE AS b1)"]
+    for k in range(steps):
+        parts.append(
+            f"""g{k} AS MATERIALIZED (SELECT sum(p - y) AS g0, sum((p - y) * x) + any_value(b1) AS g1, sum(p * (1 - p)) AS h00, sum(p * (1 - p) * x) AS h01,
+  sum(p * (1 - p) * x * x) + 1 AS h11, any_value(b0) AS b0, any_value(b1) AS b1 FROM (SELECT x, y, b0, b1, 1 / (1 + exp(-(b0 + b1 * x))) AS p FROM u, b{k})),
+b{k + 1} AS MATERIALIZED (SELECT b0 - (h11 * g0 - h01 * g1) / (h00 * h11 - h01 * h01) AS b0, b1 - (h00 * g1 - h01 * g0) / (h00 * h11 - h01 * h01) AS b1 FROM g{k})"""
+        )
+    return ",\n".join(parts) + f"\nSELECT unnest(['intercept', 'a']) AS term, round(unnest([b0, b1]), 6) AS coefficient FROM b{steps}"
+
+
+@query("M1", _newton_sql(12))
+def logistic_coefficients(spark: SparkSession, folder: str) -> DataFrame:
+    """Coefficients of a penalised logistic regression whose penalty does not touch the intercept."""
+    rows = planted(spark, folder, (F.col("a") + F.col("owner") % 7 > 5).cast("int"))
+    found = [float(b) for b in NewtonLogistic(["a"]).coefficients(rows)]
+    return spark.createDataFrame(list(zip(["intercept", "a"], found, strict=True)), "term string, coefficient double").withColumn("coefficient", F.round("coefficient", 6))
+
+
+@query("M7 M10 M16", "SELECT count(*) AS n, count(*) AS n_close FROM orders")
+def network_line(spark: SparkSession, folder: str) -> DataFrame:
+    """A network without hidden layers is a line: it must find a planted one for every row."""
+    rows = planted(spark, folder, 2 * F.col("a") - F.col("owner") % 7 + 3)
+    learner = NetworkLearner(hidden=(), activation="identity", alpha=0.0, rate=0.3, max_iter=250, regression=True, patience=250)
+    scored = learner.fit(rows).transform(rows)
+    return scored.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.abs(F.col("prediction") - F.col("y")) < 0.05).alias("n_close"))
+
+
+_CUT_SQL = """
+WITH t AS (SELECT o_totalprice AS v, CASE WHEN o_totalprice > 200000 THEN o_custkey % 3 = 0 ELSE o_custkey % 3 <> 0 END::INT AS y FROM orders),
+c AS (SELECT v, count(*) AS n, sum(y) AS q FROM t GROUP BY v),
+r AS (SELECT v, lead(v) OVER o AS next, sum(n) OVER o::DOUBLE AS s, sum(q) OVER o::DOUBLE AS q, sum(n) OVER ()::DOUBLE AS all_s, sum(q) OVER ()::DOUBLE AS all_q
+      FROM c WINDOW o AS (ORDER BY v)),
+g AS (SELECT v, next, (q * q + (s - q) * (s - q)) / s + ((all_q - q) * (all_q - q) + (all_s - s - all_q + q) * (all_s - s - all_q + q)) / (all_s - s)
+      - (all_q * all_q + (all_s - all_q) * (all_s - all_q)) / all_s AS gain FROM r WHERE next IS NOT NULL)
+SELECT round(v + (next - v) / 2, 6) AS threshold, round(gain, 3) AS gain, (SELECT count(*) FROM c) AS n_values FROM g ORDER BY round(gain, 9) DESC, v LIMIT 1
+"""
+
+
+@query("M4 M5 M9", _CUT_SQL)
+def exact_first_cut(spark: SparkSession, folder: str) -> DataFrame:
+    """The best cut over every distinct price, found by aggregates: the bound on a task's rows is set under the table's."""
+    owner = F.col("owner") % 3
+    rows = planted(spark, folder, F.when(F.col("price") > 200000, owner == 0).otherwise(owner != 0).cast("int"), columns=("price",))
+    model = ForestLearner(trees=1, depth=1, bootstrap=False, key="unit_id", local_cells=2).fit(rows)
+    gain = float(model.trees[0].gains.sum())
+    return rows.agg(F.count_distinct("price").alias("n_values")).select(
+        F.round(F.lit(float(model.threshold[0])), 6).alias("threshold"), F.round(F.lit(gain), 3).alias("gain"), "n_values"
+    )
+
+
+@query(
+    "M4 M5 M15",
+    "SELECT DISTINCT o_custkey % 41 AS v, ((o_custkey % 41) % 2)::INT AS predicted, TRUE AS deeper_than_30 FROM orders",
+)
+def deep_tree(spark: SparkSession, folder: str) -> DataFrame:
+    """Stripes of falling weight are best cut off one by one: only a tree of some 40 levels tells them all."""
+    v = F.col("owner") % 41
+    rows = planted(spark, folder, (v % 2).cast("int")).withColumns({"v": v.cast("double"), "fall": F.pow(F.lit(0.5), v)}).drop("features")
+    rows = assemble(rows, ["v"])
+    model = ForestLearner(trees=1, depth=None, bootstrap=False, weight="fall", key="unit_id").fit(rows)
+    scored = score(model, rows).select(F.col("v").cast("long").alias("v"), "predicted").distinct()
+    return scored.withColumn("deeper_than_30", F.lit(model.trees[0].depth > 30))
+
+
 @query(
     "M10 M14 D5 H4",
     _PLANTED_SQL

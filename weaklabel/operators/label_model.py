@@ -138,6 +138,30 @@ def solve(
     return np.clip(best, mu_eps, 1 - mu_eps), best_loss
 
 
+def accuracies_by_triples(pairs: DataFrame, names: Sequence[str]) -> DataFrame:
+    """(rule, n_triples, learned_weight): each rule's accuracy in closed form from agreement rates, without gold labels.
+
+    If rules err independently given the class, twice the agreement rate less one of two rules is the product of
+    their own such numbers a, so a^2 of one rule is the product of its numbers with two others over the number of
+    those two. A rule's a is the mean over all pairs of others that the three ever vote with; rules are taken to be
+    better than chance; the accuracy is (1 + a) / 2. A rule that is in no triple has none. ``pairs`` are those of
+    ``vote_pairs``, so all here is on rules x rules rows.
+    """
+    rule = F.create_map(*[F.lit(v) for r, n in enumerate(names) for v in (r, n)])
+    split = lambda c: (F.floor(F.col(c) / 2).cast("int"), F.col(c) % 2)
+    (a, va), (b, vb) = split("i"), split("j")
+    counts = pairs.select(a.alias("a"), b.alias("b"), (va == vb).alias("same"), "n_rows").where("a <> b")
+    both = counts.groupBy("a", "b").agg((2 * F.sum(F.when(F.col("same"), F.col("n_rows")).otherwise(0)) / F.sum("n_rows") - 1).alias("e"))
+    both = both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"), "e"))
+    left, right, far = both, both.select("a", F.col("b").alias("c"), F.col("e").alias("f")), both.select(F.col("a").alias("b"), F.col("b").alias("c"), F.col("e").alias("g"))
+    triples = left.join(right, "a").where("b < c").join(far, ["b", "c"]).where("g <> 0")
+    square = F.abs(F.col("e") * F.col("f") / F.col("g"))
+    found = triples.groupBy("a").agg(F.count("*").alias("n_triples"), F.avg(F.least(F.sqrt(square), F.lit(1.0))).alias("m"))
+    every = pairs.sparkSession.range(len(names)).select(F.col("id").cast("int").alias("a"))
+    known = every.join(found, "a", "left")
+    return known.select(rule[F.col("a")].alias("rule"), F.coalesce("n_triples", F.lit(0)).cast("long").alias("n_triples"), ((1 + F.col("m")) / 2).alias("learned_weight"))
+
+
 def weights_of(mu: np.ndarray, prior: Sequence[float], overlaps: np.ndarray) -> list[float]:
     """Estimated accuracy per rule: share of its votes that agree with the class."""
     out = []

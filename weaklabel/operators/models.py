@@ -6,21 +6,20 @@ used, a weight column. Folds are a column, so they are the same for every model.
 
 from __future__ import annotations
 
+import itertools
 import json
 import logging
 import sys
 from collections.abc import Callable, Iterable, Mapping, Sequence
-from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass
+from concurrent.futures import FIRST_COMPLETED, ThreadPoolExecutor, wait
+from dataclasses import dataclass, replace
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 from pyspark import cloudpickle, inheritable_thread_target
 from pyspark.ml import Estimator, Model
 from pyspark.ml.classification import (
     DecisionTreeClassifier,
-    LogisticRegression,
     MultilayerPerceptronClassifier,
     NaiveBayes,
     RandomForestClassifier,
@@ -28,10 +27,12 @@ from pyspark.ml.classification import (
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import LinearRegression, RandomForestRegressor
-from pyspark.ml.tuning import ParamGridBuilder
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from weaklabel.functions.ranking import hash_rank
 from weaklabel.operators.evaluate import auc_of_scores, class_of_regression, fold_metrics
+from weaklabel.operators.neighbours import nearest
+from weaklabel.operators.network import NetworkLearner
 from weaklabel.operators.split import kfold
 from weaklabel.session import cut_lineage
 
@@ -128,20 +129,21 @@ def classifiers(
     """
     columns = {"featuresCol": "features", "labelCol": "y"}
     found = {
-        "LR": LogisticRegression(regParam=0.01, **columns),
+        "LR": VectorLogistic(n_features),
         "CART": DecisionTreeClassifier(maxDepth=tree_depth(depth), seed=seed, **columns),
         "RF": RandomForestClassifier(numTrees=trees, maxDepth=tree_depth(depth), seed=seed, **columns),
         "NB": NaiveBayes(modelType="gaussian", **columns),
-        "NN": MultilayerPerceptronClassifier(layers=[n_features, *hidden, 2], maxIter=200, seed=seed, **columns),
+        "NN": NetworkLearner(hidden=tuple(hidden), activation="relu", max_iter=200, seed=seed),
     }
     return found | ({"LDA": DiscriminantLearner(n_features), "KNN": NeighbourLearner(key)} if key else {})
 
 
-def regressors(seed: int = SEED, trees: int = 100, depth: int | None = None) -> dict[str, Estimator]:
+def regressors(seed: int = SEED, trees: int = 100, depth: int | None = None, hidden: Sequence[int] = (100,)) -> dict:
     columns = {"featuresCol": "features", "labelCol": "y"}
     return {
         "LR": LinearRegression(regParam=0.0, **columns),
         "RF": RandomForestRegressor(numTrees=trees, maxDepth=tree_depth(depth), seed=seed, **columns),
+        "NN": NetworkLearner(hidden=tuple(hidden), activation="relu", max_iter=200, seed=seed, regression=True),
     }
 
 
@@ -262,6 +264,98 @@ class Discriminant:
         return 1 / (1 + F.exp(-self.log_odds()))
 
 
+@dataclass
+class NewtonLogistic:
+    """Logistic regression by Newton steps, the penalty half the squared slopes over ``c`` against the summed log loss.
+
+    The intercept is free. A step is one aggregate of the loss, the gradient and the second derivatives, features x
+    features numbers in all; a step that would raise the loss is halved. Features may be any columns.
+    """
+
+    columns: Sequence[str]
+    c: float = 1.0
+    max_iter: int = 50
+    tol: float = 1e-10
+    weight: str | None = None
+
+    def with_settings(self, **settings) -> NewtonLogistic:
+        return replace(self, **settings)
+
+    def coefficients(self, df: DataFrame) -> np.ndarray:
+        """The intercept and the slope of each column."""
+        columns = list(self.columns)
+        x = [F.lit(1.0), *[F.col(c).cast("double") for c in columns]]
+        w = F.col(self.weight).cast("double") if self.weight else F.lit(1.0)
+        d = len(x)
+        held = np.r_[0.0, np.ones(d - 1)] / self.c
+        y = F.col("y").cast("double")
+        pairs = [(i, j) for i in range(d) for j in range(i, d)]
+
+        def at(beta: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+            z = reduce(lambda a, b: a + b, [xi * F.lit(float(b)) for xi, b in zip(x, beta, strict=True)])
+            rows = df.select(*[xi.alias(f"x{i}") for i, xi in enumerate(x)], y.alias("y"), w.alias("w"), z.alias("z"))
+            p = 1 / (1 + F.exp(-F.col("z")))
+            rows = rows.withColumns({"r": F.col("w") * (p - F.col("y")), "v": F.col("w") * p * (1 - p)})
+            # log(1 + e^z) - yz without overflow
+            loss = F.col("w") * (F.greatest(F.col("z"), F.lit(0.0)) + F.log1p(F.exp(-F.abs("z"))) - F.col("y") * F.col("z"))
+            sums = [F.sum(loss), *[F.sum(F.col("r") * F.col(f"x{i}")) for i in range(d)]]
+            sums += [F.sum(F.col("v") * F.col(f"x{i}") * F.col(f"x{j}")) for i, j in pairs]
+            found = rows.agg(F.array(*sums)).first()[0]
+            if found[0] is None:
+                raise ValueError("no rows to learn from")
+            second = np.zeros((d, d))
+            for (i, j), s in zip(pairs, found[d + 1 :], strict=True):
+                second[i, j] = second[j, i] = s
+            return found[0] + 0.5 * (held * beta**2).sum(), np.array(found[1 : d + 1]) + held * beta, second + np.diag(held)
+
+        beta = np.zeros(d)
+        loss, slope, second = at(beta)
+        for _ in range(self.max_iter):
+            step = np.linalg.lstsq(second, slope, rcond=None)[0]
+            while True:
+                tried = beta - step
+                found = at(tried)
+                if found[0] <= loss + 1e-9 * abs(loss) or np.abs(step).max() < self.tol:
+                    break
+                step = step / 2
+            beta, (loss, slope, second) = tried, found
+            if np.abs(step).max() < self.tol:
+                break
+        return beta
+
+    def fit(self, df: DataFrame) -> Fitted:
+        beta = self.coefficients(df)
+
+        def add(frame: DataFrame) -> DataFrame:
+            z = F.lit(float(beta[0]))
+            for c, b in zip(self.columns, beta[1:], strict=True):
+                z = z + F.col(c) * F.lit(float(b))
+            return _with_probability(frame, 1 / (1 + F.exp(-z)))
+
+        return Fitted(add)
+
+
+@dataclass
+class VectorLogistic:
+    """``NewtonLogistic`` over a feature vector."""
+
+    n_features: int
+    c: float = 1.0
+    weight: str | None = None
+
+    def with_settings(self, **settings) -> VectorLogistic:
+        return replace(self, **settings)
+
+    def fit(self, df: DataFrame) -> Fitted:
+        names = [f"__f{i}" for i in range(self.n_features)]
+
+        def wide(frame: DataFrame) -> DataFrame:
+            return frame.withColumn("__x", vector_to_array("features")).withColumns({n: F.col("__x")[i] for i, n in enumerate(names)})
+
+        fitted = NewtonLogistic(names, self.c, weight=self.weight).fit(wide(df))
+        return Fitted(lambda frame: fitted.transform(wide(frame)).drop("__x", *names))
+
+
 def gaussian_bayes_scores(train: DataFrame, df: DataFrame, columns: Sequence[str], y: str = "y", smoothing: float = 1e-9) -> DataFrame:
     """Gaussian naive Bayes log odds of case as one projection over one aggregate.
 
@@ -302,68 +396,23 @@ def nearest_neighbours(
     block_rows: int = 4096,
     skip_self: bool = False,
     digits: int = 6,
+    pivots: int = 16,
+    report: dict | None = None,
 ) -> DataFrame:
     """(key, neighbour, rank, distance2, label): exact k nearest train rows per query row.
 
-    Both sides are cut into hash blocks of about ``block_rows`` rows. A task compares one
-    train block with one query block by a matrix product, |a|^2 + |b|^2 - 2ab, works out anew
-    the distances that may be among the k smallest, and keeps k rows per query row, so no pair
-    of rows is ever written out and a task's memory is two blocks; the kept rows are then
-    merged. The work is rows x rows / block size tasks, which exact search needs.
+    See ``weaklabel.operators.neighbours``; ``report`` gets the numbers of block pairs, and of those compared.
     Ties in the squared distance (rounded to ``digits``) go to the smaller neighbour key.
     """
-    n_train = train.agg(F.count(F.lit(1))).first()[0]
-    n_query = query.agg(F.count(F.lit(1))).first()[0]
-    t_blocks, q_blocks = max(1, -(-n_train // block_rows)), max(1, -(-n_query // block_rows))
-    kind = "double"
-    as_double = F.col(vector).cast(f"array<{kind}>")
-    block = lambda n, s: F.pmod(F.xxhash64(F.col(key), F.lit(s)), F.lit(n)).cast("int")
-    left = query.select(F.col(key).alias("q"), as_double.alias("v"), block(q_blocks, 1).alias("qb")).withColumn(
-        "tb", F.explode(F.sequence(F.lit(0), F.lit(t_blocks - 1)))
-    )
-    right = train.select(F.col(key).alias("t"), as_double.alias("v"), F.col(label).alias("label"), block(t_blocks, 2).alias("tb"))
-    right = right.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))))
-    label_type = train.schema[label].dataType.simpleString()
-
-    def best(qs: pd.DataFrame, ts: pd.DataFrame) -> pd.DataFrame:
-        out = {"q": [], "t": [], "distance2": [], "label": []}
-        if len(qs) and len(ts):
-            a, b = np.stack(qs["v"].to_numpy()), np.stack(ts["v"].to_numpy())
-            ids, labels, names = ts["t"].to_numpy(), ts["label"].to_numpy(), qs["q"].to_numpy()
-            aa, bb = (a * a).sum(axis=1), (b * b).sum(axis=1)
-            for at in range(0, len(a), 512):
-                part = slice(at, at + 512)
-                rough = aa[part, None] + bb[None, :] - 2 * (a[part] @ b.T)
-                if skip_self:
-                    rough[names[part, None] == ids[None, :]] = np.inf
-                # the product form is exact to a few units of its terms; ties of the rounded distance stay in
-                slack = 1e-9 * (aa[part] + bb.max()) + 2 * 10.0**-digits
-                kept = min(k, len(b))
-                limit = np.partition(rough, kept - 1, axis=1)[:, kept - 1] + slack
-                i, j = np.nonzero((rough <= limit[:, None]) & np.isfinite(rough))
-                i += at
-                d = np.round(((b[j] - a[i]) ** 2).sum(axis=1), digits)
-                order = np.lexsort((ids[j], d, i))
-                i, j, d = i[order], j[order], d[order]
-                near = np.arange(len(i)) - np.searchsorted(i, i) < k
-                out["q"].extend(names[i[near]])
-                out["t"].extend(ids[j[near]])
-                out["distance2"].extend(d[near])
-                out["label"].extend(labels[j[near]])
-        return pd.DataFrame(out)
-
-    kept = (
-        left.groupBy("tb", "qb")
-        .cogroup(right.groupBy("tb", "qb"))
-        .applyInPandas(best, f"q long, t long, distance2 double, label {label_type}")
-    )
-    # a window limit keeps k rows per query row on each side of the shuffle
-    place = F.row_number().over(Window.partitionBy("q").orderBy("distance2", "t"))
-    return (
-        kept.withColumn("rank", place)
-        .where(F.col("rank") <= k)
-        .select(F.col("q").alias(key), F.col("t").alias("neighbour"), "rank", "distance2", "label")
-    )
+    found, pairs = nearest(
+        train.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v"), F.col(label).alias("label")),
+        query.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v")),
+        k, block_rows, skip_self, digits, pivots,
+    )
+    log.info("neighbours: %s of %s block pairs compared", pairs["compared"], pairs["all"])
+    if report is not None:
+        report.update(pairs)
+    return found.select(F.col("q").alias(key), F.col("t").alias("neighbour"), "rank", "distance2", "label")
 
 
 def neighbour_vote(neighbours: DataFrame, key: str) -> DataFrame:
@@ -425,9 +474,32 @@ def screen(
     return result
 
 
+def _with_settings(learner, settings: Mapping, weight: str | None):
+    """A Spark estimator or a learner of this package with ``settings`` and, if given, a weight column."""
+    if isinstance(learner, Estimator):
+        weights = {learner.getParam("weightCol"): weight} if weight else {}
+        return learner.copy({learner.getParam(k): v for k, v in settings.items()} | weights)
+    return learner.with_settings(**settings, **({"weight": weight} if weight else {}))
+
+
+def _takes_weights(learner) -> bool:
+    return learner.hasParam("weightCol") if isinstance(learner, Estimator) else hasattr(learner, "weight")
+
+
+def nested_folds(df: DataFrame, key: str, k_outer: int, k_inner: int, seed: int = SEED) -> DataFrame:
+    """``df`` with an outer and an inner fold, written once for all fits.
+
+    Inner folds deal the rows of each outer fold in hash order, so those of any outer training part, the other outer
+    folds together, are of near equal size too: one table of folds serves every fit.
+    """
+    folds = kfold(df, key, k_outer, seed, fold="outer")
+    ranked = hash_rank(folds, key, seed + 1, within=["outer"], rank="__rank")
+    return cut_lineage(ranked.withColumn("inner", (F.pmod(F.col("__rank") - 1, F.lit(k_inner)) + 1).cast("int")).drop("__rank"))
+
+
 def nested_cv(
     df: DataFrame,
-    estimator: Estimator,
+    estimator,
     grid: Mapping[str, Sequence],
     key: str,
     name: str,
@@ -442,70 +514,88 @@ def nested_cv(
 ) -> DataFrame:
     """Nested cross-validation: (model, params, fold, metric, value) per outer fold.
 
-    Inner folds pick the setting (F1 for classes, squared error for ``regression`` and
-    ``log_regression``), the pick is refitted on the outer training part and judged on the
-    outer test part. Class weights are those of the rows that a fit sees. ``store`` (a
-    ResultStore) skips outer folds that a run of the same grid, folds, seed and task has left.
+    ``estimator`` is a Spark estimator or a learner of this package. Inner folds pick the setting (F1 for classes,
+    squared error for ``regression`` and ``log_regression``), the pick is refitted on the outer training part and judged
+    on the outer test part. Class weights are those of the rows that a fit sees. All fits of all outer folds wait in one
+    queue for ``parallelism`` workers; the refit of a fold follows the last of its inner fits, while those of others run.
+    ``store`` (a ResultStore) keeps the inner scores of each setting and the outer scores of each fold: a run of the same
+    grid, folds, seed and task starts where the last one ended.
     """
     weighs = weight is not None or any(cw is not None for cw in class_weights)
-    if weighs and not estimator.hasParam("weightCol"):
+    if weighs and not _takes_weights(estimator):
         raise ValueError(f"{type(estimator).__name__} takes no row weights")
-    settings = int(np.prod([len(v) for v in grid.values()] or [1])) * len(class_weights)
-    log.info("%s: %s fits", name, k_outer * (k_inner * settings + 1))
+    tried = [(dict(zip(grid, values, strict=True)), cw) for cw in class_weights for values in itertools.product(*grid.values())]
+    log.info("%s: %s fits", name, k_outer * (k_inner * len(tried) + 1))
     run = json.dumps([{k: list(v) for k, v in grid.items()}, k_outer, k_inner, seed, task, weight, [str(c) for c in class_weights]], sort_keys=True)
     spark = df.sparkSession
-    outer = cut_lineage(kfold(df, key, k_outer, seed, fold="outer")).persist()
-    builder = ParamGridBuilder()
-    for param, values in grid.items():
-        builder = builder.addGrid(estimator.getParam(param), list(values))
-    maps = builder.build()
+    folds = nested_folds(df, key, k_outer, k_inner, seed).persist()
     regression = task != "class"
     if regression:
         evaluator = RegressionEvaluator(labelCol="y", metricName="mse")
     else:
         evaluator = MulticlassClassificationEvaluator(labelCol="y", metricName="fMeasureByLabel", metricLabel=1.0)
-    done = set()
+    schema = "model string, params string, fold int, metric string, value double, run string"
+    text = [json.dumps(s | ({} if "class_weight" in s else {"class_weight": str(cw)}), sort_keys=True) for s, cw in tried]
+
+    done, inner = set(), {}
     if store is not None:
-        done = {r["fold"] for r in store.load().where((F.col("model") == name) & (F.col("run") == run)).select("fold").distinct().collect()}
-    produced = []
-    for f in range(1, k_outer + 1):
-        if f in done:
-            continue
-        train = kfold(outer.where(F.col("outer") != f), key, k_inner, seed, fold="__inner")
-        train = train.persist()
-
-        def fit(rows: DataFrame, setting, cw):
-            stage = estimator.copy(setting)
-            if weighs:
-                stage.set(stage.getParam("weightCol"), "w")
-            return stage.fit(with_class_weight(rows, cw, weight, "w"))
-
-        tried = [(m, cw) for cw in class_weights for m in maps]
-
-        def judged(setting, cw, g: int) -> float:
-            model = fit(train.where(F.col("__inner") != g), setting, cw)
-            return evaluator.evaluate(model.transform(train.where(F.col("__inner") == g)))
-
-        jobs = [(i, g) for i in range(len(tried)) for g in range(1, k_inner + 1)]
-        values = _in_threads(spark, parallelism, [lambda i=i, g=g: judged(*tried[i], g) for i, g in jobs])  # noqa: B023
-        means = [float(np.mean([v for (i, _), v in zip(jobs, values, strict=True) if i == n])) for n in range(len(tried))]
-        setting, cw = tried[int(np.argmin(means) if regression else np.argmax(means))]
-        model = fit(train, setting, cw)
-        train.unpersist()
-        chosen = {p.name: v for p, v in setting.items()} | {"class_weight": str(cw)}
-        held = model.transform(outer.where(F.col("outer") == f))
+        kept = store.load().where(F.col("model") == name)
+        done = {r["fold"] for r in kept.where(F.col("run") == run).select("fold").distinct().collect()}
+        inner = {(r["fold"], r["params"], r["metric"]): r["value"] for r in kept.where(F.col("run") == f"{run}|inner").collect()}
+
+    def fit(rows: DataFrame, setting: Mapping, cw):
+        # the forests of this package weigh classes themselves, by each tree's own draw
+        return _with_settings(estimator, setting, "w" if weighs else None).fit(with_class_weight(rows, cw, weight, "w"))
+
+    def judged(f: int, i: int, g: int) -> float:
+        part = folds.where(F.col("outer") != f)
+        model = fit(part.where(F.col("inner") != g), *tried[i])
+        return evaluator.evaluate(model.transform(part.where(F.col("inner") == g)))
+
+    def refitted(f: int, best: int) -> DataFrame:
+        model = fit(folds.where(F.col("outer") != f), *tried[best])
+        held = model.transform(folds.where(F.col("outer") == f))
         if regression:
             p, y = class_of_regression("prediction", "y", task == "log_regression")
         else:
             p, y = F.col("prediction").cast("int"), F.col("y").cast("int")
         m = fold_metrics(held.select(F.lit(f).alias("fold"), y.alias("yy"), p.alias("pp")), ["fold"], "yy", "pp").first()
-        text = json.dumps(chosen, sort_keys=True)
-        rows = [(name, text, f, metric, m[metric], run) for metric in ("acc", "f1", "mse", "auc")]
-        part = spark.createDataFrame(rows, "model string, params string, fold int, metric string, value double, run string")
+        rows = spark.createDataFrame([(name, text[best], f, metric, m[metric], run) for metric in ("acc", "f1", "mse", "auc")], schema)
         if store is not None:
-            store.append(part, f"{name}|{run}|{f}")
-        produced.append(part)
-    outer.unpersist()
+            store.append(rows, f"{name}|{run}|{f}")
+        return rows
+
+    scores = {(f, i, g): inner.get((f, text[i], f"inner_{g}")) for f in range(1, k_outer + 1) if f not in done for i in range(len(tried)) for g in range(1, k_inner + 1)}
+    produced, waiting = [], {}
+
+    def settle(pool, f: int) -> None:
+        """Refit fold ``f`` once nothing of it is open."""
+        own = {k: v for k, v in scores.items() if k[0] == f}
+        if all(v is not None for v in own.values()):
+            means = [float(np.mean([own[f, i, g] for g in range(1, k_inner + 1)])) for i in range(len(tried))]
+            best = int(np.argmin(means) if regression else np.argmax(means))
+            waiting[pool.submit(inheritable_thread_target(spark)(refitted), f, best)] = None
+
+    with ThreadPoolExecutor(max(1, parallelism)) as pool:
+        for spot, value in scores.items():
+            if value is None:
+                waiting[pool.submit(inheritable_thread_target(spark)(judged), *spot)] = spot
+        for f in {k[0] for k, v in scores.items()} - {s[0] for s in waiting.values() if s}:
+            settle(pool, f)
+        while waiting:
+            for future in wait(waiting, return_when=FIRST_COMPLETED).done:
+                spot = waiting.pop(future)
+                if spot is None:
+                    produced.append(future.result())
+                    continue
+                scores[spot] = future.result()
+                f, i, _ = spot
+                own = [scores[f, i, g] for g in range(1, k_inner + 1)]
+                if store is not None and None not in own:
+                    rows = [(name, text[i], f, f"inner_{g}", v, f"{run}|inner") for g, v in enumerate(own, 1)]
+                    store.append(spark.createDataFrame(rows, schema), f"{name}|{run}|{f}|{text[i]}")
+                settle(pool, f)
+    folds.unpersist()
     if store is not None:
         return store.load().where((F.col("model") == name) & (F.col("run") == run)).drop("run")
     return reduce(DataFrame.unionByName, produced).drop("run")

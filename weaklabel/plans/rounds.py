@@ -27,12 +27,14 @@ from weaklabel.operators.features import (
     standardize,
     treatment_flag,
 )
+from weaklabel.operators.forest import ForestLearner
 from weaklabel.operators.label_model import LabelModel
 from weaklabel.operators.models import forest_classifier, score, sensitivity_variants, with_class_weight
 from weaklabel.operators.quality import expect_rows
 from weaklabel.operators.rules import RuleSet
 from weaklabel.operators.split import make_splits, promote
 from weaklabel.operators.votes import majority_prob
+from weaklabel.session import written
 from weaklabel.sources import tables
 from weaklabel.sources.tables import RoundStore, read_delimited
 
@@ -189,11 +191,13 @@ def train_final(
     trees: int = 1000,
     depth: int | None = 50,
     class_weight: Mapping[int, float] | None = None,
+    exact: bool = False,
 ) -> tuple[Trained, DataFrame]:
     """Refit on train + dev + valid with sample and class weights and score every split.
 
-    Scaling is fitted on train + dev only. Returns the model and (key, split, outcome, y,
-    model_prob, model_class) for all rows, test included.
+    Scaling is fitted on train + dev only. ``exact`` grows the trees over all distinct values to any depth; Spark's
+    forest bins values and stops at depth 30. Returns the model and (key, split, outcome, y, model_prob, model_class)
+    for all rows, test included.
     """
     targets, limits = soft_targets(frame, prob)
     columns = feature_columns(targets, first)
@@ -202,9 +206,9 @@ def train_final(
     fitted = scaling(matrix.where(F.col("split").isin("train", "dev")), columns)
     ready = assemble(standardize(matrix, columns, fitted), columns).select(*keep, "features")
     known = ready.where(F.col("split").isin("train", "dev", "valid"))
-    weighted = with_class_weight(known, class_weight or {0: 0.99, 1: 0.01}, "weight", "w").persist()
-    model = forest_classifier(trees, depth, None, "w").fit(weighted)
-    weighted.unpersist()
+    weighted = written(with_class_weight(known, class_weight or {0: 0.99, 1: 0.01}, "weight", "w"), "final-training")
+    learner = ForestLearner(trees, depth, weight="w", key=key) if exact else forest_classifier(trees, depth, None, "w")
+    model = learner.fit(weighted)
     scored = score(model, ready, "model_prob", "model_class")
     return Trained(model, columns, fitted, limits), scored.drop("features", "weight")
 

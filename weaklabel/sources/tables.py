@@ -163,13 +163,13 @@ def load_model(path: str, name: str) -> PipelineModel:
 class ResultStore:
     """Cross-validation results in long form: finished work is skipped after a restart.
 
-    One table, partitioned by kind. Rows carry the number of their append; once they are all written, a commit row
-    names the part of the work that they are, and that number. Only committed numbers are read, and of a part that was
-    appended more than once only the first by number: neither a half-written nor a repeated append shows.
+    One table, partitioned by kind and by the number of an append, so that appends at one time don't meet. Once all rows
+    of an append are written, a commit row names the part of the work that they are. Only committed numbers are read, and
+    of a part that was appended more than once only the first by number: neither a half-written nor a repeated append shows.
     """
 
     schema = "model string, params string, fold int, metric string, value double, run string"
-    _stored = f"{schema}, attempt string, part string, kind string"
+    _stored = f"{schema}, part string, kind string, attempt string"
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
@@ -194,14 +194,13 @@ class ResultStore:
         if "run" not in rows.columns:
             rows = rows.withColumn("run", F.lit(None).cast("string"))
         attempt = uuid.uuid4().hex
-        own = rows.select(*[f.split()[0] for f in self.schema.split(", ")], F.lit(attempt).alias("attempt"))
-        own.withColumn("kind", F.lit("rows")).write.mode("append").partitionBy("kind").parquet(self.path)
+        rows.select(*[f.split()[0] for f in self.schema.split(", ")]).write.parquet(f"{self.path}/kind=rows/attempt={attempt}")
         if part is None:
             mine = self._read("rows").where(F.col("attempt") == attempt)
             keys = mine.select(F.xxhash64("model", "params", "fold", "run").cast("decimal(38,0)").alias("h")).distinct()
             part = str(keys.agg(F.struct(F.count("h"), F.sum("h"))).first()[0])
-        commit = self.spark.createDataFrame([(attempt, part, "commit")], "attempt string, part string, kind string")
-        commit.coalesce(1).write.mode("append").partitionBy("kind").parquet(self.path)
+        commit = self.spark.createDataFrame([(part,)], "part string")
+        commit.coalesce(1).write.parquet(f"{self.path}/kind=commit/attempt={attempt}")
 
     def pending(self, wanted: DataFrame, keys: Iterable[str] = ("model", "params")) -> DataFrame:
         keys = list(keys)
