@@ -6,7 +6,9 @@ import random
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
-from weaklabel.llm.chat import digest, fold, messages_as_events, parse, render
+from pyspark.sql import functions as F
+
+from weaklabel.llm.chat import digest, fold, log_of, messages_as_events, parse, render
 from weaklabel.llm.queries import op5_chat_format
 
 EVENT = "conv_id long, seq long, kind string, message string, role string, text string"
@@ -94,3 +96,13 @@ def test_defined_cases(spark):
     got = {r.conv_id: r for r in digest(parse(render(fold(messages_as_events(frame))))).collect()}
     assert {k: v.n_turns for k, v in got.items()} == {None: 2, 3: 2, 4: 1}
     assert fold(messages_as_events(spark.createDataFrame([], ROW))).count() == 0
+
+
+def test_a_log_of_turns_holds_all_kinds_and_folds_back(spark, tiny):
+    rows = spark.read.parquet(f"{tiny}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    odd = spark.createDataFrame([(-5, 1, "user", "same"), (-5, 1, "user", "same"), (-5, None, None, None), (None, 2, "assistant", "é<|x|>"), (-6, 0, "a", "")], ROW)
+    log = log_of(rows.unionByName(odd))
+    kinds = {r["kind"]: r["count"] for r in log.groupBy("kind").count().collect()}
+    assert set(kinds) == {"message", "delta", "edit", "regenerate"} and min(kinds.values()) > 0.2 * rows.count()
+    plain = {r.conv_id: r.turns for r in fold(messages_as_events(rows.unionByName(odd))).collect()}
+    assert plain == {r.conv_id: r.turns for r in fold(log.orderBy(F.rand(1))).collect()}

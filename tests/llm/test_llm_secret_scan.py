@@ -70,3 +70,48 @@ def test_defined_cases(spark, tmp_path):
     nothing = hashlib.sha256(b"").hexdigest()
     assert sorted(r.base_sha256 == nothing for r in got) == [False, True, True, True]
     assert [r.spans for r in got if r.doc_id is None] == ["assign:300001:300015"]
+
+
+def test_a_pair_that_is_in_the_ledger_twice_counts_once(spark, tmp_path):
+    path = str(tmp_path / "ledger")
+    docs = spark.createDataFrame([(1, "secret = abcdefgh"), (2, "secret = abcdefgh")], SCHEMA)
+    once = digest(findings(docs, update_ledger(docs, path), ["doc_id"]), ["doc_id"]).orderBy("doc_id").collect()
+    update_ledger(docs, path).write.mode("append").parquet(path)  # what two runs at a time leave
+    twice = update_ledger(docs, path)
+    assert twice.count() == 4
+    assert digest(findings(docs, twice, ["doc_id"]), ["doc_id"]).orderBy("doc_id").collect() == once
+    assert [r.n_assign for r in once] == [1, 1]
+
+
+def test_a_second_run_scans_only_what_the_first_has_not(spark, tmp_path, tiny):
+    path = str(tmp_path / "ledger")
+    docs = spark.read.parquet(f"{tiny}/documents.parquet")
+    first = update_ledger(docs.where("doc_id % 2 = 0"), path).count()
+    files = set(spark.read.parquet(path).inputFiles())
+    ledger = update_ledger(docs, path)
+    new = [f for f in ledger.inputFiles() if f not in files]
+    added = spark.read.parquet(*new)
+    held = spark.read.parquet(*files)
+    assert added.count() + first == ledger.count() and added.join(held, ["blob", "rule_set", "rule_version"]).count() == 0
+    whole = update_ledger(docs, str(tmp_path / "other"))
+    key = lambda d: sorted(map(tuple, digest(findings(docs, d, ["doc_id"]), ["doc_id"]).collect()))
+    assert key(ledger) == key(whole)
+
+
+def test_extra_kinds_have_no_upper_bounds():
+    long = "p" * 500
+    assert spans_of(f"see ftp://{'u' * 90}:{long}@host and redis://:{long}@h", EXTRA) == [("url", 7, 602), ("url", 620, 1125)]
+    assert spans_of("http://a:b@c", EXTRA) == []
+    key = "-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,AB\n\nMIIE+/=\n-----END RSA PRIVATE KEY-----"
+    assert spans_of(f"x {key} y", EXTRA) == [("pem", 2, 2 + len(key))]
+    assert spans_of("-----BEGIN PRIVATE KEY-----MIIE-----END PRIVATE KEY-----", EXTRA) == [("pem", 0, 56)]
+
+
+def test_long_runs_are_scanned_in_one_go():
+    import time
+
+    start = time.time()
+    for text in ("a." * 200_000, "a://" * 100_000, "x:" * 200_000, "-----BEGIN PRIVATE KEY-----" + "A" * 400_000, "-----BEGIN PRIVATE KEY-----\n" + "k: v\n" * 60_000):
+        spans_of(text, EXTRA)
+        spans_of(text, BASE)
+    assert time.time() - start < 20

@@ -14,7 +14,11 @@ inside roles and texts ``&`` becomes ``&a;``, ``<|`` becomes ``&l;`` and, in rol
 can hold a control string, and ``parse`` gives back every turn exactly. Texts of the role ``assistant`` are under the loss
 mask.
 
-One conversation ends up in one row, as its rendered text is one cell; deltas are joined per message before that.
+One conversation ends up in one row, as its rendered text is one cell; before that, events are numbered by a sorted window
+and pieces are joined per message, so no list holds a whole log.
+
+``log_of`` writes a table of final turns as the log that a stream of them could have left: texts come in pieces, some after
+a draft that an edit replaces, some after a draft that is regenerated together with a turn that followed it.
 
 Defined cases: a null text is the empty text; a null role is the empty role; null conversations form one conversation;
 events of equal sequence go by message, kind, role and text; repeated rows are repeated events; an empty table gives an
@@ -50,20 +54,48 @@ def messages_as_events(rows: DataFrame, conversation: str = "conv_id", sequence:
     )
 
 
+#: Places in the log that a turn may take.
+_STRIDE = 8
+
+
+def log_of(rows: DataFrame, conversation: str = "conv_id", sequence: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
+    """A log of messages, deltas, edits and regenerations whose final messages are ``rows``.
+
+    A third of the turns, by a hash of what they say, are streamed: a beginning and two deltas. A third are drafts that an
+    edit replaces by the beginning, and deltas. A third are drafts that an answer follows, before a regeneration drops
+    that and starts anew with the beginning, and deltas.
+    """
+    plain = messages_as_events(rows, conversation, sequence, role, text)
+    turn = Window.partitionBy("conv_id").orderBy("seq", "role", "text")
+    turns = plain.withColumn("at", F.row_number().over(turn) * _STRIDE)
+    n = F.char_length("text")
+    first, second = F.floor(n / 3).cast("int"), F.floor(2 * n / 3).cast("int")
+    own, draft = F.concat(F.lit("m"), F.col("at")), F.reverse("text")
+    piece = lambda a, b: F.substr(F.col("text"), a + 1, b - a)
+
+    def event(step: int, kind: str, said: Column, message: Column = own, by: Column | None = None) -> Column:
+        return F.struct(
+            (F.col("at") + step).cast("long").alias("seq"), F.lit(kind).alias("kind"), message.alias("message"), (F.col("role") if by is None else by).alias("role"), said.alias("text")
+        )
+
+    start = piece(F.lit(0), first)
+    rest = [event(5, "delta", piece(first, second)), event(6, "delta", piece(second, n))]
+    streamed = F.array(event(0, "message", start), *rest)
+    edited = F.array(event(0, "message", draft), event(1, "delta", F.lit("!")), event(2, "edit", start), *rest)
+    dropped = F.concat(F.lit("d"), F.col("at"))
+    regenerated = F.array(event(0, "message", draft), event(1, "message", F.lit("so?"), dropped, F.lit("user")), event(2, "delta", draft, dropped, F.lit("user")), event(3, "regenerate", start), *rest)
+    way = F.pmod(F.xxhash64("conv_id", "at", "text"), F.lit(3))
+    log = F.when(way == 0, streamed).when(way == 1, edited).otherwise(regenerated)
+    return turns.select("conv_id", F.explode(log).alias("e")).select("conv_id", "e.*")
+
+
 def fold(events: DataFrame) -> DataFrame:
     """Conversations with their final turns: conv_id, turns (array of role and text, in order).
 
     ``events``: conv_id, seq, kind, message (null for an event that is a message of its own), role, text.
     """
-    text = F.coalesce("text", F.lit(""))
-    event = F.struct("seq", "message", "kind", "role", text.alias("text"))
-    logs = events.groupBy("conv_id").agg(F.array_sort(F.collect_list(event)).alias("log"))
-    # a conversation of whole messages needs no folding
-    plain = ~F.exists("log", lambda e: (e["kind"] != "message") | e["message"].isNotNull())
-    turns = F.transform("log", lambda e: F.struct(F.coalesce(e["role"], F.lit("")).alias("role"), e["text"].alias("text")))
-    simple = logs.where(plain).select("conv_id", turns.alias("turns"))
-
-    place = logs.where(~plain).select("conv_id", F.posexplode("log").alias("place", "e")).select("conv_id", "place", "e.*")
+    order = Window.partitionBy("conv_id").orderBy("seq", "message", "kind", "role", "text")
+    place = events.withColumn("text", F.coalesce("text", F.lit(""))).withColumn("place", F.row_number().over(order))
     place = place.withColumn("message", F.coalesce("message", F.concat(F.lit("#"), F.col("place").cast("string"))))
     whole_message = Window.partitionBy("conv_id", "message")
     begun = place.withColumn("began", F.min("place").over(whole_message))
@@ -81,8 +113,7 @@ def fold(events: DataFrame) -> DataFrame:
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "piece"))), lambda p: p["piece"]), "").alias("text"),
     )
     ordered = F.array_sort(F.collect_list(F.struct("began", F.coalesce("role", F.lit("")).alias("role"), "text")))
-    folded = joined.groupBy("conv_id").agg(F.transform(ordered, lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("turns"))
-    return simple.unionByName(folded)
+    return joined.groupBy("conv_id").agg(F.transform(ordered, lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("turns"))
 
 
 def render(conversations: DataFrame) -> DataFrame:

@@ -68,8 +68,10 @@ def op3_simhash(spark: SparkSession, folder: str) -> DataFrame:
 
 @register()
 def op4_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
-    docs = table(spark, folder, "documents")
-    ledger = secret_scan.update_ledger(docs, shared_path(spark, "secret-ledger"))
+    docs, path = table(spark, folder, "documents"), shared_path(spark, "secret-ledger")
+    # a tenth of the paths comes first, so that the run over all of them finds a ledger: it scans only what that lacks
+    secret_scan.update_ledger(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(10)) == 0), path)
+    ledger = secret_scan.update_ledger(docs, path)
     return secret_scan.digest(secret_scan.findings(docs, ledger, ["doc_id"]), ["doc_id"])
 
 
@@ -93,8 +95,7 @@ SELECT conv_id, n_turns, sha256(spoken) AS turns_sha256, length(loss) AS loss_ch
 def op5_chat_format(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
     hostile = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(HOSTILE).alias("text"))
-    events = chat.messages_as_events(rows.unionByName(hostile))
-    return chat.digest(chat.parse(chat.render(chat.fold(events))))
+    return chat.digest(chat.parse(chat.render(chat.fold(chat.log_of(rows.unionByName(hostile))))))
 
 
 @register()

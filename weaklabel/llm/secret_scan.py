@@ -4,7 +4,8 @@ Every version of every path is addressed by the SHA-256 of its text, so a blob t
 scanned once. A ledger table keeps which (blob, rule set, rule version) pairs were scanned and what was found; a run scans
 only pairs that the ledger lacks, appends them, and joins the findings back to all paths and versions that hold the blob.
 Raising the version of one rule set rescans blobs for that set alone. Copies of a blob are merged before they are
-shuffled, so a text that a third of all paths hold is no hot group.
+shuffled, so a text that a third of all paths hold is no hot group. A pair that is in the ledger more than once, as after
+two runs at a time, counts once: what a scan finds depends on blob and rules alone, so its rows are equal.
 
 Spans are code points, end exclusive. The ``base`` rule set is: assignments to password-like names, access key ids and
 long lower-case hex runs, each leftmost and non-overlapping, with too short matches dropped after they have taken their
@@ -59,13 +60,15 @@ BASE = RuleSet(
 )
 EXTRA = RuleSet(
     "extra",
-    1,
+    2,
     (
-        Kind("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\s]*-----END [A-Z ]*PRIVATE KEY-----"),
+        # lines like "Proc-Type: ..." may stand before the key
+        Kind("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:\s*[A-Za-z0-9-]+:[^\n]*\n)*+[A-Za-z0-9+/=\s]*-----END [A-Z ]*PRIVATE KEY-----"),
         Kind("hosted", r"\bgh[pousr]_[A-Za-z0-9]{36,}"),
         Kind("signed", r"\beyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
         Kind("bearer", r"(?i:\bbearer)\x20+([A-Za-z0-9._~+/-]{20,}=*)"),
-        Kind("url", r"\b[a-z][a-z0-9+.-]{1,20}://[^\s/:@]{1,64}:([^\s/:@]{3,64})@"),
+        # from the end of the scheme on, so that no start is tried for every letter of a long run
+        Kind("url", r"://[^\s/:@]*+:([^\s/:@]+)@", 1, 3),
     ),
 )
 FINDINGS = "blob string, rule_set string, rule_version int, spans array<struct<kind:string,start:int,stop:int>>"
@@ -140,7 +143,8 @@ def update_ledger(versions: DataFrame, path: str, rule_sets: tuple[RuleSet, ...]
 def findings(versions: DataFrame, ledger: DataFrame, keep: list[str], rule_sets: tuple[RuleSet, ...] = (BASE, EXTRA), text_column: str = "text") -> DataFrame:
     """Each version (columns ``keep``) with blob and, for each rule set, a column of its spans."""
     own = versions.select(*keep, F.sha2(whole(text_column), 256).alias("blob"))
-    by_set = [F.flatten(F.collect_list(F.when((F.col("rule_set") == r.name) & (F.col("rule_version") == r.version), F.col("spans")))).alias(f"spans_{r.name}") for r in rule_sets]
+    none = F.array().cast(ledger.schema["spans"].dataType)
+    by_set = [F.coalesce(F.max(F.when((F.col("rule_set") == r.name) & (F.col("rule_version") == r.version), F.col("spans"))), none).alias(f"spans_{r.name}") for r in rule_sets]
     found = ledger.groupBy("blob").agg(*by_set)
     found = found.where(F.lit(False) if not rule_sets else F.greatest(*[F.size(f"spans_{r.name}") for r in rule_sets], F.lit(0)) > 0)
     # a written table, so that Spark can split the versions of a blob that very many paths hold
