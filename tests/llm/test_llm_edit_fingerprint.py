@@ -91,11 +91,62 @@ def test_defined_cases(spark):
     assert sorted(r.doc_id for r in same) == [1, 1, 2]
 
 
-def test_near_classes_links_copies_and_near_copies(spark):
+def classes(spark, rows, **options):
+    marks = fingerprints(spark.createDataFrame(rows, SCHEMA), ["doc_id"])
+    named = marks.select("doc_id", *ef.mark_hashes()).join(near_classes(marks.withColumnRenamed("doc_id", "id"), **options), ["h", "g"])
+    return {r.doc_id: r.class_id for r in named.collect()}
+
+
+def near_pairs(rows, least=0.8):
+    marks = fingerprints_of([t for _, t in rows])
+    return [(rows[i][0], rows[j][0]) for i in range(len(rows)) for j in range(i) if likeness(marks[i], marks[j]) >= least]
+
+
+@pytest.mark.parametrize("tile", [512, 7])
+def test_near_classes_hold_copies_and_near_copies(spark, tile):
     draw = random.Random(3)
     base = ["".join(draw.choice("etaoin shrdlu") for _ in range(2000)) for _ in range(30)]
     rows = [(i, t) for i, t in enumerate(base)] + [(100 + i, t[:1990] + "0123456789") for i, t in enumerate(base)] + [(200, base[0]), (201, base[0])]
-    marks = fingerprints(spark.createDataFrame(rows, SCHEMA), ["doc_id"]).withColumnRenamed("doc_id", "id")
-    links = {(r.id, r.partner) for r in near_classes(marks).collect()}
-    assert {(100 + i, i) for i in range(30)} <= links and {(200, 0), (201, 0)} <= links
-    assert all(a % 100 == b % 100 or (a, b) in {(200, 0), (201, 0)} for a, b in links)
+    found = classes(spark, rows, tile=tile)
+    assert found == {i: 0 if i >= 200 else i % 100 for i, _ in rows}
+
+
+@pytest.mark.parametrize("shared", ["nothing", "beginning", "end"])
+def test_near_pairs_are_found(spark, shared):
+    """Also among many documents that share a half, where every band of that half holds them all."""
+    draw = random.Random(5)
+    half = "".join(draw.choice("etaoin shrdlu") for _ in range(1500))
+    rows = []
+    for i in range(120):
+        own = "".join(draw.choice("etaoin shrdlu") for _ in range(1500 if shared != "nothing" else 3000))
+        text = {"nothing": own, "beginning": half + own, "end": own + half}[shared]
+        chars = list(text)
+        for _ in range(draw.choice([1, 2, 6])):
+            chars[draw.randrange(len(chars))] = draw.choice(["", "x", "yz"])
+        rows += [(2 * i, text), (2 * i + 1, "".join(chars))]
+    pairs = near_pairs(rows)
+    found = classes(spark, rows)
+    assert len(pairs) >= 30
+    assert sum(found[a] == found[b] for a, b in pairs) >= 0.9 * len(pairs)
+    # classes are what links join, so members of one that are not near each other need a chain of near ones
+    linked = {frozenset(p) for p in pairs}
+    for c in set(found.values()):
+        members = [i for i, k in found.items() if k == c]
+        assert len(members) == 1 or all(any(frozenset((a, b)) in linked for b in members if b != a) for a in members)
+
+
+def test_likenesses_are_those_of_pairs():
+    draw = random.Random(7)
+    texts = ["".join(draw.choice("ab c") for _ in range(draw.choice([0, 1, 30, 700]))) for _ in range(25)]
+    marks = fingerprints_of([*texts, texts[3] + "x"])
+    found = ef.likenesses(marks, marks[:9])
+    for i, a in enumerate(marks):
+        for j, b in enumerate(marks[:9]):
+            assert found[i, j] == pytest.approx(likeness(a, b))
+
+
+def test_classes_of_odd_rows(spark):
+    rows = [(None, "abc"), (4, "abc"), (4, "other text entirely, long enough"), (5, None), (6, ""), (6, "")]
+    out = ef.with_classes(with_next(spark.createDataFrame(rows, SCHEMA))).collect()
+    assert sorted((str(r.doc_id), str(r.class_id)) for r in out) == [("4", "4"), ("4", "None"), ("5", "5"), ("6", "5"), ("6", "5"), ("None", "None")]
+    assert ef.with_classes(with_next(spark.createDataFrame([], SCHEMA))).count() == 0

@@ -94,3 +94,65 @@ def test_defined_cases(spark):
     assert score(spark.createDataFrame([], docs.schema), grammar, ["doc_id"]).count() == 0
     assert terms_of("Abcdefg ab") == {"abcdefg", "abcd*", "abcde*", "abcdef*"}
     assert toxicity.REACH == 3
+
+
+def plain_read(clause, sums):
+    """A clause word by word, without tables."""
+    from weaklabel.llm import toxicity as t
+
+    denied, reported = 0, False
+    targets = [i for i, (s, _) in enumerate(clause) if s == "t"]
+    for i, (s, weight) in enumerate(clause):
+        if s in ("i", "x"):
+            how = 2 if denied else 3 if reported else 1 if any(abs(i - p) <= t.REACH for p in targets) else 0
+            sums[how + (4 if s == "x" else 0)] += weight or 1.0
+        denied = t.REACH if s == "n" else max(0, denied - 1)
+        reported = reported or s == "r"
+
+
+def test_composed_tables_read_as_plain_steps_do():
+    import random
+
+    import numpy as np
+
+    from weaklabel.llm import toxicity as t
+
+    draw, grammar = random.Random(4), t.Grammar()
+    for _ in range(2000):
+        clause = [(s, draw.choice([0.5, 2.0]) if s == "i" else 0.0) for s in draw.choices(["", "t", "n", "r", "i", "x"], [6, 1, 1, 1, 2, 2], k=draw.randint(1, 14))]
+        ours, want = np.zeros(8), np.zeros(8)
+        grammar._read(clause, ours)
+        plain_read(clause, want)
+        assert ours.tolist() == want.tolist(), clause
+
+
+def test_product_of_transducers():
+    from weaklabel.llm import toxicity as t
+
+    counting, lasting = t._counting("n", 2, 1), t._lasting("r", 2)
+    both = t.compose(counting, lasting)
+    assert both.follow.shape == (6, len(t.SYMBOLS))
+    a = b = state = 0
+    for s in ["", "n", "", "r", "", "n", "r", "", "", ""]:
+        k = t.SYMBOLS.index(s)
+        assert both.mark[state, k] == counting.mark[a, k] | lasting.mark[b, k]
+        a, b, state = counting.follow[a, k], lasting.follow[b, k], both.follow[state, k]
+        assert state == a * 2 + b
+
+
+def test_scores_equal_brute_force(spark, tiny):
+    """The scores of the whole table from the learned words and weights, clause by clause in plain Python."""
+    import re
+
+    import numpy as np
+
+    from weaklabel.llm import toxicity as t
+
+    docs, labels = (spark.read.parquet(f"{tiny}/{n}.parquet") for n in ("documents", "labels"))
+    grammar = t.learn(docs, labels.where(~t.held_out("doc_id")))
+    got = {r.doc_id: r.score for r in t.score(docs, grammar, ["doc_id"]).collect()}
+    for row in docs.collect():
+        sums = np.zeros(8)
+        for clause in re.split(r"[.!?;:,\n]", row.text.lower()):
+            plain_read([grammar.symbol(w) for w in re.findall(r"[^\W\d_]+", clause)], sums)
+        assert abs(got[row.doc_id] - grammar.probability(sums)) < 1e-9

@@ -10,8 +10,8 @@ The fingerprint samples the walk's output at fixed random steps: ``SAMPLES`` ste
 fingerprints is the share of equal samples, octaves weighted by their number of steps and steps after both ends left out:
 an estimate of the share of steps at which the walks agree. Equal texts have equal fingerprints.
 
-For near pairs, ``near_classes`` makes bands of some samples each, links all documents of a band to its smallest id, and
-verifies every link by the likeness; members that fail one band's representative stay open for the other bands.
+For near pairs, ``near_classes`` makes bands of some samples each, more of them and longer ones the more documents there are,
+compares all members of a band by the likeness, and joins the near ones into classes.
 
 Walks of many texts go on side by side in numpy; the few long texts that are left in the end go on alone. Memory is bounded
 by the slice of texts and one text.
@@ -24,17 +24,22 @@ equal fingerprints; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+import zstandard
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weaklabel.llm.common import NULL_ID, id_key, raw_texts, slices, whole
+from weaklabel.llm.common import NULL_ID, id_key, raw_texts, slices, smallest_reachable, whole, written
+from weaklabel.llm.simhash import _forest
 
 SAMPLES = 32
 SLICE_BYTES = 8 << 20
+RANGE_CHARS = 64 << 20
 ALONE = 48
 _PERIOD = 1 << 12
 _END = 255
@@ -180,40 +185,124 @@ def fingerprints(docs: DataFrame, keep: list[str], text_column: str = "text") ->
     return kept.mapInArrow(work, ", ".join([*kinds, "fingerprint string"]))
 
 
-def near_classes(marks: DataFrame, least: float = 0.8, bands: int = 12, samples: int = 6) -> DataFrame:
-    """Links (id, partner, likeness) between documents (id, fingerprint): each to the smallest id of a band it verifies with.
+def samples_for(rows: int) -> int:
+    """Samples a band: so many that the chance of two unrelated fingerprints to share one is far below 1 in ``rows``."""
+    return max(5, math.ceil((math.log2(max(rows, 2)) + 3) / 3))
+
+
+def bands_for(samples: int, least: float) -> int:
+    """Bands an octave: a pair that agrees on a share ``least`` of its samples is met in one with a chance of 0.9."""
+    return math.ceil(math.log(10) / least**samples)
 
-    A band is ``samples`` random positions of the last full octave but one, so that documents with few edits, which agree
-    at most positions, share some band. Copies of one fingerprint are linked by their smallest id.
-    """
-    one = marks.groupBy("fingerprint").agg(F.min("id").alias("id"))
 
-    def banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _banded(samples: int, bands: int):
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        draws: dict[tuple[int, int], list[tuple[int, ...]]] = {}
         for batch in batches:
-            ids, marks_, keys = [], [], []
-            for i, mark in zip(batch.column("id").to_pylist(), batch.column("fingerprint").to_pylist()):
+            nodes, keys = [], []
+            for node, mark in zip(batch.column("node").to_pylist(), batch.column("fingerprint").to_pylist()):
                 sizes = _octaves(len(mark))
-                for level in {max(0, len(sizes) - 2), max(0, len(sizes) - 3)}:
-                    own = mark[sum(sizes[:level]) : sum(sizes[: level + 1])]
-                    for b in range(bands):
-                        draw = np.random.default_rng([level, b]).integers(0, len(own), samples)
-                        ids.append(i)
-                        marks_.append(mark)
-                        keys.append(f"{level}:{b}:" + "".join(own[x] for x in draw))
-            yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(marks_, pa.string()), pa.array(keys, pa.string())], names=["id", "fingerprint", "band"])
-
-    def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [likeness(a, b) for a, b in zip(batch.column("fingerprint").to_pylist(), batch.column("other").to_pylist())]
-            yield pa.record_batch([batch.column("id"), batch.column("partner"), pa.array(found, pa.float64())], names=["id", "partner", "likeness"])
+                for level in range(max(0, len(sizes) - 2), len(sizes)):
+                    if (level, sizes[level]) not in draws:
+                        draws[level, sizes[level]] = [tuple(np.random.default_rng([10, level, b]).integers(0, sizes[level], samples).tolist()) for b in range(bands)]
+                    own, at = mark[sum(sizes[:level]) : sum(sizes[: level + 1])], f"{level}:"
+                    for b, draw in enumerate(draws[level, sizes[level]]):
+                        keys.append(xxhash.xxh64_intdigest(f"{at}{b}:" + "".join([own[x] for x in draw])) - (1 << 63))
+                        nodes.append(node)
+            yield pa.record_batch([pa.array(keys, pa.int64()), pa.array(nodes, pa.int64())], names=["band", "node"])
+
+    return work
+
+
+def likenesses(a: list[str], b: list[str]) -> np.ndarray:
+    """``likeness`` of every fingerprint of ``a`` with every one of ``b``."""
+    n = max(map(len, [*a, *b]))
+    x, y = (np.frombuffer("".join(m.ljust(n, "0") for m in marks).encode(), dtype=np.uint8).reshape(-1, n) for marks in (a, b))
+    sizes = _octaves(n)
+    weight = np.repeat([(1 << k) / s for k, s in enumerate(sizes)], sizes)[:n]
+    # equal samples, code by code; where both have ended there is nothing to compare
+    ended = ((x == 48) * weight) @ (y == 48).T.astype(float)
+    equal = sum(((x == c) * weight) @ (y == c).T.astype(float) for c in np.unique(x) if c != 48)
+    both = weight.sum() - ended
+    return np.where(both > 1e-9, equal / np.maximum(both, 1e-9), 1.0)
+
+
+def _verified(least: float):
+    """Links of each tile of a band, as a spanning forest; rows come sorted by tile."""
+
+    def links(marks: list[str], nodes: np.ndarray, cuts: np.ndarray, first: int, second: int) -> tuple[np.ndarray, np.ndarray]:
+        left, right = np.flatnonzero(cuts == first), np.flatnonzero(cuts == second)
+        if not len(left) or not len(right):
+            return nodes[:0], nodes[:0]
+        near = likenesses([marks[i] for i in left], [marks[j] for j in right]) >= least
+        i, j = np.nonzero(near)
+        i, j = left[i], right[j]
+        i, j = (i[i < j], j[i < j]) if first == second else (i, j)
+        kept = _forest(i, j, len(marks))
+        return nodes[i[kept]], nodes[j[kept]]
 
-    in_bands = one.mapInArrow(banded, "id long, fingerprint string, band string")
-    heads = in_bands.groupBy("band").agg(F.min(F.struct("id", "fingerprint")).alias("head"))
-    met = in_bands.join(heads, "band").where(F.col("id") > F.col("head.id"))
-    met = met.select("id", "fingerprint", F.col("head.id").alias("partner"), F.col("head.fingerprint").alias("other")).distinct()
-    near = met.mapInArrow(verified, "id long, partner long, likeness double").where(F.col("likeness") >= least)
-    copies = marks.join(one.withColumnRenamed("id", "partner"), "fingerprint").where(F.col("id") > F.col("partner")).select("id", "partner", F.lit(1.0).alias("likeness"))
-    return near.unionByName(copies)
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        for batch in _with_end(batches):
+            table = rest if batch is None else pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
+            if table is None or not table.num_rows:
+                continue
+            names = np.stack([np.asarray(table.column(c)) for c in ("band", "first", "second")])
+            cuts = [0, *(np.flatnonzero((names[:, 1:] != names[:, :-1]).any(axis=0)) + 1).tolist()]
+            if batch is None:
+                cuts.append(table.num_rows)
+            found = []
+            for a, b in zip(cuts, cuts[1:]):
+                part = table.slice(a, b - a)
+                found.append(links(part.column("fingerprint").to_pylist(), np.asarray(part.column("node")), np.asarray(part.column("cut")), int(names[1, a]), int(names[2, a])))
+            rest = table.slice(cuts[-1])
+            if found:
+                yield pa.record_batch([pa.array(np.concatenate([f[k] for f in found])) for k in (0, 1)], names=["a", "b"])
+
+    return work
+
+
+def _with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
+    yield from batches
+    yield None
+
+
+def near_classes(marks: DataFrame, least: float = 0.8, samples: int | None = None, bands: int | None = None, tile: int = 512) -> DataFrame:
+    """h, g (hashes of a fingerprint, see ``mark_hashes``) and class_id, the smallest id of its class, of documents (id, fingerprint).
+
+    A band is some random positions of one of the last two octaves of a walk, which hold three quarters of its steps. All
+    members of a band are compared; a band with many of them, as of texts that share their end, is cut into tiles of about
+    ``tile`` rows, and every two tiles meet in a task of their own. Pairs of likeness ``least`` are linked, classes are the
+    connected components. Copies of one fingerprint are one first.
+    """
+    nodes = marks.groupBy(*mark_hashes()).agg(F.first("fingerprint").alias("fingerprint"), F.min("id").alias("first"))
+    nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()), "edit-marks")
+    samples = samples or samples_for(nodes.count())
+    bands = bands or bands_for(samples, least)
+    banded = nodes.select("node", "fingerprint").mapInArrow(_banded(samples, bands), "band long, node long").distinct()
+    held = written(banded, "edit-bands")
+    cuts = held.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band", F.ceil(F.col("n") / tile).cast("int").alias("cuts"))
+    dealt = held.join(cuts, "band").withColumn("cut", F.pmod(F.xxhash64("node"), F.col("cuts")).cast("int"))
+    pairs = F.transform(F.sequence(F.lit(0), F.col("cuts") - 1), lambda j: F.struct(F.least(F.col("cut"), j).alias("first"), F.greatest(F.col("cut"), j).alias("second")))
+    tiles = dealt.select("band", "node", "cut", F.explode(pairs).alias("t")).select("band", "t.*", "node", "cut")
+    tiles = tiles.join(nodes.select("node", "fingerprint"), "node").repartition("band", "first", "second").sortWithinPartitions("band", "first", "second")
+    links = written(tiles.select("band", "first", "second", "node", "cut", "fingerprint").mapInArrow(_verified(least), "a long, b long"), "edit-links")
+    placed = nodes.join(smallest_reachable(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    smallest = placed.groupBy("root").agg(F.min("first").alias("class_id"))
+    return placed.join(smallest, "root").select("h", "g", "class_id")
+
+
+def mark_hashes() -> list[Column]:
+    """Two hashes that stand for a fingerprint where it would be long to move."""
+    return [F.xxhash64("fingerprint").alias("h"), F.xxhash64(F.lit(1), "fingerprint").alias("g")]
+
+
+def with_classes(found: DataFrame, least: float = 0.8) -> DataFrame:
+    """``found`` (doc_id, fingerprint and more) with class_id, the smallest doc_id whose fingerprint is near or is linked by near ones."""
+    found = written(found, "edit-found")
+    classes = near_classes(found.select(id_key("doc_id").alias("id"), "fingerprint"), least)
+    hashed = found.select("*", *mark_hashes())
+    return hashed.join(classes, ["h", "g"]).select(*found.columns, F.nullif(F.col("class_id"), F.lit(NULL_ID)).alias("class_id"))
 
 
 def _edited(text: str, following: str) -> str:
@@ -243,30 +332,47 @@ def _compared(rows: list[tuple[int, str, str]]) -> pa.RecordBatch:
 
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows come part by part in the order of documents, the borrowed row last: each is worked out with the row after it."""
-    before = None
-    for batch in slices(batches, "text", SLICE_BYTES):
-        rows = []
-        for part, i, text, borrowed in zip(*(batch.column(c).to_pylist() for c in ("part", "id", "text", "borrowed"))):
+    before, open_ = None, zstandard.ZstdDecompressor()
+    rows, size = [], 0
+    for batch in batches:
+        for part, i, packed, borrowed in zip(*(batch.column(c).to_pylist() for c in ("part", "id", "packed", "borrowed"))):
+            text = open_.decompress(packed).decode()
             if before is not None and before[0] == part and not before[3]:
                 rows.append((before[1], before[2], text))
+                size += len(text)
             before = (part, i, text, borrowed)
-        if rows:
-            yield _compared(rows)
+            if size > SLICE_BYTES:
+                yield _compared(rows)
+                rows, size = [], 0
+    if rows:
+        yield _compared(rows)
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts as they travel."""
+    close = zstandard.ZstdCompressor(level=3)
+    for part in slices(batches, "text", SLICE_BYTES):
+        cells = pa.array([close.compress(t) for t in raw_texts(part.column("text"))], pa.binary())
+        yield pa.record_batch([*(part.column(c) for c in ("part", "id", "mark", "borrowed")), cells], names=["part", "id", "mark", "borrowed", "packed"])
 
 
 def with_next(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", parts: int | None = None) -> DataFrame:
     """Fingerprints of each document, its edited text, and the likeness to that and to the next document, by descending id.
 
-    Documents are dealt to ranges of ids. The range before borrows the first document of a range as its last row, the last
-    range borrows the very first, so that each range has what it needs. Borders are quantiles of the ids; they and the
-    first documents are as many as there are ranges, whatever the input.
+    Documents are dealt to ranges of (id, hash of the text), about ``RANGE_CHARS`` characters each. The range before borrows
+    the first document of a range as its last row, the last range borrows the very first, so that each range has what it
+    needs. Borders come from a sample by hash of a bounded number of documents a range; they and the first documents are as
+    many as there are ranges.
     """
     spark = docs.sparkSession
     keyed = docs.select(id_key(id_column).alias("id"), F.xxhash64(whole(text_column)).alias("mark"), whole(text_column).alias("text"))
-    n = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cuts = sorted({int(x) for x in keyed.approxQuantile("id", [i / n for i in range(1, n)], 0.1 / n)}) if n > 1 else []
-    borders = F.array(*[F.lit(c) for c in cuts]).cast("array<bigint>")
-    ranged = keyed.withColumn("part", F.size(F.filter(borders, lambda c: c >= F.col("id"))))  # part 0 has the largest ids
+    rows, chars = keyed.agg(F.count("*"), F.sum(F.length("text"))).first()
+    n = parts or max(int(spark.conf.get("spark.sql.shuffle.partitions")), (chars or 0) // RANGE_CHARS)
+    share = F.pmod(F.xxhash64(F.lit(3), "id", "mark"), F.lit(max(1, rows // (64 * n)))) == 0
+    sample = sorted({(r["id"], r["mark"]) for r in keyed.where(share).select("id", "mark").distinct().collect()})
+    cuts = sorted({sample[len(sample) * i // n] for i in range(1, n)}) if sample else []
+    borders = F.array(*[F.struct(F.lit(i).cast("long").alias("id"), F.lit(m).cast("long").alias("mark")) for i, m in cuts]).cast("array<struct<id:bigint,mark:bigint>>")
+    ranged = keyed.withColumn("part", F.size(F.filter(borders, lambda c: c >= F.struct("id", "mark"))))  # part 0 has the largest ids
     heads = ranged.groupBy("part").agg(F.max(F.struct("id", "mark")).alias("head")).orderBy("part").collect()
     lent = [(h["head"]["id"], h["head"]["mark"], heads[k - 1]["part"]) for k, h in enumerate(heads)]
     lent = F.broadcast(spark.createDataFrame(lent, "id long, mark long, lent int"))  # a row a part
@@ -274,7 +380,8 @@ def with_next(docs: DataFrame, id_column: str = "doc_id", text_column: str = "te
     other = F.struct(F.col("lent").alias("part"), F.lit(True).alias("borrowed"))
     places = F.explode(F.when(F.col("lent").isNull(), F.array(own)).otherwise(F.array(own, other)))
     rows = ranged.join(lent, ["id", "mark"], "left").select("id", "mark", "text", places.alias("place")).select("id", "mark", "text", "place.*")
+    rows = rows.mapInArrow(_packed, "part int, id long, mark long, borrowed boolean, packed binary")
     rows = rows.repartition(n, "part").sortWithinPartitions("part", "borrowed", F.desc("id"), F.desc("mark"))
     schema = "id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    done = rows.select("part", "id", "text", "borrowed").mapInArrow(_pairs, schema)
+    done = rows.select("part", "id", "packed", "borrowed").mapInArrow(_pairs, schema)
     return done.select(F.nullif(F.col("id"), F.lit(NULL_ID)).alias("doc_id"), *done.columns[1:])

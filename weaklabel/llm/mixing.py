@@ -9,14 +9,17 @@ target / (2 s + 1), s being the seats a source has already; a source's seats go
 Documents are dealt to shards by a hash of their id, about ``shard_words`` words a shard, so a source with a third of all
 rows is many shards. A shard lays its documents out in an order drawn by ``seed`` and takes its quota of blocks from the
 start, going round again where the quota is more than the shard holds; so a document is taken up to ``most_times`` times,
-the one at the last border in part.
+the one at the last border in part. Documents without words, of which nothing is taken, go by the part of the input that they
+come from, so a shard's rows are bounded by its words; rows without an id are dealt by their text.
 
 Highest quotients without sorting all of them: with the divisors sum / (seats + n / 2) and sum / (seats - n / 2), rounding
 gives at least and at most the seats of n parties, so only the few quotients between the two are laid out and ranked.
 
-Defined cases: a null text has no words; a null source is a source of its own; a null doc_id is dealt like an id; repeated
-rows are separate documents of the same place, each with its share; a source without words has target 0; no words at all
-give targets and takings of 0; an empty table gives an empty result; other columns are kept only if asked for.
+Defined cases: a null text has no words; a null source is a source of its own; a null doc_id is dealt by the text; rows of
+one id and size go by a hash of their text, so that reruns agree; repeated rows are separate documents next to each other,
+each with its share; a source without words has target 0; no words at all give targets and takings of 0; an empty table gives
+an empty result; other columns are kept only if asked for. Sources are rows of one small table: there may be many, but far
+fewer than documents.
 """
 
 from __future__ import annotations
@@ -79,7 +82,7 @@ def _shard(shards: Column) -> Column:
 
 
 def _name(salt: str = "") -> Column:
-    return F.concat(F.coalesce(F.col("__id").cast("string"), F.lit("-")), F.lit(f":{salt}"))
+    return F.concat("__name", F.lit(f":{salt}"))
 
 
 def mix(
@@ -95,10 +98,23 @@ def mix(
     seed: int = SEED,
 ) -> DataFrame:
     """Columns ``keep`` of every row with size, source_size, target (of its source) and taken, the words the mix takes."""
-    rows = docs.select(*keep, F.col(id_column).alias("__id"), F.col(source_column).cast("string").alias("__source"), n_words(whole(text_column)).alias("size"))
+    text, source = whole(text_column), F.col(source_column).cast("string")
+    name = F.coalesce(F.col(id_column).cast("string"), F.concat(F.lit("-"), F.md5(text)))
     # a null source and its rows meet by a name that no source has
-    rows = rows.withColumn("__source", F.coalesce(F.concat(F.lit("="), "__source"), F.lit("~")))
-    sizes = rows.groupBy("__source").agg(F.sum("size").alias("source_size"))
+    rows = docs.select(
+        *keep,
+        F.col(id_column).alias("__id"),
+        name.alias("__name"),
+        F.xxhash64(text).alias("__mark"),
+        F.coalesce(F.concat(F.lit("="), source), F.lit("~")).alias("__source"),
+        n_words(text).alias("size"),
+    )
+    # words are counted once: where texts are kept, apart from them
+    if text_column in keep:
+        measured = written(rows.select("__name", "__source", "size"), "mix-sizes")
+    else:
+        rows = measured = written(rows, "mix-sizes")
+    sizes = measured.groupBy("__source").agg(F.sum("size").alias("source_size"))
     sizes = sizes.select(F.when(F.col("__source") != "~", F.substring("__source", 2, 2**31 - 1)).alias("source"), "source_size")
     aimed = targets(sizes, weights, most_times)
     aimed = aimed.withColumn("__source", F.coalesce(F.concat(F.lit("="), "source"), F.lit("~")))
@@ -106,13 +122,16 @@ def mix(
     dealt = seats(aimed.withColumn("__blocks", F.round(total / block)), "target", F.col("__blocks"), [], [F.col("__source")])
     dealt = dealt.select("__source", "source_size", "target", F.col("seats").alias("__seats"), F.greatest(F.ceil(F.col("source_size") / shard_words), F.lit(1)).cast("long").alias("__shards"))
     # a row a source: from a written table Spark knows whether it is small enough to be broadcast
-    placed = rows.join(written(dealt, "source-seats"), "__source").withColumn("__shard", _shard(F.col("__shards")))
-    shards = placed.groupBy("__source", "__shard", "__seats").agg(F.sum("size").alias("__words"))
+    dealt = written(dealt, "source-seats")
+    part = F.spark_partition_id().cast("long")
+    place = lambda frame: frame.withColumn("__part", part).join(dealt, "__source").withColumn("__shard", F.when(F.col("size") > 0, _shard(F.col("__shards"))).otherwise(-1 - F.col("__part")))
+    shards = place(measured).where("size > 0").groupBy("__source", "__shard", "__seats").agg(F.sum("size").alias("__words"))
     quotas = seats(shards, "__words", F.col("__seats"), ["__source"], [F.col("__shard")])
     quotas = quotas.select("__source", "__shard", F.least(F.col("seats") * block, F.col("__words") * most_times).alias("__quota"), "__words")
-    drawn = Window.partitionBy("__source", "__shard").orderBy(F.md5(_name(str(seed))), "__id", "size")
+    drawn = Window.partitionBy("__source", "__shard").orderBy(F.md5(_name(str(seed))), "__id", "size", "__mark")
     # dealt by shard, so that no task gets a source as a whole
-    laid = placed.repartition("__source", "__shard").join(quotas, ["__source", "__shard"])
+    laid = place(rows).repartition("__source", "__shard").join(quotas, ["__source", "__shard"], "left")
+    laid = laid.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("__quota", "__words")})
     start = F.sum("size").over(drawn.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("size")
     rounds = F.when(F.col("__words") > 0, F.floor(F.col("__quota") / F.col("__words"))).otherwise(0)
     rest = F.col("__quota") - rounds * F.col("__words")

@@ -151,7 +151,7 @@ def op9_source_mix(spark: SparkSession, folder: str) -> DataFrame:
 
 @register()
 def op10_edit_fingerprint(spark: SparkSession, folder: str) -> DataFrame:
-    return edit_fingerprint.with_next(table(spark, folder, "documents"))
+    return edit_fingerprint.with_classes(edit_fingerprint.with_next(table(spark, folder, "documents")))
 
 
 _USABLE = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"

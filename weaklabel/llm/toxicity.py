@@ -1,13 +1,17 @@
 """Toxicity by a weighted finite-state grammar over the clauses of a text.
 
 A text is cut into clauses; the words of a clause become symbols: insult, threat, target (whom it is said to), negation,
-report (said by somebody else) or anything else. Transducers over these symbols are composed into one machine that reads
-a clause from left to right:
+report (said by somebody else) or anything else. Each of these transducers is a table of states by symbols, with the state
+that follows and the mark that a word read in that state gets:
 
 * negation: after a negation word the next ``REACH`` words are denied;
 * report: after a reporting word the rest of the clause is somebody's words;
-* target: an addressed person within ``REACH`` words before or after makes a match a targeted one;
-* insult and threat: a match is given out with the state it was met in: plain, targeted, negated or reported.
+* target: the next ``REACH`` words after an addressed person are targeted;
+* insult and threat: such a word is a match.
+
+``compose`` makes the product of such tables, one state for each combination of theirs, whose marks are all of theirs. The
+product of the four reads a clause from left to right, the target table alone reads it from right to left, and a last table
+turns the marks of a match into its kind: plain, targeted, negated or reported.
 
 A clause scores the weighted sum of its matches, a text the sum over its clauses and a bias, as a logistic probability. What
 counts is where and how a word is used, not that it occurs.
@@ -60,12 +64,72 @@ THREATS = "kill hurt destroy beat stab shoot burn töten umbringen schlagen ersc
 
 _TOKEN = re.compile(r"[^\W\d_]+|[.!?;:,\n]")
 _OTHER, _BREAK, _TARGET, _NEGATION, _REPORT, _THREAT = "", ".", "t", "n", "r", "x"
+SYMBOLS = (_OTHER, _TARGET, _NEGATION, _REPORT, "i", _THREAT)
 KINDS = ("insult", "insult_targeted", "insult_negated", "insult_reported", "threat", "threat_targeted", "threat_negated", "threat_reported")
 #: The weight of a plain insult of weight 1 before any label is seen, and the other kinds as shares of it.
 SURE = 8.0
 PRIOR = np.array([1.0, 1.2, 0.3, 0.4, 0.0, 0.6, 0.0, 0.1])
 
 
+# marks of a word
+_DENIED, _REPORTED, _TARGETED, _INSULT, _THREATENED = 1, 2, 4, 8, 16
+
+
+@dataclass(frozen=True)
+class Transducer:
+    """``follow[state, symbol]`` and ``mark[state, symbol]``, the mark given for a word read in that state; state 0 starts."""
+
+    follow: np.ndarray
+    mark: np.ndarray
+
+
+def _counting(symbol: str, reach: int, mark: int) -> Transducer:
+    """Marks the next ``reach`` words after ``symbol``."""
+    follow = np.repeat(np.maximum(np.arange(reach + 1) - 1, 0)[:, None], len(SYMBOLS), axis=1)
+    follow[:, SYMBOLS.index(symbol)] = reach
+    marks = np.zeros_like(follow)
+    marks[1:] = mark
+    return Transducer(follow, marks)
+
+
+def _lasting(symbol: str, mark: int) -> Transducer:
+    """Marks all words after ``symbol``."""
+    follow = np.repeat(np.arange(2)[:, None], len(SYMBOLS), axis=1)
+    follow[:, SYMBOLS.index(symbol)] = 1
+    return Transducer(follow, np.where(np.arange(2)[:, None] > 0, mark, 0) + np.zeros_like(follow))
+
+
+def _marking(marks: dict[str, int]) -> Transducer:
+    """Marks words by their own symbol."""
+    return Transducer(np.zeros((1, len(SYMBOLS)), dtype=int), np.array([[marks.get(s, 0) for s in SYMBOLS]]))
+
+
+def compose(*parts: Transducer) -> Transducer:
+    """The product: state numbers are mixed from those of the parts, marks are put together."""
+    whole = parts[0]
+    for part in parts[1:]:
+        n = len(part.follow)
+        follow = (whole.follow[:, None, :] * n + part.follow[None, :, :]).reshape(-1, len(SYMBOLS))
+        whole = Transducer(follow, (whole.mark[:, None, :] | part.mark[None, :, :]).reshape(-1, len(SYMBOLS)))
+    return whole
+
+
+_TARGETING = _counting(_TARGET, REACH, _TARGETED)
+_FORWARD = compose(_counting(_NEGATION, REACH, _DENIED), _lasting(_REPORT, _REPORTED), _TARGETING, _marking({"i": _INSULT, _THREAT: _THREATENED}))
+
+
+def _kind(marks: int) -> int:
+    """The kind of a match by its marks: what is denied is so whoever is meant, then what is reported; -1 is no match."""
+    how = 2 if marks & _DENIED else 3 if marks & _REPORTED else 1 if marks & _TARGETED else 0
+    return how if marks & _INSULT else how + 4 if marks & _THREATENED else -1
+
+
+_KIND_OF = [_kind(m) for m in range(32)]
+_NUMBER = {s: k for k, s in enumerate(SYMBOLS)}
+_FOLLOW, _MARK = _FORWARD.follow.tolist(), _FORWARD.mark.tolist()
+_BACK, _BACK_MARK = _TARGETING.follow.tolist(), _TARGETING.mark.tolist()
+
+
 @dataclass
 class Grammar:
     """Learned insults (words, and word beginnings), weights of kinds of matches, and the bias."""
@@ -123,24 +187,18 @@ class Grammar:
         return sums
 
     def _read(self, clause: list[tuple[str, float]], sums: np.ndarray) -> None:
-        """Run the composed machine over one clause."""
-        denied, reported = 0, False
-        targets = [i for i, (s, _) in enumerate(clause) if s == _TARGET]
-        for i, (s, weight) in enumerate(clause):
-            if s in ("i", _THREAT):
-                if denied:
-                    how = 2
-                elif reported:
-                    how = 3
-                else:
-                    how = 1 if any(abs(i - t) <= REACH for t in targets) else 0
-                sums[how + (4 if s == _THREAT else 0)] += weight or 1.0
-            if s == _NEGATION:
-                denied = REACH
-            else:
-                denied = max(0, denied - 1)
-            if s == _REPORT:
-                reported = True
+        """Run the composed tables over one clause, forth and back."""
+        read = [_NUMBER[s] for s, _ in clause]
+        state, marks = 0, []
+        for s in read:
+            marks.append(_MARK[state][s])
+            state = _FOLLOW[state][s]
+        state = 0
+        for i in range(len(read) - 1, -1, -1):
+            kind = _KIND_OF[marks[i] | _BACK_MARK[state][read[i]]]
+            if kind >= 0:
+                sums[kind] += clause[i][1] or 1.0
+            state = _BACK[state][read[i]]
 
     def probability(self, sums: np.ndarray) -> float:
         return float(1 / (1 + np.exp(-np.clip(self.bias + sums @ self.weights, -40, 40))))
