@@ -75,3 +75,34 @@ def test_repeated_rows_are_one_document(spark):
 def test_no_python_in_the_plan(spark, tiny):
     plan = remove_repeated_lines(spark.read.parquet(f"{tiny}/documents.parquet"))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_ranks_are_the_order_of_suffixes(spark):
+    from pyspark.sql import functions as F
+
+    from weaklabel.llm.line_dedup import _keyed, doubled, repeated_lines
+
+    draw = random.Random(8)
+    rows = [(i, "\n".join(draw.choice("abcd") for _ in range(draw.randint(1, 9)))) for i in range(12)]
+    lines = repeated_lines(_keyed(spark.createDataFrame(rows, SCHEMA), "doc_id", "text"))
+    texts = {i: t.split("\n") for i, t in rows}
+    ranks = lines.select("id", "mark", "place", "rank")
+    by_one = {texts[r.id][r.place - 1]: r["rank"] for r in lines.collect()}  # lines are sorted by a digest
+    for level in range(3):
+        ranks = doubled(ranks, level)
+        size = 2 << level
+        found = {(r.id, r.place): r["rank"] for r in ranks.collect()}
+        runs = {(i, p + 1): tuple(t[p : p + size]) for i, t in texts.items() for p in range(len(t) - size + 1)}
+        often = [run for run in runs.values() if sum(r == run for r in runs.values()) > 1]
+        assert set(found) == {k for k, run in runs.items() if run in often}
+        order = sorted(found, key=lambda k: [by_one[x] for x in runs[k]])
+        assert [found[k] for k in order] == sorted(found.values())
+        assert all((found[a] == found[b]) == (runs[a] == runs[b]) for a in found for b in found)
+
+
+def test_a_very_long_document_of_short_lines(spark):
+    draw = random.Random(10)
+    lines = [draw.choice(["a", "bb", "ccc", "{", "}"]) for _ in range(20_000)]
+    rows = [(1, "\n".join(lines)), (2, "\n".join(lines[5_000:9_000])), (3, "one line of its own that is long enough")]
+    got = ours(spark, rows, MIN_CHARS)
+    assert got[2] == ("", 4000) and got[3][1] == 0 and got[1][1] < 2000
