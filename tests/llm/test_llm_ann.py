@@ -56,3 +56,8 @@ def test_defined_cases(spark):
     assert ours(spark.createDataFrame([(0, [1.0])], SCHEMA), 3) == {}
     odd = spark.createDataFrame([(0, [1.0], 1, "x"), (1, [2.0], 2, "y")], "vec_id long, embedding array<double>, id long, vector string")
     assert ours(odd, 3) == {0: [(1.0, 1)]}
+
+
+def test_one_id_with_two_vectors(spark):
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 5.0]), (1, [1.0, 0.5]), (2, [0.0, 5.5]), (2, [1.0, 0.25]), (3, [9.0, 9.0])]
+    assert ours(spark.createDataFrame(rows, SCHEMA), 2) == {0: [(0.25, 2), (0.5, 1)]}

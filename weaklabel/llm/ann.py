@@ -4,22 +4,22 @@ Each vector is taken relative to a centre, scaled to length one and turned by a
 coordinates are its code. With the code go two numbers: the distance to the centre and the inner product of the turned
 vector with the corner that its signs name. From these the inner product with a query, and so the distance, is estimated
 without bias, with an error of at most ``spread`` * sqrt((1 - f^2) / f^2) / sqrt(d - 1) but for a tiny chance, f being that
-inner product. A vector is reranked by its exact distance if the least distance that its bound allows is within the k-th
-smallest of the largest distances that the bounds of all vectors allow; so none is left out but where a bound fails.
+inner product. In a block, a vector is reranked by its exact distance if the least distance that its bound allows is within
+the k-th smallest of the largest distances that the bounds allow; so none is left out but where a bound fails.
 
-The index is a table of blocks: numbers, packed codes and the two numbers of some thousand vectors a row, without the
-vectors. Queries are packed in blocks too; every index block meets every query block in an equi-join on the block number,
-twice: first each gives the k smallest of its largest distances a query, whose k-th smallest of all blocks is the query's
-limit; then the vectors within the limit, as pairs of numbers. Only these few fetch their vectors, by a join, and are
-reranked. The centre is the mean of a sample of ``SAMPLE`` vectors, the only thing that is fitted.
+The index is a table of blocks: ids, packed codes, the two numbers and the vectors themselves, in rows of some thousand
+vectors, made where the rows are read. Queries are packed in blocks too; every index block meets every query block in an
+equi-join on the block number, and hands on only k rows a query. The centre is the mean of a sample of ``SAMPLE`` vectors,
+the only thing that is fitted. The vectors go along with the codes because the bounds of one bit a component leave many to
+rerank: of random vectors of 64 components about half of all.
 
 Distances are Euclidean, in double precision. Vectors of different length are never compared.
 
 Defined cases: vectors that are null, all zero, or hold a null or non-finite component take no part, as queries or as
 candidates; a null id takes no part; a repeated row of the same id and vector counts once; the vectors of one id that has
-several are k-nearest candidates and queries each, and the answer lists what is near any of the query's, an id once with its
-least distance; a query's own id is no candidate; ties go to the smaller id; fewer candidates than k give all of them; an
-empty table gives an empty result; other columns are ignored.
+several are candidates and queries each, and the answer has the k nearest to any of the query's, an id once with its least
+distance; a query's own id is no candidate; ties go to the smaller id; fewer candidates than k give all of them; an empty
+table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,6 +35,7 @@ from weaklabel.llm.common import written
 
 SAMPLE = 10_000
 QUERY_BLOCK = 1024
+PAIRS = 1 << 16
 
 
 def usable(vector: Column) -> Column:
@@ -78,7 +79,7 @@ def _matrix(column: pa.Array, dimension: int) -> np.ndarray:
 
 
 def build_index(vectors: DataFrame, seed: int = 7) -> DataFrame:
-    """Blocks of ``vectors`` (node, id, vector), in a written table."""
+    """Blocks of ``vectors`` (id, vector), in a written table."""
     sample = vectors.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).collect()
     centres = {}
     for d in {len(r["vector"]) for r in sample}:
@@ -95,86 +96,62 @@ def build_index(vectors: DataFrame, seed: int = 7) -> DataFrame:
                     x = _matrix(own.column("vector"), d)
                     centre = centres.get(d, np.zeros(d))
                     codes, norms, fits = encode(x, centre, rotation(d, seed))
-                    nodes, ids = (np.asarray(own.column(c)).tobytes() for c in ("node", "id"))
-                    rows.append((d, centre.tobytes(), nodes, ids, codes.tobytes(), norms.tobytes(), fits.tobytes()))
+                    rows.append((d, centre.tobytes(), np.asarray(own.column("id")).tobytes(), codes.tobytes(), norms.tobytes(), fits.tobytes(), x.tobytes()))
                 yield pa.record_batch(
                     [pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[k] for r in rows], pa.binary()) for k in range(1, 7))],
-                    names=["d", "centre", "nodes", "ids", "codes", "norms", "fits"],
+                    names=["d", "centre", "ids", "codes", "norms", "fits", "vectors"],
                 )
 
-    blocks = vectors.select("node", "id", "vector", F.size("vector").alias("d"))
-    return written(blocks.mapInArrow(work, "d int, centre binary, nodes binary, ids binary, codes binary, norms binary, fits binary"), "one-bit-index")
+    blocks = vectors.select("id", "vector", F.size("vector").alias("d"))
+    return written(blocks.mapInArrow(work, "d int, centre binary, ids binary, codes binary, norms binary, fits binary, vectors binary"), "one-bit-index")
 
 
-def _search(k: int, spread: float, seed: int, limited: bool):
-    """Of a pair of blocks, the k smallest largest distances a query, or with limits the vectors that may be within them."""
-
+def _search(k: int, spread: float, seed: int):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in range(batch.num_rows):
                 d = batch.column("d")[r].as_py()
                 read = lambda name, kind="<f8": np.frombuffer(batch.column(name)[r].as_py(), dtype=kind)  # noqa: B023, E731
-                nodes, ids, norms, fits, centre = read("nodes", "<i8"), read("ids", "<i8"), read("norms"), read("fits"), read("centre")
+                ids, norms, fits, centre = read("ids", "<i8"), read("norms"), read("fits"), read("centre")
                 codes = read("codes", np.uint8).reshape(len(ids), -1)
+                x = read("vectors").reshape(len(ids), d)
                 members = batch.column("queries")[r]
-                asked, owners = (np.asarray(members.values.field(c)) for c in ("node", "id"))
+                asked = np.asarray(members.values.field("id"))
                 q = _matrix(members.values.field("vector"), d)
                 least, most = bounds(codes, norms, fits, q, centre, rotation(d, seed), spread)
-                own = owners[:, None] == ids[None, :]
-                if limited:
-                    limit = np.asarray(members.values.field("limit"))
-                    i, j = np.nonzero((least <= limit[:, None]) & ~own)
-                    yield pa.record_batch([pa.array(asked[i]), pa.array(nodes[j])], names=["query", "node"])
-                else:
-                    most[own] = np.inf
-                    n = min(k, len(ids))
-                    top = np.partition(most, n - 1, axis=1)[:, :n]
-                    yield pa.record_batch([pa.array(np.repeat(asked, n)), pa.array(top.ravel())], names=["query", "most"])
+                own = asked[:, None] == ids[None, :]
+                most[own] = np.inf
+                n = min(k, len(ids))
+                limit = np.partition(most, n - 1, axis=1)[:, n - 1]
+                i, j = np.nonzero((least <= limit[:, None]) & ~own)
+                exact = np.concatenate([np.sqrt(((x[j[a : a + PAIRS]] - q[i[a : a + PAIRS]]) ** 2).sum(axis=1)) for a in range(0, len(i), PAIRS)] or [np.zeros(0)])
+                order = np.lexsort((ids[j], exact, i))
+                i, j, exact = i[order], j[order], exact[order]
+                first = np.searchsorted(i, np.arange(len(asked)))
+                keep = np.arange(len(i)) - first[i] < k
+                yield pa.record_batch([pa.array(asked[i[keep]]), pa.array(ids[j[keep]]), pa.array(exact[keep])], names=["query_id", "vec_id", "score"])
 
     return search
 
 
-def _distances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        found = np.zeros(batch.num_rows)
-        sizes = np.asarray(batch.column("d"))
-        for d in np.unique(sizes).tolist():
-            rows = np.flatnonzero(sizes == d)
-            x, q = (_matrix(batch.column(c).take(pa.array(rows)), d) for c in ("vector", "asked"))
-            found[rows] = np.sqrt(((x - q) ** 2).sum(axis=1))
-        yield pa.record_batch([batch.column("query_id"), batch.column("vec_id"), pa.array(found)], names=["query_id", "vec_id", "score"])
-
-
 def nearest(vectors: DataFrame, is_query: Column, k: int = 10, spread: float = 3.0, seed: int = 7, id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:
     """query_id, rank (from 1), vec_id and score (distance) of the ``k`` nearest other rows of each row that ``is_query``."""
     chosen = vectors.withColumn("__query", F.coalesce(is_query, F.lit(False)))
     good = chosen.where(F.col(id_column).isNotNull() & usable(F.col(vector_column)))
     good = good.select(F.col(id_column).cast("long").alias("id"), F.col(vector_column).alias("vector"), "__query")
-    # repeated rows are told by two hashes, so that the vectors move once and are then read from a written table
-    one = good.groupBy("id", F.xxhash64("vector").alias("h"), F.xxhash64(F.lit(seed), "vector").alias("g")).agg(F.first("vector").cast("array<double>").alias("vector"), F.max("__query").alias("__query"))
-    rows = written(one.drop("h", "g").withColumn("node", F.monotonically_increasing_id()), "one-bit-vectors")
-    index = build_index(rows.select("node", "id", "vector"), seed)
-    queries = rows.where("__query").select("node", "id", "vector", F.size("vector").alias("d"))
+    # repeated rows are told by two hashes; the vectors move once and are then read from a written table
+    same = [F.xxhash64("vector"), F.xxhash64(F.lit(seed), "vector")]
+    one = good.groupBy("id", *same).agg(F.first("vector").cast("array<double>").alias("vector"), F.max("__query").alias("__query"))
+    good = written(one.select("id", "vector", "__query"), "one-bit-vectors")
+    index = build_index(good.select("id", "vector"), seed)
+    queries = good.where("__query").select("id", "vector", F.size("vector").alias("d"))
     blocks = max(1, -(-queries.count() // QUERY_BLOCK))
     number = F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block")
+    packed = queries.groupBy("d", number).agg(F.collect_list(F.struct("id", "vector")).alias("queries"))
+    met = index.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))).join(packed, ["d", "block"])
     # a row is much work for few bytes: as many parts as shuffles have, not as few as the bytes would fill
     parts = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-    def met(asked: DataFrame, limited: bool, shape: str) -> DataFrame:
-        members = F.struct("node", "id", "vector", *(["limit"] if limited else []))
-        packed = asked.groupBy("d", number).agg(F.collect_list(members).alias("queries"))
-        every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
-        return index.withColumn("block", every).join(packed, ["d", "block"]).repartition(parts).mapInArrow(_search(k, spread, seed, limited), shape)
-
-    tops = met(queries, False, "query long, most double")
-    place = F.row_number().over(Window.partitionBy("query").orderBy("most"))
-    # the k-th smallest, or the largest where there are fewer: all are candidates then
-    limits = tops.withColumn("place", place).where(F.col("place") <= k).groupBy("query").agg(F.max("most").alias("limit"))
-    asked = queries.join(limits, queries["node"] == limits["query"]).drop("query")
-    pairs = met(asked, True, "query long, node long")
-    fetched = pairs.join(rows.select("node", F.col("id").alias("vec_id"), "vector"), "node")
-    own = queries.select(F.col("node").alias("query"), F.col("id").alias("query_id"), F.col("vector").alias("asked"), "d")
-    found = fetched.join(own, "query").mapInArrow(_distances, "query_id long, vec_id long, score double")
-    best = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
+    found = met.repartition(parts).mapInArrow(_search(k, spread, seed), "query_id long, vec_id long, score double")
+    found = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
-    return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
