@@ -231,7 +231,8 @@ def near_copies(
     held = written(lying.withColumn("lies", F.lit(1)).unionByName(probing.withColumn("lies", F.lit(0))), "polytope-places")
     sizes = held.groupBy("key").agg(F.sum("lies").alias("n_lying"), F.count("*").alias("n")).where("n > 1")
     cut = lambda n: F.ceil(F.col(n) / tile).cast("int")
-    sizes = sizes.select("key", cut("n_lying").alias("lie_cuts"), cut("n").alias("probe_cuts"))
+    # a written table, so that Spark can split the rows of a bucket that very many vectors lie in or probe
+    sizes = written(sizes.select("key", cut("n_lying").alias("lie_cuts"), cut("n").alias("probe_cuts")), "polytope-sizes")
     lie, probe = F.pmod(F.xxhash64("node"), F.col("lie_cuts")).cast("int"), F.pmod(F.xxhash64(F.lit(2), "node"), F.col("probe_cuts")).cast("int")
     spot = lambda a, b, role: F.struct(a.cast("int").alias("lie"), b.cast("int").alias("probe"), role.cast("int").alias("role"))
     every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)

@@ -282,6 +282,7 @@ def near_classes(marks: DataFrame, least: float = 0.8, samples: int | None = Non
     banded = nodes.select("node", "fingerprint").mapInArrow(_banded(samples, bands), "band long, node long").distinct()
     held = written(banded, "edit-bands")
     cuts = held.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band", F.ceil(F.col("n") / tile).cast("int").alias("cuts"))
+    cuts = written(cuts, "edit-cuts")
     dealt = held.join(cuts, "band").withColumn("cut", F.pmod(F.xxhash64("node"), F.col("cuts")).cast("int"))
     pairs = F.transform(F.sequence(F.lit(0), F.col("cuts") - 1), lambda j: F.struct(F.least(F.col("cut"), j).alias("first"), F.greatest(F.col("cut"), j).alias("second")))
     tiles = dealt.select("band", "node", "cut", F.explode(pairs).alias("t")).select("band", "t.*", "node", "cut")
