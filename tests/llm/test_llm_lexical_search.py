@@ -46,8 +46,9 @@ def frames(spark, docs, items):
     return left, spark.createDataFrame(items, "item_id int, text string").withColumn("doc_id", F.lit(3))
 
 
-def found(spark, docs, items, k=10, **options):
-    return sorted((tuple(r) for r in lexical_search.search(*frames(spark, docs, items), k=k, **options).collect()), key=repr)
+def found(spark, docs, items, k=10, parts=3, **options):
+    left, right = frames(spark, docs, items)
+    return sorted((tuple(r) for r in lexical_search.search(left.repartition(parts, "doc_id"), right, k=k, **options).collect()), key=repr)
 
 
 def corpus(rng, n):
@@ -56,14 +57,13 @@ def corpus(rng, n):
     return [(i, " ".join(rng.choices(words, weight, k=rng.choice([1, 3, 20, 200])))) for i in range(n)]
 
 
-@pytest.mark.parametrize("slice_docs,first", [(16_384, 8), (7, 2)])
-def test_equals_brute_force_over_any_slices(spark, monkeypatch, slice_docs, first):
-    monkeypatch.setattr(lexical_search, "SLICE_DOCS", slice_docs)
+@pytest.mark.parametrize("parts,first", [(1, 8), (12, 2)])
+def test_equals_brute_force_over_any_slices(spark, parts, first):
     rng = random.Random(5)
     docs = corpus(rng, 150)
     docs += [(1000 + i, t) for i, t in docs[:40]]  # ties
     items = [(i, " ".join(rng.choices([w for _, t in docs for w in t.split()], k=6))) for i in range(20)]
-    assert found(spark, docs, items, 5, first_slices=first) == brute(docs, items, 5)
+    assert found(spark, docs, items, 5, parts, first_slices=first) == brute(docs, items, 5)
 
 
 def test_nulls_repeats_and_clashing_columns(spark):

@@ -5,11 +5,13 @@ run of ``minimiser`` words in it, so equal windows have equal minimisers. Consec
 travel as one packed string to the bucket of that minimiser; in a bucket, sorting the hashes of all windows brings equal
 ones together, and their words are compared, so counts are exact.
 
-Skew. Word runs that make up over 1/5,000 of all positions are found first (at most 10,000 by count, whatever the input)
+Skew. Word runs that make up over 1/10,000 of all positions are found first (at most 10,000 by count, whatever the input)
 and are ranked last as minimisers, so a passage that a third of all documents share does not draw the unique windows at
 its edges into one bucket. Within each slice of a task, windows that repeat are decided at once and only the first of
 them travels, so a bucket gets a hot window at most once a slice. The number of buckets follows from the counted words,
-so that a bucket holds about ``bucket_bytes`` at every input size.
+so that a bucket holds about ``bucket_bytes`` at every input size. A bucket may be larger, as one minimiser is never two
+buckets: one of more than ``LARGE`` times that is compared in turns, each of them over the windows whose hash falls to it
+(equal windows fall to the same), so that what a turn lays out is bounded and only the packed strings lie in memory whole.
 
 Defined cases: null texts have no words; a null doc_id is the smallest id; rows with equal doc_id and different text are
 ordered by the text's hash; wholly repeated rows are one document and get the same result each; an empty table gives an
@@ -33,6 +35,7 @@ from weaklabel.llm.common import NULL_ID, SPACES, id_key, raw_texts, slices, who
 SLICE_BYTES = 2 << 20
 HASHED_WORDS = 1 << 16
 HOT_SHARE = 10_000
+LARGE = 4
 _IS_SPACE = np.zeros(256, dtype=bool)
 _IS_SPACE[list(SPACES)] = True
 _BYTE_CODES = np.random.default_rng(20).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -304,24 +307,59 @@ def _bucket_spans(parts: list[bytes], window: int) -> pa.RecordBatch | None:
     return _spans_batch(ids[o], marks[o], start, start + (b - a) + window)
 
 
-def _compare(window: int):
+def _turn_of(part: bytes, window: int, turns: int, turn: int) -> bytes:
+    """The windows of packed super-k-mers whose hash falls to ``turn``, each packed by itself."""
+    (n,) = struct.unpack_from("<I", part, 1)
+    at = 5
+    columns = []
+    for kind, width in (("<i8", 8), ("<i8", 8), ("<i4", 4), ("<i4", 4)):
+        columns.append(np.frombuffer(part, dtype=kind, count=n, offset=at))
+        at += n * width
+    ids, marks, begin, count = columns
+    words = Words([memoryview(part)[at:]])
+    n_of = count.astype(np.int64) + window - 1
+    within = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    starts = np.repeat(np.cumsum(n_of) - n_of, count) + within
+    own = _mixed(words.hashes(window)[starts] ^ np.uint64(_STEP)) % np.uint64(turns) == turn
+    owner, starts, within = np.repeat(np.arange(n), count)[own], starts[own], within[own]
+    data = words.bytes.tobytes()
+    text = b" ".join([data[p:q] for p, q in zip(words.start[starts].tolist(), words.end[starts + window - 1].tolist())])
+    head = ids[owner].astype("<i8").tobytes() + marks[owner].astype("<i8").tobytes()
+    head += (begin[owner] + within).astype("<i4").tobytes() + np.ones(len(owner), dtype="<i4").tobytes()
+    return struct.pack("<BI", 0, len(owner)) + head + text
+
+
+def _compare(window: int, bucket_bytes: int):
+    def spans(parts: list[bytes], size: int) -> Iterator[pa.RecordBatch]:
+        """Spans of a bucket from its squeezed parts, at once or in turns."""
+        open_ = zstandard.ZstdDecompressor()
+        if size <= LARGE * bucket_bytes:
+            turns = [[open_.decompress(p) for p in parts]] if parts else []
+        else:
+            # a window by itself takes more bytes than in the run that it came in, where a window adds some three words
+            n = -(-size * window // (3 * bucket_bytes))
+            turns = ([t for t in (_turn_of(open_.decompress(p), window, n, k) for p in parts) if t[1:5] != b"\0\0\0\0"] for k in range(n))
+        for own in turns:
+            if own and (found := _bucket_spans(own, window)):
+                yield found
+
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_ = zstandard.ZstdDecompressor()
-        now, parts = None, []
+        now, parts, size = None, [], 0
         for batch in batches:
             for bucket, packed in zip(batch.column("bucket").to_pylist(), batch.column("packed")):
                 if bucket != now:
-                    if parts and (found := _bucket_spans(parts, window)):
-                        yield found
-                    now, parts = bucket, []
-                p = open_.decompress(packed.as_py())
+                    yield from spans(parts, size)
+                    now, parts, size = bucket, [], 0
+                squeezed = packed.as_py()
+                p = open_.decompress(squeezed)
                 if p[0] == 0:
-                    parts.append(p)
+                    parts.append(squeezed)
+                    size += len(p)
                     continue
                 (n,) = struct.unpack_from("<I", p, 1)
                 yield _spans_batch(*(np.frombuffer(p, dtype=k, count=n, offset=5 + n * o) for k, o in (("<i8", 0), ("<i8", 8), ("<i4", 16), ("<i4", 20))))
-        if parts and (found := _bucket_spans(parts, window)):
-            yield found
+        yield from spans(parts, size)
 
     return compare
 
@@ -329,7 +367,7 @@ def _compare(window: int):
 def repeated_spans(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", window: int = 20, minimiser: int = 2, bucket_bytes: int = 8 << 20) -> DataFrame:
     """Spans of words to remove: id, mark (hash of the text), begin, stop (word numbers); spans of a document may overlap.
 
-    ``bucket_bytes`` bounds what one step of the comparing tasks holds, about tenfold in memory.
+    ``bucket_bytes`` bounds what one turn of the comparing tasks lays out, about tenfold in memory.
     """
     keyed = docs.select(id_key(id_column).alias("id"), F.xxhash64(whole(text_column)).alias("mark"), whole(text_column).alias("text"))
     runs = keyed.select("text").mapInArrow(_frequent(minimiser), "run long, n long").groupBy("run").agg(F.sum("n").alias("n"))
@@ -341,7 +379,7 @@ def repeated_spans(docs: DataFrame, id_column: str = "doc_id", text_column: str
     packed_bytes = total * 6.5 * (window + width / 2) / (width / 2)
     buckets = max(1, int(packed_bytes / bucket_bytes))
     packed = keyed.mapInArrow(_pack(window, minimiser, ranked_last, buckets), "bucket long, packed binary")
-    return packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_compare(window), "id long, mark long, begin int, stop int")
+    return packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_compare(window, bucket_bytes), "id long, mark long, begin int, stop int")
 
 
 def _keep(columns: list[str]):
