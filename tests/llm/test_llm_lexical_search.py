@@ -85,10 +85,11 @@ def test_many_item_blocks(spark, monkeypatch):
 
 def test_reads_stop_before_the_lists_end():
     rng = np.random.default_rng(0)
-    lists = []
-    for _ in range(3):
-        scores = np.sort((1e6 * rng.pareto(1.0, 5000)).astype(np.int64))[::-1]
-        lists.append((rng.permutation(5000).astype(np.int32), scores))
+    lists, good = [], 1e6 * rng.pareto(1.0, 5000)
+    for _ in range(3):  # documents that are good for one term are mostly so for the others
+        scores = (good * rng.uniform(0.7, 1.3, 5000)).astype(np.int64)
+        docs = np.argsort(-scores, kind="stable")
+        lists.append((docs.astype(np.int32), scores[docs]))
     ids = np.arange(5000) * 7
     whole = np.zeros(5000, dtype=np.int64)
     for docs, scores in lists:

@@ -358,16 +358,20 @@ def learn(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_co
 def score(docs: DataFrame, grammar: Grammar, keep: list[str], text_column: str = "text", threshold: float = 0.7) -> DataFrame:
     """Columns ``keep`` of every row with score and predicted."""
 
+    # a text that is kept travels once
+    apart = text_column not in keep or docs.schema[text_column].dataType.simpleString() != "string"
+    read = "__text" if apart else text_column
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "__text", SLICE_BYTES):
-            scores = [grammar.probability(grammar.matches(t)) for t in part.column("__text").to_pylist()]
+        for part in slices(batches, read, SLICE_BYTES):
+            scores = [grammar.probability(grammar.matches(t or "")) for t in part.column(read).to_pylist()]
             yield pa.record_batch(
                 [*(part.column(c) for c in keep), pa.array(scores, pa.float64()), pa.array([int(s >= threshold) for s in scores], pa.int32())],
                 names=[*keep, "score", "predicted"],
             )
 
-    kept = docs.select(*keep, whole(text_column).alias("__text"))
-    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1]]
+    kept = docs.select(*keep, *([whole(text_column).alias("__text")] if apart else []))
+    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[: len(keep)]]
     return kept.mapInArrow(work, ", ".join([*kinds, "score double", "predicted int"]))
 
 
