@@ -20,7 +20,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Documents that the toxicity grammar scores under its threshold."""
     labels = table(spark, folder, "labels").where(~toxicity.held_out("doc_id"))
     grammar = toxicity.learn(docs, labels)
-    return toxicity.score(docs.withColumn("__score_text", F.col("text")), grammar, COLUMNS, "__score_text").where("predicted = 0").select(*COLUMNS)
+    return toxicity.score(docs, grammar, COLUMNS).where("predicted = 0").select(*COLUMNS)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
