@@ -84,3 +84,10 @@ def test_defined_cases(spark):
     assert [(r.n_tokens, r.ids_sha256) for r in got if r.doc_id is not None] == [(0, nothing)] * 3
     assert [bytes(r.decoded) for r in got if r.doc_id is None] == [b"hello hello"]
     assert encode_decode(spark.createDataFrame([], "doc_id long, text string"), PATH, public.PATTERN, ["doc_id"]).count() == 0
+
+
+def test_a_token_is_its_own_encoding_without_pair_checks():
+    fresh = Vocabulary.read(PATH)
+    for token in (b" the", b"ation", b" because"):
+        assert encode_piece(fresh, token) == [fresh.rank[token]]
+    assert not fresh._fits

@@ -156,15 +156,28 @@ class PrefixTable:
 
 
 def encode_piece(v: Vocabulary, data: bytes) -> list[int]:
-    """The ids of one pattern match, by the same rule as ``PrefixTable``."""
+    """The ids of one pattern match, by the same rule as ``PrefixTable``.
+
+    A token is its own encoding. The one token that can end a prefix is mostly short, so short ones are tried first.
+    """
+    rank, fits, longest = v.rank.get, v.fits, v.longest
+    known = rank(data)
+    if known is not None:
+        return [known]
     n = len(data)
-    last, rank, fits, longest = [-1] * (n + 1), v.rank.get, v.fits, v.longest
+    last, checked = [-1] * (n + 1), v._fits.get
     for i in range(1, n + 1):
-        for j in range(i - longest if i > longest else 0, i):
+        for j in range(i - 1, i - longest - 1 if i > longest else -1, -1):
             token = rank(data[j:i])
-            if token is not None and (not j or fits(last[j], token)):
-                last[i] = token
-                break
+            if token is not None:
+                if not j:
+                    last[i] = token
+                    break
+                before = last[j]
+                ok = checked((before, token))
+                if fits(before, token) if ok is None else ok:
+                    last[i] = token
+                    break
         else:
             raise ValueError(f"no token for byte {data[i - 1]}")
     out, i = [], n
