@@ -34,7 +34,7 @@ from weaklabel.operators.evaluate import auc_of_scores, class_of_regression, fol
 from weaklabel.operators.neighbours import nearest
 from weaklabel.operators.network import NetworkLearner
 from weaklabel.operators.split import kfold
-from weaklabel.session import cut_lineage
+from weaklabel.session import cut_lineage, written
 
 log = logging.getLogger(__name__)
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -490,9 +490,10 @@ def nested_folds(df: DataFrame, key: str, k_outer: int, k_inner: int, seed: int
     """``df`` with an outer and an inner fold, written once for all fits.
 
     Inner folds deal the rows of each outer fold in hash order, so those of any outer training part, the other outer
-    folds together, are of near equal size too: one table of folds serves every fit.
+    folds together, are of near equal size too: one table of folds serves every fit. Ranking reads its rows several
+    times, so what it reads is written before.
     """
-    folds = kfold(df, key, k_outer, seed, fold="outer")
+    folds = written(kfold(written(df, "nested-rows"), key, k_outer, seed, fold="outer"), "outer-folds")
     ranked = hash_rank(folds, key, seed + 1, within=["outer"], rank="__rank")
     return cut_lineage(ranked.withColumn("inner", (F.pmod(F.col("__rank") - 1, F.lit(k_inner)) + 1).cast("int")).drop("__rank"))
 
