@@ -1,6 +1,7 @@
 """What a larger or odder table must not do to the learners: one task a row, a model on the driver, an unlearnable row."""
 
 import math
+import threading
 
 import numpy as np
 import pandas as pd
@@ -8,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from weaklabel.catalog import CATALOG
-from weaklabel.operators import features as X, forest as T, models as M, neighbours as N
+from weaklabel.operators import features as X, forest as T, models as M, neighbours as N, network as NW
 
 
 def frame(spark, x, y):
@@ -88,3 +89,91 @@ def test_blocks_move_by_tiles_and_find_the_same_neighbours(spark, monkeypatch):
     order = np.lexsort((np.broadcast_to(np.arange(400), d.shape), d), axis=1)[:, :4]
     assert got == {(i, r + 1): int(order[i, r]) for i in range(400) for r in range(4)}
     assert sum(c.value for c in moved) < report["compared"], "fewer blocks move than are compared"
+
+
+def test_small_nodes_of_all_levels_are_grown_by_one_job(spark, monkeypatch):
+    # stripes of falling weight are cut off one by one, each level leaves a small node behind
+    x = np.repeat(np.arange(20.0), 40)[:, None]
+    data = frame(spark, x, x[:, 0] % 2).withColumn("w", F.pow(F.lit(0.5), "x0"))
+    made, plain = [], T.written
+    monkeypatch.setattr(T, "written", lambda df, name: made.append(name) or plain(df, name))
+    large, small = (T.ForestLearner(trees=1, bootstrap=False, weight="w", key="id", local_cells=c).fit(data) for c in (300, 10**6))
+    assert made.count("moved-rows") > 5 and made.count("forest-parts") == 2, "one for each fit"
+    assert (large.trees[0].nodes, large.trees[0].depth) == (small.trees[0].nodes, small.trees[0].depth)
+    assert M.score(large, data).where("predicted <> y").isEmpty()
+
+
+@pytest.mark.parametrize("weights", [None, "balanced", "balanced_subsample", {0: 0.2, 1: 0.8}])
+def test_trees_of_a_run_draw_the_rows_that_spark_would_draw(spark, monkeypatch, weights):
+    rng = np.random.default_rng(11)
+    x = np.round(rng.normal(size=(300, 3)), 1)
+    df = frame(spark, x, (x[:, 0] + rng.normal(size=300) > 0).astype(float))
+    learner = T.ForestLearner(trees=5, depth=4, features="sqrt" if weights is None else None, class_weight=weights, key="id")
+    one_by_one = learner.with_settings(local_cells=897, features=None).fit(df)
+    monkeypatch.setattr(T.ForestLearner, "draw", lambda *_: pytest.fail("rows are not written out for each tree"))
+    by_runs = learner.with_settings(features=None).fit(df)
+    said = [[r["prob"] for r in M.score(m, df).orderBy("id").collect()] for m in (one_by_one, by_runs)]
+    np.testing.assert_allclose(said[0], said[1], rtol=1e-9)
+    assert [t.nodes for t in one_by_one.trees] == [t.nodes for t in by_runs.trees]
+
+
+def test_draws_in_a_task_are_those_of_spark(spark):
+    rows = spark.range(2000).select(F.xxhash64("id").alias("key"), F.lit(3).alias("tree"))
+    found = rows.select("key", T.drawn_times(F.col("key"), F.col("tree"), 987).alias("times")).toPandas()
+    assert T._times_of(found["key"].to_numpy(), 3, 987).tolist() == found["times"].tolist()
+    assert found["times"].nunique() > 3
+
+
+def test_a_network_steps_over_even_parts_however_rows_come(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    df = frame(spark, rng.normal(size=(1000, 2)), rng.normal(size=1000)).coalesce(1)
+    monkeypatch.setattr(NW, "BLOCK_ROWS", 20)
+    parts, plain = [], NW.NetworkLearner._fit
+    monkeypatch.setattr(NW.NetworkLearner, "_fit", lambda self, blocks, *a: parts.append(sorted(r["count"] for r in blocks.groupBy(F.spark_partition_id()).count().collect())) or plain(self, blocks, *a))
+    learner = NW.NetworkLearner(hidden=(3,), max_iter=3, regression=True)
+    even = learner.fit(df)
+    cores = spark.sparkContext.defaultParallelism
+    assert sum(parts[0]) == 50 and len(parts[0]) == 2 * cores and parts[0][-1] <= parts[0][0] + 1
+    monkeypatch.undo()
+    whole = learner.fit(df)
+    np.testing.assert_allclose(even.losses, whole.losses)
+
+
+@pytest.mark.parametrize("way", ["screen", "nested"])
+def test_rows_to_fold_are_worked_out_once(spark, way):
+    rng = np.random.default_rng(13)
+    x = rng.normal(size=(200, 2))
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def counted(v):
+        seen.add(1)
+        return v
+
+    df = frame(spark, x, (x[:, 0] > 0).astype(float)).withColumn("y", counted.asNondeterministic()("y"))
+    tree = M.classifiers(2, depth=2)["CART"]
+    if way == "screen":
+        found = M.screen(df, {"CART": tree}, "id", k=2).count()
+    else:
+        found = M.nested_cv(df, tree, {"maxDepth": [1, 2]}, "id", "CART", k_outer=2, k_inner=2).count()
+    assert found > 0 and seen.value == 200
+
+
+def test_what_a_model_does_before_it_predicts_runs_beside_the_fits(spark):
+    rng = np.random.default_rng(14)
+    x = rng.normal(size=(100, 2))
+    df = frame(spark, x, (x[:, 0] > 0).astype(float))
+    where, tree = [], M.classifiers(2, depth=2)["CART"]
+
+    class Slow:
+        def fit(self, rows):
+            model = tree.fit(rows)
+            return M.Fitted(lambda part: where.append(threading.current_thread()) or model.transform(part))
+
+    assert M.screen(df, {"slow": Slow()}, "id", k=2).count() == 6
+    assert len(where) == 2 and threading.main_thread() not in where
+
+
+def test_deep_forests_keep_the_nodes_of_rows():
+    for forest in (M.classifiers(2)["RF"], M.regressors()["RF"]):
+        assert forest.getCacheNodeIds() and forest.getMaxMemoryInMB() == 1024
