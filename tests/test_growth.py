@@ -1,6 +1,7 @@
 """What a larger or odder table must not do to the learners: one task a row, a model on the driver, an unlearnable row."""
 
 import math
+import random
 import threading
 
 import numpy as np
@@ -64,6 +65,18 @@ def test_a_forest_left_in_its_table_scores_as_one_on_the_driver(spark, monkeypat
     np.testing.assert_allclose(kept.featureImportances.toArray(), left.featureImportances.toArray())
 
 
+def test_features_that_differ_each_time_they_are_worked_out_are_scored(spark, monkeypatch):
+    rng = np.random.default_rng(15)
+    df = frame(spark, rng.normal(size=(200, 2)), rng.integers(0, 2, 200).astype(float))
+    monkeypatch.setattr(T, "KEPT_NODES", 10)
+    model = T.ForestLearner(trees=3, key="id").fit(df)
+    # as sums of doubles are, whose last places go by the order of tasks
+    shaken = F.udf(lambda v: v + random.random() * 1e-9, "double").asNondeterministic()
+    rows = X.assemble(df.drop("features").withColumn("x0", shaken("x0")), ["x0", "x1"])
+    scored = M.score(model, rows).select("id", "prob", "predicted").collect()
+    assert len(scored) == 200 and all(r["prob"] is not None and r["predicted"] is not None for r in scored)
+
+
 def test_blocks_move_by_tiles_and_find_the_same_neighbours(spark, monkeypatch):
     rng = np.random.default_rng(2)
     x = np.round(rng.normal(size=(400, 3)), 2)

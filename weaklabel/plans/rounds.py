@@ -204,7 +204,8 @@ def train_final(
     keep = [key, "split", "outcome", "y", "weight"]
     matrix = feature_matrix(targets, columns, keep)
     fitted = scaling(matrix.where(F.col("split").isin("train", "dev")), columns)
-    ready = assemble(standardize(matrix, columns, fitted), columns).select(*keep, "features")
+    # what is scored has the very features that were learned from
+    ready = written(assemble(standardize(matrix, columns, fitted), columns).select(*keep, "features"), "final-rows")
     known = ready.where(F.col("split").isin("train", "dev", "valid"))
     weighted = written(with_class_weight(known, class_weight or {0: 0.99, 1: 0.01}, "weight", "w"), "final-training")
     learner = ForestLearner(trees, depth, weight="w", key=key) if exact else forest_classifier(trees, depth, None, "w")
