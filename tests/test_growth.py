@@ -130,6 +130,45 @@ def test_trees_of_a_run_draw_the_rows_that_spark_would_draw(spark, monkeypatch,
     assert [t.nodes for t in one_by_one.trees] == [t.nodes for t in by_runs.trees]
 
 
+@pytest.mark.parametrize("regression", [False, True])
+def test_rows_of_the_same_features_are_one_row_of_a_tree(spark, monkeypatch, regression):
+    rng = np.random.default_rng(16)
+    x = rng.integers(0, 3, (600, 2)).astype(float)
+    y = np.round(rng.normal(size=600), 1) if regression else rng.integers(0, 2, 600).astype(float)
+    odd = F.when(F.col("id") % 7 == 0, F.lit(None)).when(F.col("id") % 5 == 0, -1.0).otherwise(F.col("id") % 3)
+    df = frame(spark, x, y).withColumn("w", odd)
+    learner = T.ForestLearner(trees=6, depth=3, weight="w", regression=regression, key="id", local_cells=1100)
+    one_by_one = learner.fit(df)
+    grown, plain = spark.sparkContext.accumulator(0), T.grow_coded
+
+    def counted(codes, *rest):
+        grown.add(codes.shape[1])
+        return plain(codes, *rest)
+
+    monkeypatch.setattr(T, "grow_coded", counted)
+    by_runs = learner.with_settings(local_cells=T.LOCAL_CELLS).fit(df)
+    assert grown.value <= 6 * 9, "six trees over nine rows of features, however many rows have them"
+    said = [[r["prob"] for r in M.score(m, df).orderBy("id").collect()] for m in (one_by_one, by_runs)]
+    np.testing.assert_allclose(said[0], said[1], rtol=1e-9)
+
+
+def test_a_forest_of_many_rows_scores_distinct_features(spark, monkeypatch):
+    rng = np.random.default_rng(17)
+    x = rng.integers(0, 3, (400, 2)).astype(float)
+    df = frame(spark, x, rng.integers(0, 2, 400).astype(float))
+    scored, plain = spark.sparkContext.accumulator(0), T.predicted_sum
+
+    def counted(rows, *rest):
+        scored.add(len(rows))
+        return plain(rows, *rest)
+
+    monkeypatch.setattr(T, "predicted_sum", counted)
+    monkeypatch.setattr(T, "KEPT_VISITS", 1000, raising=False)
+    model = T.ForestLearner(trees=3, key="id").fit(df)
+    assert M.score(model, df).where("prob is not null").count() == 400
+    assert scored.value <= 9 * 3, "each row of features once for each run of trees"
+
+
 def test_draws_in_a_task_are_those_of_spark(spark):
     rows = spark.range(2000).select(F.xxhash64("id").alias("key"), F.lit(3).alias("tree"))
     found = rows.select("key", T.drawn_times(F.col("key"), F.col("tree"), 987).alias("times")).toPandas()
