@@ -9,7 +9,8 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from weaklabel.catalog import CATALOG
+from weaklabel.catalog import CATALOG, model_queries
+from weaklabel.catalog.views import PATTERNS
 from weaklabel.operators import features as X, forest as T, models as M, neighbours as N, network as NW
 
 
@@ -229,3 +230,25 @@ def test_what_a_model_does_before_it_predicts_runs_beside_the_fits(spark):
 def test_deep_forests_keep_the_nodes_of_rows():
     for forest in (M.classifiers(2)["RF"], M.regressors()["RF"]):
         assert forest.getCacheNodeIds() and forest.getMaxMemoryInMB() == 1024
+
+
+def test_nested_forests_are_those_of_the_whole_grid(spark, tiny, monkeypatch):
+    asked = {}
+
+    def seen(df, estimator, grid, key, name, **settings):
+        asked.update(estimator=estimator, grid=grid, **settings)
+        return df
+
+    monkeypatch.setattr(model_queries, "nested_cv", seen)
+    CATALOG["nested_forest"].run(spark, tiny)
+    assert asked["estimator"].trees == 250 and not {"k_outer", "k_inner"} & set(asked)
+    weights = [None, "balanced", "balanced_subsample", {0: 0.99, 1: 0.01}, {0: 0.01, 1: 0.99}]
+    assert asked["grid"] == {"class_weight": weights, "depth": [None, 5, 10, 50], "features": [None, "sqrt", "log2"]}
+
+
+def test_patterns_are_counted_as_regular_expressions_of_spark_are(spark):
+    texts = ["", None, "License COPYRIGHT licenseLICENSE", "licen\u017fe to\u212aen toKEN", "secretoken secret token Password", "!!?? ! a?!\n\n\r\n", "555 1234 555-12345551234 5555.55555", "\u00e9\u4e2d!!\n\U0001f600??", "x" * 1000 + "!?" * 3]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    want = df.select("id", *[F.regexp_count("text", F.lit(p)).cast("long").alias(n) for n, p in PATTERNS.items()])
+    got = X.count_patterns(df, "text", PATTERNS)
+    assert got.schema == want.schema and sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
