@@ -105,6 +105,22 @@ def test_blocks_move_by_tiles_and_find_the_same_neighbours(spark, monkeypatch):
     assert sum(c.value for c in moved) < report["compared"], "fewer blocks move than are compared"
 
 
+def test_neighbours_of_equal_vectors_are_looked_for_once(spark):
+    rng = np.random.default_rng(18)
+    x = rng.integers(0, 3, (400, 2)).astype(float)
+    df = spark.createDataFrame([(i, v.tolist(), i % 5) for i, v in enumerate(x)], "id long, v array<double>, label int")
+    report = {}
+    train, asked = df.where("id % 3 > 0"), df.where("id % 3 = 0")
+    got = M.nearest_neighbours(train, asked, "id", "v", "label", k=4, block_rows=8, pivots=2, report=report).collect()
+    ids, want = np.flatnonzero(np.arange(400) % 3), set()
+    for i in range(0, 400, 3):
+        d = ((x[ids] - x[i]) ** 2).sum(axis=1)
+        want |= {(i, r + 1, int(ids[j]), float(d[j]), int(ids[j]) % 5) for r, j in enumerate(np.lexsort((ids, d))[:4])}
+    assert {(r["id"], r["rank"], r["neighbour"], r["distance2"], r["label"]) for r in got} == want
+    # nine vectors, of each of which four train rows count: 134 rows asked of 266 would be 17 blocks and 34 at least
+    assert report["all"] < 17 * 34 / 4
+
+
 def test_small_nodes_of_all_levels_are_grown_by_one_job(spark, monkeypatch):
     # stripes of falling weight are cut off one by one, each level leaves a small node behind
     x = np.repeat(np.arange(20.0), 40)[:, None]
