@@ -208,6 +208,20 @@ def test_a_network_steps_over_even_parts_however_rows_come(spark, monkeypatch):
     np.testing.assert_allclose(even.losses, whole.losses)
 
 
+def test_equal_rows_are_one_row_of_a_network(spark):
+    rng = np.random.default_rng(19)
+    x = rng.integers(0, 2, (300, 2)).astype(float)
+    df = frame(spark, x, rng.integers(0, 2, 300).astype(float)).withColumn("w", F.col("id") % 3 + 1)
+    blocks = NW.pack(df, "w").agg(F.sum("n"), F.sum("weight"), F.sum(F.length("y") / 8)).first()
+    assert blocks[0] == 300 and blocks[1] == 600 and blocks[2] <= 8
+    learner = NW.NetworkLearner(hidden=(3,), activation="tanh", max_iter=3, weight="w")
+    found = df.toPandas()
+    layers = NW.start_weights([2, 3, 1], "tanh", learner.seed)
+    loss = NW.loss_gradient(x, found["y"].to_numpy(), found["w"].to_numpy().astype(float), layers, "tanh", False)[0]
+    held = sum((w**2).sum() for w, _ in layers)
+    assert learner.fit(df).losses[0] == pytest.approx(loss / 600 + 0.5 * learner.alpha * held / 300)
+
+
 @pytest.mark.parametrize("way", ["screen", "nested"])
 def test_rows_to_fold_are_worked_out_once(spark, way):
     rng = np.random.default_rng(13)
